@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -22,8 +23,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE, scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in BASE]))
+    return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_secret_scan": op4_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
