@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, train_fold
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -33,9 +33,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(r.kind).alias(f"n_{r.kind}") for r in BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(train_fold() != 1))
+    return predict(docs, model).select("doc_id", (train_fold() == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_secret_scan": op4_secret_scan,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import process_store
+from .common import process_store, share
 
 
 @dataclass(frozen=True)
@@ -275,12 +275,12 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, text: str = "t
     key = ("secrets", hashlib.sha256(repr(rules).encode()).hexdigest())
     auto = process_store().setdefault(("automaton", key), None) or CombinedAutomaton(rules)
     process_store()[("automaton", key)] = auto
-    shared = docs.sparkSession.sparkContext.broadcast(auto)
+    shared = share(docs, auto)
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = process_store()
-        scanner = store.get(key) or store.setdefault(key, shared.value.scanner())
+        scanner = store.get(key) or store.setdefault(key, shared().scanner())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in batches:
             rows = [[(s, e, rules[k].kind) for s, k, e in scanner.spans(v.as_py())] for v in batch.column("__text")]
