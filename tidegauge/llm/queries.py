@@ -41,10 +41,27 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (train_fold() == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels").where(train_fold() != 1))
+    return score(docs, model).select("doc_id", (train_fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    out = shard_by_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_secret_scan": op4_secret_scan,
+    "op5_quality": op5_quality,
     "op7_language_id": op7_language_id,
+    "op8_sharding": op8_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
