@@ -62,10 +62,17 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_sharding": op8_sharding,
     "op10_nearest_neighbours": op10_nearest_neighbours,
