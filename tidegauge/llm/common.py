@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import builtins
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,19 +24,20 @@ def process_store() -> dict:
     return builtins.__dict__.setdefault("_tidegauge_store", {})
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; one is set only where that is unset (tests, one machine).
+    One is set only where that is unset (tests, one machine).
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
 
-            folder = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(folder)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

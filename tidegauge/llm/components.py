@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, persist
 
 
 def components(edges: DataFrame, seed: int = 0) -> DataFrame:
@@ -16,23 +16,36 @@ def components(edges: DataFrame, seed: int = 0) -> DataFrame:
     rounds is logarithmic, chains included. A node's neighbourhood is only ever reduced to a minimum, before the
     shuffle, so hubs are no hot spots.
     """
-    edges = checkpointed(edges.where("a <> b").select("a", "b").distinct())
+    held: list[DataFrame] = []
+
+    def settled(df: DataFrame) -> DataFrame:
+        """A checkpoint, cached as well: a cached table's size is known, while a checkpoint keeps the estimate of the
+        plan behind it, and estimates of joins multiply from round to round until they hold up planning."""
+        held.append(persist(checkpointed(df)))
+        return held[-1]
+
+    edges = settled(edges.where("a <> b").select("a", "b").distinct())
     moves: list[DataFrame] = []
     left = edges
-    while not left.isEmpty():
+    while left.count():
         both = left.select("a", "b").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed + len(moves))).alias("h"), F.col(c).alias("id"))
         move = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("id"), F.least(rank("a"), F.col("near"))["id"].alias("to"))
-        move = checkpointed(move)
+        move = settled(move)
+        move.count()
         moves.append(move)
         to_a, to_b = move.select(F.col("id").alias("a"), F.col("to").alias("na")), move.select(F.col("id").alias("b"), F.col("to").alias("nb"))
-        left = checkpointed(left.join(to_a, "a").join(to_b, "b").where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
+        left = settled(left.join(to_a, "a").join(to_b, "b").where("na <> nb").select(F.col("na").alias("a"), F.col("nb").alias("b")).distinct())
     if not moves:
-        return edges.select(F.col("a").alias("id"), F.col("a").alias("component"))
+        return checkpointed(edges.select(F.col("a").alias("id"), F.col("a").alias("component")))
     where = moves[0]
     for move in moves[1:]:
         step = move.select(F.col("id").alias("to"), F.col("to").alias("next"))
         where = where.join(step, "to", "left").select("id", F.coalesce("next", "to").alias("to"))
-    where = checkpointed(where)
+    where = settled(where)
+    where.count()
     least = where.groupBy("to").agg(F.min("id").alias("component"))
-    return where.join(least, "to").select("id", "component")
+    out = checkpointed(where.join(least, "to").select("id", "component"))
+    for df in held:
+        df.unpersist()
+    return out

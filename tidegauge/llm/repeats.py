@@ -10,9 +10,10 @@ before anything is compared:
    that occurs once has no repeat.
 2. *Equal runs.* Runs with the same key and the same bytes are repeats of each other as a whole. This takes care of
    copies: it is an aggregation that combines before the shuffle.
-3. *Shards.* Where a key has runs of different content, one of each goes to a shard. The shard's suffix array (induced
-   sorting) and permuted common prefixes show which of its windows recur. Runs end in a separator, which no window
-   covers, so matches don't cross runs.
+3. *Shards.* Where a key has runs of different content, one of each goes to a shard. There, runs are cut into slices of
+   windows by their distance to the anchor. Slices whose common bytes (all but ``SLICE`` of a window's) occur once are
+   dropped, and equal slices are kept once, as repeats. The suffix array of the rest (induced sorting) and its permuted
+   common prefixes show which windows recur. Slices end in a separator, which no window covers, so matches don't cross.
 4. *Hot keys.* A key with more bytes of different runs than ``hot_bytes`` would make one shard too large; its windows
    are compared by 128-bit fingerprints in an aggregation instead. No window is left out.
 
@@ -37,6 +38,8 @@ from .suffix_array import permuted_lcp, suffix_array
 
 GRAM = 32
 PLACE_BITS = np.uint64(28)
+#: Windows of a slice.
+SLICE = 50
 #: Bytes of text handled at once; longer texts go in overlapping pieces.
 BLOCK, PIECE = 1 << 20, 1 << 26
 
@@ -54,11 +57,11 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(piece, first window, windows, key, content) of all keyed runs of windows."""
+    """(piece, first window, windows, distance from the first window to the anchor, key, content) of all keyed runs."""
     data = np.frombuffer(b"".join(pieces), np.uint8)
     size = np.array([len(p) for p in pieces], np.int64)
     start = np.cumsum(size) - size
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if len(data) < length:
         return none
     prefix = prefix_hashes(data)
@@ -84,7 +87,7 @@ def runs(pieces: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     a, b = np.concatenate([cut[right], first[left]]), np.concatenate([end[right], cut[left]])
     content = slice_hashes(prefix, a, b - 1 + length)
     owner = piece[a]
-    return owner, a - start[owner], b - a, np.concatenate([r_key, l_key]), content
+    return owner, a - start[owner], b - a, np.concatenate([anchor[right], anchor[left]]) - a, np.concatenate([r_key, l_key]), content
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -112,11 +115,11 @@ def _all_runs(classes: DataFrame, length: int) -> DataFrame:
             raw = [batch.column("__text")[int(i)].as_py().encode("utf-8", "surrogatepass") for i in first]
             own = cls[first]
             for who, off, parts in _pieces(raw, length):
-                piece, at, n, key, content = runs(parts, length)
+                piece, at, n, far, key, content = runs(parts, length)
                 who_, off_ = np.array(who)[piece], np.array(off)[piece]
-                yield pa.RecordBatch.from_arrays([pa.array(own[who_]), pa.array(at + off_), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["cls", "at", "n", "key", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[who_]), pa.array(at + off_), pa.array(n.astype(np.int32)), pa.array(far.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["cls", "at", "n", "far", "key", "content"])
 
-    return classes.select("cls", "__text").where(F.octet_length("__text") >= length).mapInArrow(run, "cls bigint, at bigint, n int, key bigint, content bigint")
+    return classes.select("cls", "__text").where(F.octet_length("__text") >= length).mapInArrow(run, "cls bigint, at bigint, n int, far int, key bigint, content bigint")
 
 
 def _with_bytes(wanted: DataFrame, classes: DataFrame, length: int) -> DataFrame:
@@ -132,26 +135,54 @@ def repeated_in_shard(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Runs of windows of one shard that recur in it."""
     parts = pdf["bytes"].tolist()
     size = np.array([len(p) for p in parts], np.int64)
-    data = np.frombuffer(b"\0".join(parts), np.uint8).astype(np.int32) + 2
-    start = np.cumsum(size + 1) - size - 1
-    data[(start[1:] - 1)] = 1
-    data = np.append(data, 0)
-    sa = suffix_array(data)
-    phi, lcp = permuted_lcp(data, sa, length)
-    windows = pdf["n"].to_numpy()
-    is_window = np.zeros(len(data), bool)
-    for s, n in zip(start, windows):
-        is_window[s : s + n] = True
-    hit = np.flatnonzero((lcp >= length) & is_window)
-    other = phi[hit]
-    # a window before it in order has the same bytes; it may start in the tail of a run, where windows belong to another
-    both = hit[is_window[other]]
-    twice = np.zeros(len(data), bool)
-    twice[both] = twice[phi[both]] = True
-    return _window_runs(twice, start, windows, pdf["cls"].to_numpy(), pdf["at"].to_numpy())
-
-
-def _window_runs(twice: np.ndarray, start: np.ndarray, windows: np.ndarray, cls: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    start = np.cumsum(size) - size
+    n, far, key = pdf["n"].to_numpy(np.int64), pdf["far"].to_numpy(np.int64), pdf["key"].to_numpy(np.int64).view(np.uint64)
+    # slices: windows whose distance to the anchor is in [SLICE * r, SLICE * (r + 1))
+    high, low = far // SLICE, (far - n + 1) // SLICE
+    count = high - low + 1
+    run = np.repeat(np.arange(len(parts)), count)
+    r = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count))
+    first = far[run] - np.minimum(far[run], SLICE * (r + 1) - 1)  # windows of the slice, counted within the run
+    last = far[run] - np.maximum(far[run] - n[run] + 1, SLICE * r)
+    prefix = prefix_hashes(data)
+    common = start[run] + far[run] - SLICE * r
+    name = key[run] ^ mix64(r.astype(np.uint64))
+    probe = mix64(slice_hashes(prefix, common, common + length - SLICE + 1) ^ name)
+    content = mix64(slice_hashes(prefix, start[run] + first, start[run] + last + length) ^ name ^ np.uint64(1))
+    many = pdf["many"].to_numpy(bool)[run]
+    # a slice that no other shares its common bytes with has no repeat here; nor is there one to find if all are known
+    _, group, copies = np.unique(probe, return_inverse=True, return_counts=True)
+    open_ones = np.bincount(group, weights=~many, minlength=len(copies))
+    alive = (copies[group] > 1) & (open_ones[group] > 0)
+    run, first, last, content, many = run[alive], first[alive], last[alive], content[alive], many[alive]
+    _, at, group, copies = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+    equal = (copies > 1)[group] & ~many
+    cls, base = pdf["cls"].to_numpy(), pdf["at"].to_numpy()
+    found = [pd.DataFrame({"cls": cls[run[equal]], "at": base[run[equal]] + first[equal], "n": (last - first + 1)[equal].astype(np.int32)})]
+    if len(at):
+        found.append(_by_suffix_array(data, start[run[at]] + first[at], (last - first + 1)[at], length, cls[run[at]], base[run[at]] + first[at]))
+    return pd.concat(found)
+
+
+def _by_suffix_array(data: np.ndarray, start: np.ndarray, windows: np.ndarray, length: int, cls: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """Windows that recur among the given slices of data."""
+    size = windows + length  # with a separator
+    place = np.cumsum(size) - size
+    source = np.minimum(np.repeat(start - place, size) + np.arange(size.sum()), len(data) - 1)
+    text = data[source].astype(np.int32) + 2
+    text[place + size - 1] = 1
+    text = np.append(text, 0)
+    phi, lcp = permuted_lcp(text, suffix_array(text), length)
+    # a window's bytes hold no separator, so what precedes it in order with them is a window too
+    own = np.arange(len(text) - 1) - np.repeat(place, size) < np.repeat(windows, size)
+    hit = np.flatnonzero((lcp[:-1] >= length) & own)
+    twice = np.zeros(len(text), bool)
+    twice[hit] = twice[phi[hit]] = True
+    return _window_runs(twice, place, cls, at)
+
+
+def _window_runs(twice: np.ndarray, start: np.ndarray, cls: np.ndarray, at: np.ndarray) -> pd.DataFrame:
     edge = np.diff(np.concatenate([[False], twice, [False]]).astype(np.int8))
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     owner = np.searchsorted(start, first, "right") - 1
@@ -183,11 +214,11 @@ def repeated_runs(classes: DataFrame, length: int = 400, shard_bytes: int = 2_00
     place = F.struct("cls", "at")
     keys = rows.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("key")
     rows = checkpointed(rows.join(keys, "key", "left_semi"))
-    stats = rows.groupBy("key", "content").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("n").alias("n"))
-    stats = checkpointed(stats.select("key", "content", "n", (F.col("low") != F.col("high")).alias("many"), F.col("low.cls").alias("cls"), F.col("low.at").alias("at")))
+    stats = rows.groupBy("key", "content").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("n").alias("n"), F.first("far").alias("far"))
+    stats = checkpointed(stats.select("key", "content", "n", "far", (F.col("low") != F.col("high")).alias("many"), F.col("low.cls").alias("cls"), F.col("low.at").alias("at")))
     whole = rows.join(stats.where("many").select("key", "content"), ["key", "content"]).select("cls", "at", "n").distinct()
     mixed = stats.groupBy("key").agg(F.count(F.lit(1)).alias("contents"), F.bool_and("many").alias("all_many"), F.sum(F.col("n") + length).alias("bytes")).where("contents > 1 and not all_many").select("key", "bytes")
-    wanted = checkpointed(stats.join(mixed, "key").select("key", "cls", "at", "n", (F.col("bytes") > hot_bytes).alias("hot")))
+    wanted = checkpointed(stats.join(mixed, "key").select("key", "many", "cls", "at", "n", "far", (F.col("bytes") > hot_bytes).alias("hot")))
     total, any_hot = wanted.agg(F.sum(F.col("n") + length), F.max("hot")).first()
     out = whole
     if total:
