@@ -17,9 +17,10 @@ meet in a neighbourhood, so segments with neighbourhoods count twice towards H +
 *Buckets.* Signatures travel packed, by bucket of the signature. In a bucket, a signature's sets make all pairs if they
 are few; a larger group makes only pairs with its first member, and its members are kept for a second round.
 *Verification.* Parity bitmaps give a lower bound of the difference, which drops false candidates without their
-sets. Exact verification of a forest of pairs joins most sets of a cluster; of the other candidates, and of the kept
-groups, only pairs between sets that are not connected by then are verified. So no link that connects different sets
-is lost, and no group makes all its pairs. Sets are compared by 64-bit shingle hashes.
+sets. Exact verification of a forest of pairs joins most sets of a cluster; of the other candidates only pairs between
+sets that are not connected by then are verified. Kept groups that are not connected get rounds of stars around their
+best connected member; at last all their pairs that are still apart are verified. So no link that connects different
+sets is lost, and no cluster makes all its pairs. Sets are compared by 64-bit shingle hashes.
 
 Null, empty and blank texts have empty sets and no links. Documents with equal sets are one class. A repeated id is
 taken as one more document; its component is the smallest of its rows.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix64, share
@@ -43,6 +44,8 @@ from .words import shingle_sets
 SMALL = 8
 #: Groups of up to this many members make all pairs at once.
 FEW = 4
+#: Rounds of stars in large groups before all pairs that are still apart are compared.
+STARS = 3
 #: Bits of a parity bitmap.
 BITS = 1024
 #: Ids of hot shingles sent to the tasks: they only order signatures, so the bound can't change a result.
@@ -127,49 +130,51 @@ class Signatures:
         return mix64(np.concatenate(out))
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens that fall on each of BITS bits: sets that differ in d tokens differ in d bits at most."""
-    return (np.bincount((tokens >> np.uint64(20)) % np.uint64(BITS), minlength=BITS) & 1).astype(np.uint8).tobytes()
+def bitmap(tokens: np.ndarray) -> list[int]:
+    """Parity of the tokens that fall on each of BITS bits, as longs: sets that differ in d tokens differ in at most d."""
+    odd = np.bincount((tokens >> np.uint64(20)) % np.uint64(BITS), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _profile(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row for each document (kind 0: id, size, two hashes of the set, bitmap) and for each shingle that is frequent
-    within a batch (kind 1: shingle, count)."""
+    """A row for each document (kind 0: id, size, two hashes of the set, bitmap) and for each shingle that several
+    different sets of a batch share (kind 1: shingle, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            size, one, two, bits, seen = [], [], [], [], []
-            for s in shingle_sets(batch.column("__text").to_pylist()):
+            size, one, two, bits, seen = [], [], [], [], {}
+            for s in shingle_sets(batch.column("__text")):
                 size.append(len(s))
                 one.append(int(np.add.reduce(mix64(s), dtype=np.uint64)) if len(s) else 0)
                 two.append(int(np.add.reduce(mix64(s ^ _SALT), dtype=np.uint64)) if len(s) else 0)
-                bits.append(np.packbits(np.frombuffer(bitmap(s), np.uint8)).tobytes())
-                seen.append(s)
+                bits.append(bitmap(s))
+                seen[(len(s), one[-1])] = s
             n = len(ids)
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids, pa.array(size, pa.int64()), signed(one), signed(two), pa.array(bits, pa.binary())], names)
-            token, count = np.unique(np.concatenate(seen), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = count >= max(8, n // 500)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), ids, pa.array(size, pa.int64()), signed(one), signed(two), pa.array(bits, pa.list_(pa.int64()))], names)
+            token, count = np.unique(np.concatenate(list(seen.values())), return_counts=True) if n else (np.zeros(0, np.uint64), np.zeros(0, int))
+            often = count > 1
             k = int(often.sum())
             if k:
                 none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, pa.array(count[often].astype(np.int64)), signed(token[often]), none, pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), none, pa.array(count[often].astype(np.int64)), signed(token[often]), none, pa.nulls(k, pa.list_(pa.int64()))], names)
 
     names = ["kind", "doc_id", "n", "one", "two", "bits"]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, "kind int, doc_id bigint, n bigint, one bigint, two bigint, bits binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, "kind int, doc_id bigint, n bigint, one bigint, two bigint, bits array<bigint>")
 
 
 def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataFrame:
-    """(bucket, ids, sizes, counts, sigs): the signatures of each batch, equal sets once, packed by bucket."""
+    """(bucket, ids, sizes, scores, counts, sigs): the signatures of each batch, equal sets once, packed by bucket. The
+    score is how many shingles of a set are rare: the fewer, the nearer it is to the centre of a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = Signatures(*hot())
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             best: dict[tuple[int, int], int] = {}
-            sigs, sizes = [], np.zeros(len(ids), np.int64)
-            for i, s in enumerate(shingle_sets(batch.column("__text").to_pylist())):
+            sigs, sizes, scores = [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for i, s in enumerate(shingle_sets(batch.column("__text"))):
                 sizes[i] = len(s)
                 key = (len(s), int(np.add.reduce(mix64(s), dtype=np.uint64)) if len(s) else 0)
                 if not len(s) or key in best and ids[best[key]] <= ids[i]:
@@ -180,6 +185,8 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
                     sigs[best[key]] = None
                 else:
                     sigs.append(signatures.of(s))
+                level = signatures.levels(s)
+                scores[i] = len(s) if level is None else int((level == 0).sum())
                 best[key] = i
             own = [i for i, s in enumerate(sigs) if s is not None]
             if not own:
@@ -189,7 +196,7 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
             bucket = (all_sigs % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = {k: [] for k in ("bucket", "ids", "sizes", "counts", "sigs")}
+            rows = {k: [] for k in ("bucket", "ids", "sizes", "scores", "counts", "sigs")}
             for b in range(buckets):
                 part = order[edge[b] : edge[b + 1]]
                 if len(part):
@@ -197,11 +204,12 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
                     rows["bucket"].append(b)
                     rows["ids"].append(ids[docs_in].astype(np.int64).tobytes())
                     rows["sizes"].append(sizes[docs_in].astype(np.int32).tobytes())
+                    rows["scores"].append(scores[docs_in].astype(np.int32).tobytes())
                     rows["counts"].append(counts.astype(np.int32).tobytes())
                     rows["sigs"].append((all_sigs[part] >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "sizes", "counts", "sigs"))], list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "sizes", "scores", "counts", "sigs"))], list(rows))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null").mapInArrow(run, "bucket int, ids binary, sizes binary, counts binary, sigs binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null").mapInArrow(run, "bucket int, ids binary, sizes binary, scores binary, counts binary, sigs binary")
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -209,7 +217,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     cat = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
     counts = cat("counts", np.int32)
     ids, sizes, sig = np.repeat(cat("ids", np.int64), counts), np.repeat(cat("sizes", np.int32), counts).astype(np.int64), cat("sigs", np.uint32)
-    order = np.lexsort((ids, sig))
+    order = np.lexsort((ids, np.repeat(cat("scores", np.int32), counts), sig))
     ids, sizes, sig = ids[order], sizes[order], sig[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     length = np.diff(np.append(first, len(sig)))
@@ -234,17 +242,10 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, more]) if len(more) else out
 
 
-def _may_link(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb, xa, xb) whose bitmaps allow a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("xa", "xb")]
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1) * 7 <= total
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return pairs.mapInArrow(run, "a bigint, b bigint")
+def _may_link(na: str, nb: str, xa: str, xb: str) -> Column:
+    """Whether sizes and bitmaps allow a link."""
+    differ = " + ".join(f"bit_count({xa}[{i}] ^ {xb}[{i}])" for i in range(BITS // 64))
+    return F.expr(f"least({na}, {nb}) * 4 >= greatest({na}, {nb}) * 3 and ({differ}) * 7 <= {na} + {nb}")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -287,12 +288,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def possible(pairs: DataFrame) -> DataFrame:
         xa = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
         xb = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        return _may_link(pairs.join(xa, "a").join(xb, "b").where("least(na, nb) * 4 >= greatest(na, nb) * 3"))
+        return pairs.join(xa, "a").join(xb, "b").where(_may_link("na", "nb", "xa", "xb")).select("a", "b")
 
     def set_table(ids: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                tokens = [s.tobytes() for s in shingle_sets(batch.column("__text").to_pylist())]
+                tokens = [s.tobytes() for s in shingle_sets(batch.column("__text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(tokens, pa.binary())], ["id", "tokens"])
 
         ids = checkpointed(ids)
@@ -319,16 +320,43 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     where = components(links)
     # large groups: pairs of members that are still apart
     groups = met.where("members is not null").select("sig", F.explode("members").alias("id")).join(rep_of, "id").select("sig", "rep").distinct()
-    groups = groups.join(where.select(F.col("id").alias("rep"), "component"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("c"))
-    groups = groups.join(classes.select("rep", "n"), "rep")
-    mixed = groups.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-    groups = checkpointed(groups.join(mixed, "sig"))
-    if not groups.isEmpty():
-        left, right = groups.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), groups.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-        apart = left.join(right, "sig").where("a < b and ca <> cb and least(na, nb) * 4 >= greatest(na, nb) * 3").select("a", "b").distinct()
-        more = checkpointed(possible(apart.join(first, ["a", "b"], "left_anti")))
-        if not more.isEmpty():
-            links = links.unionByName(_linked(more, set_table(more.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+    groups = checkpointed(groups.join(classes.select("rep", "n", "bits"), "rep"))
+
+    def apart(where: DataFrame, links: DataFrame) -> DataFrame:
+        """Members of the groups that are not all connected, with component and number of links."""
+        ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+        own = groups.join(where.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
+        own = own.select("sig", "rep", "n", "bits", F.coalesce("component", "rep").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        mixed = own.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+        return checkpointed(own.join(mixed, "sig"))
+
+    def more_links(pairs: DataFrame) -> DataFrame:
+        return checkpointed(_linked(pairs, set_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
+
+    tried = first
+    for _ in range(STARS):
+        # stars around the member with the most links: most of a cluster hangs on its centre
+        left = apart(where, links)
+        centre = left.groupBy("sig").agg(F.max(F.struct("degree", "rep", "c", "n", "bits")).alias("o"))
+        stars = left.join(centre, "sig").where("c <> o.c").where(_may_link("n", "o.n", "bits", "o.bits"))
+        stars = stars.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+        stars = checkpointed(stars.join(tried, ["a", "b"], "left_anti"))
+        found = None if stars.isEmpty() else more_links(stars)
+        if found is None:
+            break
+        tried = tried.unionByName(stars)
+        if found.isEmpty():
+            continue
+        links = checkpointed(links.unionByName(found))
+        where = components(links)
+    left = apart(where, links)
+    if not left.isEmpty():
+        one, two = (left.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "c", "n", "bits"))) for s in ("_a", "_b"))
+        rest = one.join(two, "sig").where("rep_a < rep_b and c_a <> c_b").where(_may_link("n_a", "n_b", "bits_a", "bits_b"))
+        rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+        rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = links.unionByName(more_links(rest))
             where = components(links)
     linked = rep_of.join(where.select(F.col("id").alias("rep"), "component"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("component", "rep").alias("component_id"))
     # a class's smallest id may belong to a repeated id: the smallest id of the whole component counts

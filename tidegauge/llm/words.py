@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from .common import BYTE_MIX, mix64, powers
 
@@ -71,12 +72,14 @@ def shingles(words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
             yield all_grams[:0]
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of every text."""
-    for low, high in text_blocks(texts):
-        words, bounds = word_hashes(texts[low:high])
-        for s in shingles(words, bounds):
-            if len(s) > 1:
-                s = np.sort(s)
-                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
-            yield s
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of every text of an Arrow column, some texts at a time."""
+    for part in range(0, len(column), 256):
+        texts = column.slice(part, 256).to_pylist()
+        for low, high in text_blocks(texts):
+            words, bounds = word_hashes(texts[low:high])
+            for s in shingles(words, bounds):
+                if len(s) > 1:
+                    s = np.sort(s)
+                    s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+                yield s
