@@ -161,7 +161,11 @@ def repeated_in_shard(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     cls, base = pdf["cls"].to_numpy(), pdf["at"].to_numpy()
     found = [pd.DataFrame({"cls": cls[run[equal]], "at": base[run[equal]] + first[equal], "n": (last - first + 1)[equal].astype(np.int32)})]
     if len(at):
-        found.append(_by_suffix_array(data, start[run[at]] + first[at], (last - first + 1)[at], length, cls[run[at]], base[run[at]] + first[at]))
+        # neighbouring slices of a run go as one text
+        at = at[np.lexsort((first[at], run[at]))]
+        opens = np.concatenate([[True], (run[at][1:] != run[at][:-1]) | (first[at][1:] != last[at][:-1] + 1)])
+        a, b = at[opens], at[np.append(opens[1:], True)]
+        found.append(_by_suffix_array(data, start[run[a]] + first[a], last[b] - first[a] + 1, length, cls[run[a]], base[run[a]] + first[a]))
     return pd.concat(found)
 
 

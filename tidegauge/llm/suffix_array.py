@@ -95,8 +95,10 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     count = np.bincount(text, minlength=k)
     last = np.cumsum(count)
     first = last - count
-    if k > n // 2:
-        return _small_runs(text)
+    if k > max(1000, n // 64):
+        return _many_symbols(text)
+    if k <= 1 << 16:
+        text = text.astype(np.uint16)  # sorted by radix
     s = _types(text)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     sa = _induce(text, s, lms, first, last)
@@ -130,24 +132,32 @@ def _differ(text: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def _small_runs(text: np.ndarray) -> np.ndarray:
-    """Order of strings over about as many symbols as places: refine ranks over doubled lengths until all differ.
-
-    Names of the recursion are nearly unique, so the few that repeat are told apart in a few rounds.
-    """
+def _many_symbols(text: np.ndarray) -> np.ndarray:
+    """Order of the string of names, the base of the recursion: with so many symbols buckets are too small to be worth a
+    step each. Ranks are refined over doubled lengths; places whose rank is already unique drop out."""
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(text, kind="stable")
+    ordered = text[order]
+    start = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n), 0))  # the first place of the group in order
     width = 1
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank = new
-        if rank.max() == n - 1:
+        alone = start & np.append(start[1:], True)
+        at = np.flatnonzero(~alone)  # places in order that are not settled
+        if not len(at):
             return order
+        own = order[at]
+        after = np.minimum(own + width, n - 1)
+        nxt = np.where(own + width < n, rank[after], -1)
+        group = rank[own]
+        key = group * (n + 1) + nxt + 1
+        sub = np.argsort(key, kind="stable")
+        order[at] = own[sub]
+        key = key[sub]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        start[at] = new
+        rank[order[at]] = np.maximum.accumulate(np.where(new, at, 0))
         width *= 2
 
 
