@@ -14,8 +14,8 @@ Where few elements can differ (small sets), whole segments with their one-deleti
 as these are far more selective than the single shingles that remain there: two segments that differ in one element
 meet in a neighbourhood, so segments with neighbourhoods count twice towards H + 1.
 
-*Buckets.* Signatures travel packed, by bucket of the signature. In a bucket, a signature's sets make all pairs if they
-are few; a larger group makes only pairs with its first member, and its members are kept for a second round.
+*Buckets.* Signatures travel packed, by bucket of the signature. The sets that share one are a group; equal groups count
+once. Few members make all pairs; a larger group makes only pairs with its first member, and is kept for later rounds.
 *Verification.* Parity bitmaps give a lower bound of the difference, which drops false candidates without their
 sets. Exact verification of a forest of pairs joins most sets of a cluster; of the other candidates only pairs between
 sets that are not connected by then are verified. Kept groups that are not connected get rounds of stars around their
@@ -44,6 +44,8 @@ from .words import shingle_sets
 SMALL = 8
 #: Groups of up to this many members make all pairs at once.
 FEW = 4
+#: Members of a part of a group, besides the first.
+PART = 1000
 #: Rounds of stars in large groups before all pairs that are still apart are compared.
 STARS = 3
 #: Bits of a parity bitmap.
@@ -165,7 +167,7 @@ def _profile(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataFrame:
-    """(bucket, ids, sizes, scores, counts, sigs): the signatures of each batch, equal sets once, packed by bucket. The
+    """(bucket, ids, scores, counts, sigs): the signatures of each batch, equal sets once, packed by bucket. The
     score is how many shingles of a set are rare: the fewer, the nearer it is to the centre of a cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +175,8 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             best: dict[tuple[int, int], int] = {}
-            sigs, sizes, scores = [], np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            sigs, scores = [], np.zeros(len(ids), np.int64)
             for i, s in enumerate(shingle_sets(batch.column("__text"))):
-                sizes[i] = len(s)
                 key = (len(s), int(np.add.reduce(mix64(s), dtype=np.uint64)) if len(s) else 0)
                 if not len(s) or key in best and ids[best[key]] <= ids[i]:
                     sigs.append(None)
@@ -196,50 +197,39 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
             bucket = (all_sigs % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = {k: [] for k in ("bucket", "ids", "sizes", "scores", "counts", "sigs")}
+            rows = {k: [] for k in ("bucket", "ids", "scores", "counts", "sigs")}
             for b in range(buckets):
                 part = order[edge[b] : edge[b + 1]]
                 if len(part):
                     docs_in, counts = np.unique(owner[part], return_counts=True)
                     rows["bucket"].append(b)
                     rows["ids"].append(ids[docs_in].astype(np.int64).tobytes())
-                    rows["sizes"].append(sizes[docs_in].astype(np.int32).tobytes())
                     rows["scores"].append(scores[docs_in].astype(np.int32).tobytes())
                     rows["counts"].append(counts.astype(np.int32).tobytes())
                     rows["sigs"].append((all_sigs[part] >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "sizes", "scores", "counts", "sigs"))], list(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "scores", "counts", "sigs"))], list(rows))
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null").mapInArrow(run, "bucket int, ids binary, sizes binary, scores binary, counts binary, sigs binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null").mapInArrow(run, "bucket int, ids binary, scores binary, counts binary, sigs binary")
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidates of one bucket: rows with a and b, or with the members of a large group."""
+    """The groups of one bucket: sets that share a signature, most central first, in parts that all start with the first.
+    Signatures with the same members make one group, named by its members."""
     cat = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
     counts = cat("counts", np.int32)
-    ids, sizes, sig = np.repeat(cat("ids", np.int64), counts), np.repeat(cat("sizes", np.int32), counts).astype(np.int64), cat("sigs", np.uint32)
+    ids, sig = np.repeat(cat("ids", np.int64), counts), cat("sigs", np.uint32)
     order = np.lexsort((ids, np.repeat(cat("scores", np.int32), counts), sig))
-    ids, sizes, sig = ids[order], sizes[order], sig[order]
-    first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    length = np.diff(np.append(first, len(sig)))
-    shared = np.repeat(length > 1, length)
-    ids, sizes, sig = ids[shared], sizes[shared], sig[shared]
-    length = length[length > 1]
-    start = np.cumsum(length) - length
-    small = np.repeat(length <= FEW, length)
-    a, b = [], []
-    for k in range(1, FEW):
-        i = np.flatnonzero((sig[k:] == sig[:-k]) & small[: len(sig) - k]) if len(sig) > k else np.zeros(0, np.int64)
-        a.append(i)
-        b.append(i + k)
-    star = np.flatnonzero(~small)
-    centre = np.repeat(start, length)[star]
-    a, b = np.concatenate([*a, centre]), np.concatenate([*b, star])
-    fits = (np.minimum(sizes[a], sizes[b]) * 4 >= np.maximum(sizes[a], sizes[b]) * 3) & (ids[a] != ids[b])
-    pairs = np.unique(np.column_stack([np.minimum(ids[a], ids[b])[fits], np.maximum(ids[a], ids[b])[fits]]), axis=0) if fits.any() else np.zeros((0, 2), np.int64)
-    out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "sig": 0, "members": None})
-    large = [(int(sig[s]), ids[i : min(i + 1000, s + n)]) for s, n in zip(start, length) if n > FEW for i in range(s, s + n, 1000)]
-    more = pd.DataFrame({"a": 0, "b": 0, "sig": [s for s, _ in large], "members": [m for _, m in large]})
-    return pd.concat([out, more]) if len(more) else out
+    ids, sig = ids[order], sig[order]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    length = np.diff(np.append(start, len(sig)))
+    name = np.add.reduceat(mix64(ids.view(np.uint64)), start).view(np.int64)
+    start, length, name = start[length > 1], length[length > 1], name[length > 1]
+    _, one = np.unique(name, return_index=True)
+    rows = []
+    for s, n, g in zip(start[one].tolist(), length[one].tolist(), name[one].tolist()):
+        for part in range(0, n - 1, PART):
+            rows.append((g, part, np.concatenate([ids[s : s + 1], ids[s + 1 + part : min(s + 1 + part + PART, s + n)]])))
+    return pd.DataFrame(rows, columns=["g", "part", "members"])
 
 
 def _may_link(na: str, nb: str, xa: str, xb: str) -> Column:
@@ -268,7 +258,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, n_shingles, component_id for every row."""
     profile = checkpointed(_profile(docs, doc_id, text))
     rows = profile.where("kind = 0").select("doc_id", "n", "one", "two", "bits")
-    hot_rows = profile.where("kind = 1").groupBy("one").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "one").limit(MAX_HOT).toPandas()
+    counted = checkpointed(profile.where("kind = 1").groupBy("one").agg(F.sum("n").alias("n")))
+    # the most frequent shingles, down to a count that keeps them within the bound
+    steps = counted.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().orderBy(F.desc("step")).collect()  # a row an eighth of a doubling
+    cut, total = 1 << 20, 0
+    for r in steps:
+        total += r["count"]
+        if total > MAX_HOT:
+            break
+        cut = r["step"]
+    hot_rows = counted.where(F.floor(F.log2("n") * 8) >= cut).toPandas()
     token = hot_rows["one"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     hot = share(docs, (token[order], np.log2(hot_rows["n"].to_numpy(float)).astype(np.int64)[order] if len(token) else np.zeros(0, np.int64)))
@@ -277,7 +276,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     buckets = max(4, -(-n_classes // docs_per_bucket))
     rep_of = rows.where("doc_id is not null").join(classes.drop("bits"), ["n", "one", "two"]).groupBy(F.col("doc_id").alias("id")).agg(F.min("rep").alias("rep"))
     rep_of = checkpointed(rep_of)
-    met = checkpointed(_packed(docs, doc_id, text, hot, buckets).groupBy("bucket").applyInPandas(_meet, "a bigint, b bigint, sig bigint, members array<bigint>"))
+    met = checkpointed(_packed(docs, doc_id, text, hot, buckets).groupBy("bucket").applyInPandas(_meet, "g bigint, part int, members array<bigint>").dropDuplicates(["g", "part"]))
 
     def as_reps(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of classes, smaller first."""
@@ -303,7 +302,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         made = own.mapInArrow(run, "id bigint, tokens binary")
         return checkpointed(made.join(classes.select(F.col("rep").alias("id"), "n"), "id").where("octet_length(tokens) = 8 * n").groupBy("id").agg(F.first("tokens").alias("tokens")))
 
-    first = checkpointed(possible(as_reps(met.where("members is null"))))
+    # all pairs of few members, else those with the first
+    star = F.transform(F.slice("members", 2, PART), lambda y: F.struct(F.col("members")[0].alias("a"), y.alias("b")))
+    every = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, FEW), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = met.select(F.explode(F.when(F.size("members") <= FEW, every).otherwise(star)).alias("p"))
+    first = checkpointed(possible(as_reps(pairs.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")))))
     sets = set_table(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # a forest of pairs first: each class with the smallest one that it meets
     forest = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -319,40 +322,34 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = checkpointed(links.unionByName(_linked(rest, sets)))
     where = components(links)
     # large groups: pairs of members that are still apart
-    groups = met.where("members is not null").select("sig", F.explode("members").alias("id")).join(rep_of, "id").select("sig", "rep").distinct()
-    groups = checkpointed(groups.join(classes.select("rep", "n", "bits"), "rep"))
+    groups = met.where(F.size("members") > FEW).select("g", F.explode("members").alias("id")).join(rep_of, "id").select("g", "rep").distinct()
 
-    def apart(where: DataFrame, links: DataFrame) -> DataFrame:
-        """Members of the groups that are not all connected, with component and number of links."""
-        ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-        own = groups.join(where.withColumnRenamed("id", "rep"), "rep", "left").join(ends, "rep", "left")
-        own = own.select("sig", "rep", "n", "bits", F.coalesce("component", "rep").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        mixed = own.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-        return checkpointed(own.join(mixed, "sig"))
+    def apart(groups: DataFrame, where: DataFrame) -> DataFrame:
+        """The groups that are not connected: (g, rep, c), c the component."""
+        own = groups.select("g", "rep").join(where.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("c"))
+        mixed = own.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g")
+        return checkpointed(own.join(mixed, "g"))
 
     def more_links(pairs: DataFrame) -> DataFrame:
         return checkpointed(_linked(pairs, set_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())))
 
-    tried = first
+    tried, left = first, apart(groups, where)
     for _ in range(STARS):
         # stars around the member with the most links: most of a cluster hangs on its centre
-        left = apart(where, links)
-        centre = left.groupBy("sig").agg(F.max(F.struct("degree", "rep", "c", "n", "bits")).alias("o"))
-        stars = left.join(centre, "sig").where("c <> o.c").where(_may_link("n", "o.n", "bits", "o.bits"))
-        stars = stars.select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
-        stars = checkpointed(stars.join(tried, ["a", "b"], "left_anti"))
-        found = None if stars.isEmpty() else more_links(stars)
-        if found is None:
+        ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+        centre = left.join(ends, "rep", "left").groupBy("g").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "rep", "c")).alias("o"))
+        stars = left.join(centre, "g").where("c <> o.c").select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b")).distinct()
+        stars = checkpointed(possible(stars.join(tried, ["a", "b"], "left_anti")))
+        if stars.isEmpty():
             break
         tried = tried.unionByName(stars)
-        if found.isEmpty():
-            continue
-        links = checkpointed(links.unionByName(found))
+        links = checkpointed(links.unionByName(more_links(stars)))
         where = components(links)
-    left = apart(where, links)
+        left = apart(left, where)
     if not left.isEmpty():
-        one, two = (left.select("sig", *(F.col(c).alias(c + s) for c in ("rep", "c", "n", "bits"))) for s in ("_a", "_b"))
-        rest = one.join(two, "sig").where("rep_a < rep_b and c_a <> c_b").where(_may_link("n_a", "n_b", "bits_a", "bits_b"))
+        left = left.join(classes.select("rep", "n", "bits"), "rep")
+        one, two = (left.select("g", *(F.col(c).alias(c + s) for c in ("rep", "c", "n", "bits"))) for s in ("_a", "_b"))
+        rest = one.join(two, "g").where("rep_a < rep_b and c_a <> c_b").where(_may_link("n_a", "n_b", "bits_a", "bits_b"))
         rest = rest.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
         rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():

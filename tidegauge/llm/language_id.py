@@ -144,7 +144,7 @@ class PpmModel:
 
 class Predictor:
     #: Bytes handled at once, for bounded memory.
-    BLOCK = 1 << 21
+    BLOCK = 1 << 19
 
     def __init__(self, model: PpmModel):
         self.model, (self.slot, self.shift) = model, model.slots()
@@ -172,28 +172,20 @@ class Predictor:
             out[d[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64) if len(first) else 0
         return out, size
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, n = self.model.langs, len(texts)
-        label, score = [UNKNOWN] * n, [0.0] * n
-        good = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if langs else []
-        step, bundle = 4_000_000, []
-        groups: list[list[int]] = []
-        held = 0
-        for i in good:
-            bundle.append(i)
-            held += len(texts[i])
-            if held > step:
-                groups.append(bundle)
-                bundle, held = [], 0
-        for group in [*groups, bundle]:
-            if not group:
+    def predict(self, column: pa.Array) -> tuple[list[str], list[float]]:
+        """Language and score of every text of an Arrow column, some texts at a time."""
+        langs, label, score = self.model.langs, [UNKNOWN] * len(column), [0.0] * len(column)
+        for part in range(0, len(column) if langs else 0, 256):
+            texts = column.slice(part, 256).to_pylist()
+            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            if not good:
                 continue
-            bits, _ = self.totals([texts[i] for i in group])
+            bits, _ = self.totals([texts[i] for i in good])
             best = bits.argmin(axis=1)
-            gap = bits - bits[np.arange(len(group)), best][:, None]
+            gap = bits - bits[np.arange(len(good)), best][:, None]
             sure = 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1)
-            for i, b, s in zip(group, best, sure):
-                label[i], score[i] = langs[b], float(s)
+            for i, k, s in zip(good, best, sure):
+                label[part + i], score[part + i] = langs[k], float(s)
         return label, score
 
 
@@ -211,15 +203,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     return PpmModel.fit(counts.toPandas())
 
 
-def predict(docs: DataFrame, model: PpmModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep`` and lang_pred, score for every row."""
+def predict(docs: DataFrame, model: PpmModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns of ``keep`` and the language and its score, by ``names``, for every row."""
     shared = share(docs, model)
+    source = text if text in keep else "__text"
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = Predictor(shared())
         for batch in batches:
-            label, score = predictor.predict(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+            label, score = predictor.predict(batch.column(source))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(label, pa.string()), pa.array(score, pa.float64())], [*keep, *names])
 
-    return docs.select(*keep, docs[text].alias("__text")).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return docs.select(*keep, *([] if text in keep else [docs[text].alias("__text")])).mapInArrow(run, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
