@@ -1,11 +1,650 @@
-"""All queries over the test tables and their SQL counterparts."""
+"""Queries over the test tables, one for each operator or family, and their SQL counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.functions import rankstats
+from tidegauge.operators import distance, encode, inject, ordering, policy, quality
+from tidegauge.plans import experiment, report
+from tidegauge.streaming import calendar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "ks_events"
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r6(c, name: str):
+    """A column rounded for comparison, without negative zero."""
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, size: int = 500, **kwargs) -> DataFrame:
+    """Events in time order, split 60/20/20 and cut into windows; value also with gaps, and a category with gaps."""
+    df = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    df = ordering.count_windows(ordering.fraction_split(ordering.with_ordinal(df, "ts", "event_id")), size, **kwargs)
+    return df.withColumn("gappy", F.when(F.col("event_id") % 7 != 0, F.col("value"))).withColumn("kind", F.when(F.col("event_id") % 11 != 0, F.col("event_type")))
+
+
+SPLIT_SQL = """base AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS rn, count(*) OVER () AS n FROM {source}),
+cuts AS (SELECT *, CAST(floor(n * 0.6e0) AS BIGINT) AS a, CAST(floor(n * 0.6e0) AS BIGINT) + CAST(floor(n * 0.2e0) AS BIGINT) AS b FROM base),
+sp AS (SELECT *, CASE WHEN rn < a THEN 'train' WHEN rn < b THEN 'validation' ELSE 'test' END AS split, rn - CASE WHEN rn < a THEN 0 WHEN rn < b THEN a ELSE b END AS srn FROM cuts),
+sz AS (SELECT split, count(*) AS m FROM sp GROUP BY split),
+w AS (SELECT sp.*, m, LEAST(CAST(floor(srn / {size}e0) AS BIGINT), m // {size} - 1 + CASE WHEN m % {size} > 0 AND (m % {size} >= {least} OR m < {size}) THEN 1 ELSE 0 END) AS window_index FROM sp JOIN sz USING (split))"""
+
+
+def events_sql(size: int = 500, least: int | None = None) -> str:
+    source = "(SELECT event_id, ts, user_id, event_type, value, CASE WHEN event_id % 7 <> 0 THEN value END AS gappy, CASE WHEN event_id % 11 <> 0 THEN event_type END AS kind FROM events) e"
+    return "WITH " + SPLIT_SQL.format(order="ts, event_id", source=source, size=size, least=least or max(2, size // 2))
+
+
+# --- Order, splits, windows -----------------------------------------------------------------------------------------
+
+
+@query(events_sql() + " SELECT split, count(*) AS n_rows, CAST(sum(rn) AS BIGINT) AS sum_rn, min(ts) AS first_ts, max(ts) AS last_ts FROM w GROUP BY split")
+def split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("rn").alias("sum_rn"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'train' WHEN 'O' THEN 'validation' ELSE 'test' END AS split, count(*) AS n_rows, round(avg(o_totalprice), 6) AS mean_price FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY 1")
+def official_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = F.when(F.col("o_orderstatus") == "F", "Train").when(F.col("o_orderstatus") == "O", "VALID").when(F.col("o_orderstatus") == "P", "test").otherwise("other")
+    rows = ordering.official_split(read(spark, sf_dir, "orders").withColumn("part", named), "part")
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), r6(F.avg("o_totalprice"), "mean_price"))
+
+
+WINDOW_ROWS = " SELECT split, window_index, min(srn) AS window_start, max(srn) + 1 AS window_end, count(*) AS window_size FROM {0} GROUP BY split, window_index"
+
+
+@query(events_sql(300, 150) + WINDOW_ROWS.format("w"))
+def count_windows_merged_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.window_table(events(spark, sf_dir, 300))
+
+
+@query(events_sql(300, 150) + WINDOW_ROWS.format("(SELECT * FROM w WHERE srn < m - m % 300 + CASE WHEN m % 300 >= 150 THEN 300 ELSE 0 END)"))
+def count_windows_dropped_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.window_table(events(spark, sf_dir, 300, drop_remainder=True))
+
+
+CALENDAR_SQL = """WITH p AS (SELECT date_trunc('month', o_orderdate) AS period, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1),
+l AS (SELECT *, row_number() OVER (ORDER BY period) - 1 AS window_label FROM p)
+SELECT row_number() OVER (ORDER BY period) - 1 AS window_index, window_label, n AS n_rows, round(total / n, 6) AS mean_price FROM l WHERE n >= 20"""
+
+
+@query(CALENDAR_SQL)
+def calendar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordering.calendar_windows(read(spark, sf_dir, "orders"), "o_orderdate", "M", 20)
+    return rows.groupBy(F.col("window_index").cast("long").alias("window_index"), F.col("window_label").cast("long").alias("window_label")).agg(F.count(F.lit(1)).alias("n_rows"), r6(F.sum("o_totalprice") / F.count(F.lit(1)), "mean_price"))
+
+
+RECENT_SQL = events_sql() + """, pos AS (SELECT split, window_index, row_number() OVER (ORDER BY CASE split WHEN 'validation' THEN 0 ELSE 1 END, window_index) - 1 AS p FROM (SELECT DISTINCT split, window_index FROM w WHERE split <> 'train')),
+pairs AS (SELECT t.window_index AS for_window, r.split, r.window_index FROM pos t JOIN pos r ON r.p < t.p AND r.p >= t.p - 4 WHERE t.split = 'test'
+UNION ALL SELECT window_index, 'train', NULL FROM pos WHERE split = 'test' AND p - 4 <= -1)
+SELECT for_window AS window_index, count(*) AS reference_size, round(avg(w.value), 6) AS reference_mean FROM pairs JOIN w ON w.split = pairs.split AND (pairs.window_index IS NULL OR pairs.window_index = w.window_index) GROUP BY 1"""
+
+
+@query(RECENT_SQL)
+def recent_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordering.recent_reference(events(spark, sf_dir), 4)
+    return rows.groupBy(F.col("for_window").alias("window_index")).agg(F.count(F.lit(1)).alias("reference_size"), r6(F.avg("value"), "reference_mean"))
+
+
+@query()
+def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    n = rows.count()
+    return ordering.sample_rows(rows, n, 200, 42).select("rn", "event_id", "value")
+
+
+# --- Encoding -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'value' AS feature, 'numeric' AS kind UNION ALL SELECT 'event_type', CASE WHEN (SELECT count(DISTINCT event_type) FROM events) <= 32 THEN 'low' ELSE 'high' END UNION ALL SELECT 'props', CASE WHEN (SELECT count(DISTINCT props) FROM events) <= 32 THEN 'low' ELSE 'high' END")
+def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = encode.feature_types(read(spark, sf_dir, "events"), ["value", "event_type", "props"])
+    return spark.createDataFrame([(c, k) for k in ("numeric", "low", "high") for c in getattr(t, k)], "feature string, kind string")
+
+
+IMPUTE_SQL = events_sql() + """, med AS (SELECT quantile_cont(gappy, 0.5) AS q FROM w WHERE split = 'train'), f AS (SELECT w.*, coalesce(gappy, q) AS v, CASE WHEN gappy IS NULL THEN 1e0 ELSE 0e0 END AS miss FROM w, med),
+s AS (SELECT avg(v) AS a, stddev_pop(v) AS d, avg(miss) AS am, stddev_pop(miss) AS dm FROM f WHERE split = 'train')
+SELECT split, window_index, round(avg((v - a) / d), 6) + 0e0 AS mean_value, round(max((v - a) / d), 6) + 0e0 AS max_value, round(avg((miss - am) / dm), 6) + 0e0 AS mean_missing FROM f, s WHERE split <> 'train' GROUP BY split, window_index"""
+
+
+@query(IMPUTE_SQL)
+def impute_and_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    enc = encode.Encoder.fit(rows.where("split = 'train'"), encode.FeatureTypes(numeric=["gappy"]))
+    out = enc.transform(rows.where("split <> 'train'"), ["split", "window_index"])
+    v, m = F.col("features")[0], F.col("features")[1]
+    return out.groupBy("split", "window_index").agg(r6(F.avg(v), "mean_value"), r6(F.max(v), "max_value"), r6(F.avg(m), "mean_missing"))
+
+
+@query(events_sql() + " SELECT split, coalesce(kind, '__missing__') AS category, count(*) AS n_rows FROM w WHERE coalesce(kind, '__missing__') IN (SELECT coalesce(kind, '__missing__') FROM w WHERE split = 'train') GROUP BY 1, 2")
+def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir)
+    enc = encode.Encoder.fit(rows.where("split = 'train'"), encode.FeatureTypes(low=["kind"]))
+    names = F.array(*(F.lit(c) for c in enc.categories["kind"]))
+    out = enc.transform(rows, ["split"]).select("split", F.posexplode("features").alias("i", "x"))
+    return out.groupBy("split", names[F.col("i")].alias("category")).agg(F.sum("x").cast("long").alias("n_rows")).where("n_rows > 0")
+
+
+@query("SELECT CAST(concat('0x', substr(md5(concat('user_id=', CAST(user_id AS VARCHAR))), 1, 7)) AS BIGINT) % 256 AS bucket, count(*) AS n_rows FROM events GROUP BY 1")
+def hashed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "events").withColumn("user_id", F.col("user_id").cast("string"))
+    enc = encode.Encoder.fit(df, encode.FeatureTypes(high=["user_id"]))
+    out = df.select(F.posexplode(enc.hashed()).alias("bucket", "x")).where("x > 0")
+    return out.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(F.sum("x").cast("long").alias("n_rows"))
+
+
+LINE_KEYS = ["l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def items(spark: SparkSession, sf_dir: str, size: int = 3000) -> DataFrame:
+    """Line items in time order with standardised features, split and cut into windows."""
+    rows = ordering.count_windows(ordering.fraction_split(ordering.with_ordinal(read(spark, sf_dir, "lineitem"), *LINE_KEYS)), size)
+    enc = encode.Encoder.fit(rows.where("split = 'train'"), encode.FeatureTypes(numeric=LINE_NUM))
+    return enc.transform(rows, ["split", "window_index", "srn"])
+
+
+ITEMS_SQL = "WITH " + SPLIT_SQL.format(order=", ".join(LINE_KEYS), source="lineitem", size=3000, least=1500) + ", st AS (SELECT " + ", ".join(f"avg({c}) AS a{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(LINE_NUM)) + " FROM w WHERE split = 'train'), x AS (SELECT split, window_index, srn, " + ", ".join(f"({c} - a{i}) / d{i} AS x{i}" for i, c in enumerate(LINE_NUM)) + " FROM w, st)"
+THETA = encode.directions(len(LINE_NUM), 8)
+Z_SQL = ITEMS_SQL + ", z AS (" + " UNION ALL ".join(f"SELECT split, window_index, {k} AS proj_id, " + " + ".join(f"x{i} * ({float(THETA[i, k])!r})" for i in range(len(LINE_NUM))) + " AS z FROM x" for k in range(8)) + ")"
+
+
+@query(Z_SQL + " SELECT split, CAST(proj_id AS BIGINT) AS proj_id, round(avg(z), 6) + 0e0 AS mean_z, round(max(z), 6) + 0e0 AS max_z FROM z GROUP BY split, proj_id")
+def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = encode.projected(items(spark, sf_dir), ["split"], THETA)
+    return z.groupBy("split", F.col("proj_id").cast("long").alias("proj_id")).agg(r6(F.avg("z"), "mean_z"), r6(F.max("z"), "max_z"))
+
+
+@query()
+def pca_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    out = encode.pca(rows.where("split = 'train'"), 2)(rows.where("split = 'test'"))
+    return out.groupBy("window_index").agg(r6(F.stddev(F.col("features")[0]), "spread_0"), r6(F.stddev(F.col("features")[1]), "spread_1"))
+
+
+# --- Distances ------------------------------------------------------------------------------------------------------------
+
+
+def value_samples(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] = ("value",), size: int = 500, split: str = "test") -> tuple[DataFrame, DataFrame]:
+    rows = events(spark, sf_dir, size).select("split", "window_index", F.array(*(F.col(c).cast("double") for c in columns)).alias("features"))
+    long = encode.long_form(rows, ["split", "window_index"])
+    return long.where("split = 'train'").select("feature_id", "value"), long.where(F.col("split") == split).select("window_index", "feature_id", "value")
+
+
+KS_SQL = events_sql() + """, r AS (SELECT value AS v, count(*) / (SELECT count(*) FROM w WHERE split = 'train')::DOUBLE AS p FROM w WHERE split = 'train' GROUP BY 1), c AS (SELECT window_index, value AS v, count(*) AS k FROM w WHERE split = 'test' GROUP BY 1, 2),
+n AS (SELECT window_index, sum(k)::DOUBLE AS n FROM c GROUP BY 1),
+u AS (SELECT window_index, v, sum(dr) AS dr, sum(dc) AS dc FROM (SELECT window_index, v, p AS dr, 0e0 AS dc FROM n, r UNION ALL SELECT window_index, v, 0e0, k / n FROM c JOIN n USING (window_index)) GROUP BY 1, 2)
+SELECT window_index, round(max(abs(f)), 6) AS ks FROM (SELECT window_index, sum(dr - dc) OVER (PARTITION BY window_index ORDER BY v) AS f FROM u) GROUP BY 1"""
+
+
+@query(KS_SQL)
+def ks_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.ks(*value_samples(spark, sf_dir)).select("window_index", r6("ks", "ks"))
+
+
+KS_ITEMS_SQL = ITEMS_SQL + ", l AS (" + " UNION ALL ".join(f"SELECT split, window_index, {i} AS f, x{i} AS v FROM x" for i in range(4)) + """), nr AS (SELECT f, count(*)::DOUBLE AS n FROM l WHERE split = 'train' GROUP BY 1), r AS (SELECT f, v, count(*) / any_value(n) AS p FROM l JOIN nr USING (f) WHERE split = 'train' GROUP BY 1, 2),
+c AS (SELECT window_index, f, v, count(*) AS k FROM l WHERE split = 'test' GROUP BY 1, 2, 3), n AS (SELECT window_index, f, sum(k)::DOUBLE AS n FROM c GROUP BY 1, 2),
+u AS (SELECT window_index, f, v, sum(dr) AS dr, sum(dc) AS dc FROM (SELECT window_index, f, v, p AS dr, 0e0 AS dc FROM n JOIN r USING (f) UNION ALL SELECT window_index, f, v, 0e0, k / n FROM c JOIN n USING (window_index, f)) GROUP BY 1, 2, 3),
+k AS (SELECT window_index, f, max(abs(g)) AS ks FROM (SELECT window_index, f, sum(dr - dc) OVER (PARTITION BY window_index, f ORDER BY v) AS g FROM u) GROUP BY 1, 2)
+SELECT window_index, round(avg(ks), 6) AS mean_ks, round(max(ks), 6) AS max_ks FROM k GROUP BY 1"""
+
+
+def item_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    long = encode.long_form(items(spark, sf_dir), ["split", "window_index"])
+    return long.where("split = 'train'").select("feature_id", "value"), long.where("split = 'test'").select("window_index", "feature_id", "value")
+
+
+@query(KS_ITEMS_SQL)
+def ks_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.ks(*item_samples(spark, sf_dir)).groupBy("window_index").agg(r6(F.avg("ks"), "mean_ks"), r6(F.max("ks"), "max_ks"))
+
+
+def psi_sql(head: str, features: list[str], tail: str, bins: int = 10) -> str:
+    long = ", l AS (" + " UNION ALL ".join(f"SELECT split, window_index, {i} AS f, CAST({c} AS DOUBLE) AS v FROM {'x' if ', x AS' in head else 'w'} WHERE {c} IS NOT NULL" for i, c in enumerate(features)) + ")"
+    grid = ", ".join(repr(q) for q in distance.quantile_grid(bins + 1))
+    return head + long + f""", e AS (SELECT f, list_sort(list_distinct(quantile_cont(v, [{grid}]))) AS edges, bool_and(v IN (0, 1)) AS r01, min(v) AS rlo, max(v) AS rhi, count(*) AS nr FROM l WHERE split = 'train' GROUP BY f),
+c AS (SELECT window_index, f, bool_and(v IN (0, 1)) AS c01, min(v) AS clo, max(v) AS chi, count(*) AS nc FROM l WHERE split = 'test' GROUP BY 1, 2),
+rule AS (SELECT window_index, f, nr, nc, CASE WHEN len(edges) >= 3 THEN edges[2:-2] WHEN r01 AND c01 THEN [0.5e0] WHEN least(rlo, clo) = greatest(rhi, chi) THEN []::DOUBLE[]
+ELSE list_transform(range(1, {bins}), i -> least(rlo, clo) + (greatest(rhi, chi) - least(rlo, clo)) / {bins} * i) END AS inner_edges FROM c JOIN e USING (f)),
+g AS (SELECT window_index, f, nr, nc, len(inner_edges) + 1 AS n_bins, inner_edges, unnest(range(0, len(inner_edges) + 1)) AS bin FROM rule),
+a AS (SELECT window_index, f, len(list_filter(inner_edges, q -> q <= v)) AS bin, count(*) AS k FROM l JOIN rule USING (window_index, f) WHERE split = 'test' GROUP BY 1, 2, 3),
+b AS (SELECT rule.window_index, f, len(list_filter(inner_edges, q -> q <= v)) AS bin, count(*) AS k FROM l JOIN rule USING (f) WHERE split = 'train' GROUP BY 1, 2, 3),
+s AS (SELECT g.window_index, g.f, n_bins, coalesce(b.k, 0) AS ke, coalesce(a.k, 0) AS ka, coalesce(b.k, 0) / nr::DOUBLE AS pe, coalesce(a.k, 0) / nc::DOUBLE AS pa FROM g LEFT JOIN a USING (window_index, f, bin) LEFT JOIN b USING (window_index, f, bin)),
+t AS (SELECT window_index, CAST(f AS BIGINT) AS feature_id, sum((greatest(pa, 1e-6) - greatest(pe, 1e-6)) * ln(greatest(pa, 1e-6) / greatest(pe, 1e-6))) AS psi, max(n_bins) AS n_bins, count(*) FILTER (ke = 0) AS zero_expected, count(*) FILTER (ka = 0) AS zero_actual,
+count(*) FILTER (pe < 1e-6) AS clipped_expected, count(*) FILTER (pa < 1e-6) AS clipped_actual FROM s GROUP BY 1, 2) """ + tail
+
+
+PSI_ROWS = "SELECT window_index, feature_id, round(psi, 6) + 0e0 AS psi, CAST(n_bins AS BIGINT) AS n_bins, zero_expected, zero_actual, clipped_expected, clipped_actual FROM t"
+
+
+def psi_rows(per: DataFrame) -> DataFrame:
+    return per.select("window_index", F.col("feature_id").cast("long").alias("feature_id"), r6("psi", "psi"), F.col("n_bins").cast("long").alias("n_bins"), "zero_expected", "zero_actual", "clipped_expected", "clipped_actual")
+
+
+@query(psi_sql(events_sql(), ["value", "gappy"], PSI_ROWS))
+def psi_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return psi_rows(distance.psi(*value_samples(spark, sf_dir, ("value", "gappy"))))
+
+
+#: A 0/1 flag, a rare flag, a constant and a mostly constant number: each takes another fallback.
+FLAGS = {"f_click": "CASE WHEN event_type = 'click' THEN 1 ELSE 0 END", "f_rare": "CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END", "f_zero": "0", "f_spike": "CASE WHEN event_id % 41 = 0 THEN value ELSE 3 END"}
+FLAGS_SQL = events_sql().replace("value, CASE WHEN event_id % 7", "value, " + ", ".join(f"{e} AS {n}" for n, e in FLAGS.items()) + ", CASE WHEN event_id % 7")
+
+
+@query(psi_sql(FLAGS_SQL, list(FLAGS), PSI_ROWS))
+def psi_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("split", "window_index", F.array(*(F.expr(e).cast("double") for e in FLAGS.values())).alias("features"))
+    long = encode.long_form(rows, ["split", "window_index"])
+    return psi_rows(distance.psi(long.where("split = 'train'").select("feature_id", "value"), long.where("split = 'test'").select("window_index", "feature_id", "value")))
+
+
+PSI_SUMMARY_SQL = "SELECT window_index, round(avg(psi), 6) AS mean_psi, round(max(psi), 6) AS max_psi, round(quantile_cont(psi, 0.95), 6) AS p95_psi, round(list_avg(list_reverse_sort(list(psi))[1:2]), 6) AS top2_psi, round(list_avg(list_reverse_sort(list(psi))[1:5]), 6) AS top5_psi FROM t GROUP BY 1"
+
+
+@query(psi_sql(ITEMS_SQL, ["x0", "x1", "x2", "x3"], PSI_SUMMARY_SQL))
+def psi_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = distance.psi_summaries(distance.psi(*item_samples(spark, sf_dir)), (2, 5))
+    return out.select("window_index", *(r6(c, c) for c in out.columns[1:]))
+
+
+@query(psi_sql(ITEMS_SQL, ["x0", "x1", "x2", "x3"], "SELECT window_index, feature_id, rank, round(psi, 6) + 0e0 AS psi, round(zero_actual_share, 6) + 0e0 AS zero_actual_share, CAST(n_bins_total AS BIGINT) AS n_bins_total FROM (SELECT *, row_number() OVER (PARTITION BY window_index ORDER BY psi DESC, feature_id) AS rank, sum(zero_actual) OVER (PARTITION BY window_index) / sum(n_bins) OVER (PARTITION BY window_index)::DOUBLE AS zero_actual_share, sum(n_bins) OVER (PARTITION BY window_index) AS n_bins_total FROM t) WHERE rank <= 3"))
+def psi_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = distance.psi_diagnostics(distance.psi(*item_samples(spark, sf_dir)), 3)
+    return out.select("window_index", F.col("feature_id").cast("long").alias("feature_id"), F.col("rank").cast("long").alias("rank"), r6("psi", "psi"), r6("zero_actual_share", "zero_actual_share"), F.col("n_bins_total").cast("long").alias("n_bins_total"))
+
+
+GRID = 64
+SLICED_SQL = Z_SQL + f""", q AS (SELECT split, window_index, proj_id, quantile_cont(z, [{', '.join(repr(q) for q in distance.quantile_grid(GRID))}]) AS q FROM z WHERE split = 'test' GROUP BY 1, 2, 3),
+t AS (SELECT proj_id, quantile_cont(z, [{', '.join(repr(q) for q in distance.quantile_grid(GRID))}]) AS q FROM z WHERE split = 'train' GROUP BY 1),
+d AS (SELECT window_index, proj_id, list_sum(list_transform(list_zip(q.q, t.q), p -> (p[1] - p[2]) * (p[1] - p[2]))) / {GRID} AS w2 FROM q JOIN t USING (proj_id))
+SELECT window_index, round(sqrt(avg(w2)), 6) AS score FROM d GROUP BY 1"""
+
+
+def item_projections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    z = encode.projected(items(spark, sf_dir), ["split", "window_index", "srn"], THETA)
+    return z.where("split = 'train'"), z.where("split = 'test'")
+
+
+@query(SLICED_SQL)
+def sliced_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cur = item_projections(spark, sf_dir)
+    return distance.sliced_wasserstein(ref.select("proj_id", "z"), cur.select("window_index", "proj_id", "z"), GRID).select("window_index", r6("score", "score"))
+
+
+@query()
+def sliced_wasserstein_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cur = item_projections(spark, sf_dir)
+    one = cur.where("window_index = 0")
+    n_ref, n_cur = (df.where("proj_id = 0").count() for df in (ref, one))
+    named = lambda df: df.select(F.col("srn").alias("rn"), "proj_id", "z")
+    return spark.createDataFrame([(distance.sliced_subsample(named(ref), named(one), n_ref, n_cur, size=500),)], "score double")
+
+
+DIMS = 8
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The first 200 embeddings are the reference, later ones windows of 60; the first components, as doubles."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("srn"), F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("features"))
+    return rows.where("srn < 200"), rows.where("srn >= 200 and srn < 500").withColumn("window_index", F.floor((F.col("srn") - 200) / 60).cast("long"))
+
+
+D2 = "list_sum(list_transform(list_zip(p.v, q.v), t -> (t[1] - t[2]) * (t[1] - t[2])))"
+VEC_SQL = f"WITH e AS (SELECT vec_id AS i, list_transform(embedding[1:{DIMS}], x -> CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 500), r AS (SELECT * FROM e WHERE i < 200), c AS (SELECT *, (i - 200) // 60 AS w FROM e WHERE i >= 200)"
+
+
+@query(VEC_SQL + f", xy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM r p, c q GROUP BY 1), xx AS (SELECT avg(sqrt({D2})) AS m FROM r p, r q), yy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM c p JOIN c q ON p.w = q.w GROUP BY 1) SELECT CAST(xy.w AS BIGINT) AS window_index, round(sqrt(greatest(2 * xy.m - xx.m - yy.m, 0)), 6) AS score FROM xy JOIN yy USING (w), xx")
+def energy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.energy(*vectors(spark, sf_dir)).select("window_index", r6("score", "score"))
+
+
+MMD_SQL = VEC_SQL + f""", j AS (SELECT DISTINCT w FROM c), b AS (SELECT j.w, r.i, r.v FROM j, r UNION ALL SELECT w, i, v FROM c), pd AS (SELECT p.w, {D2} AS d FROM b p JOIN b q ON p.w = q.w AND p.i < q.i),
+g AS (SELECT w, 1 / greatest(2 * quantile_cont(d, 0.5), 1e-12) AS g FROM pd WHERE d > 0 GROUP BY 1),
+xy AS (SELECT q.w, avg(exp(-g * {D2})) AS m FROM r p, c q JOIN g ON q.w = g.w GROUP BY 1), xx AS (SELECT g.w, avg(exp(-g * {D2})) AS m FROM r p, r q, g GROUP BY 1), yy AS (SELECT q.w, avg(exp(-g * {D2})) AS m FROM c p JOIN c q ON p.w = q.w JOIN g ON g.w = q.w GROUP BY 1)
+SELECT CAST(xy.w AS BIGINT) AS window_index, round(sqrt(greatest(xx.m + yy.m - 2 * xy.m, 0)), 6) AS score FROM xy JOIN xx USING (w) JOIN yy USING (w)"""
+
+
+@query(MMD_SQL)
+def mmd_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.mmd(*vectors(spark, sf_dir)).select("window_index", r6("score", "score"))
+
+
+@query()
+def classifier_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref, cur = vectors(spark, sf_dir)
+    return spark.createDataFrame([(distance.c2st(ref, cur.where("window_index = 0").select("srn", "features"), folds=3),)], "score double")
+
+
+@query()
+def sinkhorn_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.sinkhorn(*vectors(spark, sf_dir))
+
+
+# --- Quality ----------------------------------------------------------------------------------------------------------------
+
+
+SCORED = "((event_id * 37) % 101) / 101e0"
+
+
+def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).where("split = 'test'").select("window_index", F.expr(SCORED).alias("score"), F.expr("CASE WHEN (event_id * 31) % 101 < 40 THEN 1 ELSE 0 END").alias("label"), "event_id", "value")
+
+
+METRIC_SQL = events_sql() + f""", s AS (SELECT window_index, {SCORED} AS p, CASE WHEN (event_id * 31) % 101 < 40 THEN 1 ELSE 0 END AS y FROM w WHERE split = 'test'),
+k AS (SELECT window_index, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1e0 ELSE 0e0 END) AS accuracy, -avg(ln(CASE WHEN y = 1 THEN greatest(least(p, 1 - 1e-15), 1e-15) ELSE 1 - greatest(least(p, 1 - 1e-15), 1e-15) END)) AS logloss, avg((p - y) * (p - y)) AS brier FROM s GROUP BY 1),
+rk AS (SELECT window_index, y, rank() OVER (PARTITION BY window_index ORDER BY p) + (count(*) OVER (PARTITION BY window_index, p) - 1) / 2e0 AS r FROM s),
+au AS (SELECT window_index, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) AS roc_auc FROM rk GROUP BY 1),
+st AS (SELECT window_index, p, count(*) AS c, sum(y) AS tp FROM s GROUP BY 1, 2), cu AS (SELECT window_index, tp, sum(tp) OVER (PARTITION BY window_index ORDER BY p DESC) / (sum(c) OVER (PARTITION BY window_index ORDER BY p DESC))::DOUBLE AS pr FROM st),
+ap AS (SELECT window_index, sum(tp * pr) / sum(tp) AS pr_auc FROM cu GROUP BY 1)
+SELECT window_index, round(accuracy, 6) AS accuracy, round(logloss, 6) AS logloss, round(brier, 6) AS brier, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc FROM k JOIN au USING (window_index) JOIN ap USING (window_index)"""
+
+
+@query(METRIC_SQL)
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classification_metrics(scored_events(spark, sf_dir), ["window_index"])
+    return out.select("window_index", *(r6(c, c) for c in ("accuracy", "logloss", "brier", "roc_auc", "pr_auc")))
+
+
+OVR_SQL = events_sql() + """, s AS (SELECT window_index, event_id % 3 AS y, c, ((event_id * (37 + c * 6)) % 101) / 101e0 AS p FROM w, range(3) t(c) WHERE split = 'test'),
+rk AS (SELECT window_index, c, CASE WHEN y = c THEN 1 ELSE 0 END AS o, rank() OVER (PARTITION BY window_index, c ORDER BY p) + (count(*) OVER (PARTITION BY window_index, c, p) - 1) / 2e0 AS r FROM s),
+au AS (SELECT window_index, c, (sum(r) FILTER (o = 1) - sum(o) * (sum(o) + 1) / 2e0) / (sum(o) * (count(*) - sum(o))) AS a FROM rk GROUP BY 1, 2) SELECT window_index, round(avg(a), 6) AS roc_auc_ovr FROM au GROUP BY 1"""
+
+
+@query(OVR_SQL)
+def multiclass_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = F.array(*(F.expr(f"((event_id * {37 + c * 6}) % 101) / 101e0") for c in range(3)))
+    rows = scored_events(spark, sf_dir).select("window_index", (F.col("event_id") % 3).alias("label"), scores.alias("scores"))
+    return quality.multiclass_auc(rows, ["window_index"]).select("window_index", r6("roc_auc_ovr", "roc_auc_ovr"))
+
+
+@query(events_sql() + ", s AS (SELECT window_index, value AS y, value * 0.9e0 + (event_id % 5) AS p FROM w WHERE split = 'test') SELECT window_index, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round(avg(abs(p - y)), 6) AS mae, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2 FROM s GROUP BY 1")
+def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scored_events(spark, sf_dir).select("window_index", F.col("value").alias("actual"), F.expr("value * 0.9e0 + (event_id % 5)").alias("predicted"))
+    return quality.regression_metrics(rows, ["window_index"]).select("window_index", *(r6(c, c) for c in ("rmse", "mae", "r2")))
+
+
+@query()
+def model_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir).withColumn("label", (F.col("features")[0] > 0).cast("int")).withColumn("features", F.slice("features", 2, 3))
+    score = quality.fit_model(rows.where("split = 'train'"), "linear", "classification")
+    return quality.classification_metrics(score(rows.where("split = 'test'")).select("window_index", "score", "label"), ["window_index"])
+
+
+# --- Thresholds and policies ------------------------------------------------------------------------------------------------
+
+
+#: Facts about 40 windows and three methods with made-up scores, for the operators on result tables.
+FACTS_SQL = "WITH ids AS (SELECT DISTINCT event_id % 40 AS w FROM events), f AS (SELECT w AS window_index, concat('m', k) AS method, ((w * 7 + k * 13) % 17) / 10e0 AS score, ((w * 5 + w * w * (k + 1)) % 11) / 100e0 AS quality_drop FROM ids, range(3) t(k))"
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("w")).distinct()
+    rows = ids.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))))
+    return rows.select(F.col("w").alias("window_index"), F.concat(F.lit("m"), "k").alias("method"), F.expr("((w * 7 + k * 13) % 17) / 10e0").alias("score"), F.expr("((w * 5 + w * w * (k + 1)) % 11) / 100e0").alias("quality_drop"))
+
+
+THRESHOLD_SQL = FACTS_SQL + ", t AS (SELECT method, quantile_cont(score, 0.9) AS threshold FROM f WHERE window_index < 20 GROUP BY 1) SELECT window_index, method, round(threshold, 6) AS threshold, score >= threshold AS triggered FROM f JOIN t USING (method) WHERE window_index >= 20"
+
+
+@query(THRESHOLD_SQL)
+def thresholds_and_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts(spark, sf_dir)
+    limits = policy.thresholds(rows.where("window_index < 20"), 0.9)
+    return policy.triggered(rows.where("window_index >= 20"), limits).select("window_index", "method", r6("threshold", "threshold"), "triggered")
+
+
+TRIGGER_SQL = FACTS_SQL + """, q AS (SELECT window_index, quality_drop FROM f WHERE method = 'm0'), tr AS (SELECT 'no_retraining' AS policy, window_index, false AS t FROM q UNION ALL SELECT 'periodic_p4', window_index, (window_index + 1) % 4 = 0 FROM q UNION ALL SELECT concat(method, '_trigger'), window_index, score >= 1.2e0 FROM f
+UNION ALL SELECT 'oracle_drop', window_index, quality_drop >= 0.05e0 FROM q UNION ALL SELECT 'oracle_every_window', window_index, true FROM q)"""
+
+
+def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts(spark, sf_dir)
+    return policy.trigger_matrix(rows.withColumn("triggered", F.col("score") >= 1.2), rows.where("method = 'm0'"), (4,), 0.05)
+
+
+@query(TRIGGER_SQL + " SELECT policy, window_index, t AS triggered, coalesce(CAST(sum(CASE WHEN t THEN 1 ELSE 0 END) OVER b AS BIGINT), 0) AS n_retrains, max(CASE WHEN t THEN window_index END) OVER b AS trained_after FROM tr WINDOW b AS (PARTITION BY policy ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+def retrain_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.retrain_schedule(triggers(spark, sf_dir)).withColumnRenamed("trigger", "triggered")
+
+
+@query(TRIGGER_SQL + ", v AS (SELECT policy, string_agg(CASE WHEN t THEN '1' ELSE '0' END, '' ORDER BY window_index) AS s FROM tr GROUP BY 1) SELECT policy, min(policy) OVER (PARTITION BY s) AS schedule FROM v")
+def distinct_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.distinct_schedules(triggers(spark, sf_dir))
+
+
+OBSERVED = "CASE WHEN policy = 'no_retraining' THEN 0.6e0 ELSE 0.7e0 END + ((window_index * 7 + length(policy)) % 13) / 100e0"
+SUMMARY_SQL = TRIGGER_SQL + f""", o AS (SELECT policy, window_index, t, {OBSERVED} AS quality FROM tr), orc AS (SELECT window_index, quality AS best FROM o WHERE policy = 'oracle_every_window'), z AS (SELECT window_index, quality AS q0 FROM o WHERE policy = 'no_retraining'),
+j AS (SELECT * FROM o JOIN orc USING (window_index) JOIN z USING (window_index) JOIN q USING (window_index)),
+s AS (SELECT policy, avg(quality) AS mq, min(quality) AS wq, sum(CASE WHEN t THEN 1 ELSE 0 END) AS nr, avg(quality - q0) AS gain, sum(greatest(best - quality, 0)) AS regret, sum(CASE WHEN t AND quality_drop < 0.05e0 THEN 1 ELSE 0 END) AS fr FROM j GROUP BY 1)
+SELECT policy, 'all' AS history_mode, round(mq, 6) AS mean_quality, round(wq, 6) AS worst_window_quality, CAST(nr AS BIGINT) AS n_retrains, round(gain, 6) + 0e0 AS mean_quality_gain, round(regret, 6) + 0e0 AS cumulative_regret, CAST(fr AS BIGINT) AS false_retrains, round(gain / nullif(nr, 0), 6) + 0e0 AS quality_gain_per_retrain, round(fr / nullif(nr, 0)::DOUBLE, 6) + 0e0 AS false_retrain_share FROM s"""
+
+
+@query(SUMMARY_SQL)
+def policy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed = triggers(spark, sf_dir).withColumn("history_mode", F.lit("all")).withColumn("quality", F.expr(OBSERVED))
+    out = policy.policy_summary(observed, facts(spark, sf_dir).where("method = 'm0'").select("window_index", "quality_drop"), False, 0.05)
+    return out.select("policy", "history_mode", *(F.col(c) if c in ("n_retrains", "false_retrains") else r6(c, c) for c in out.columns[2:]))
+
+
+# --- Injection ----------------------------------------------------------------------------------------------------------------
+
+
+NUM = ["l_quantity", "l_extendedprice"]
+
+
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.count_windows(ordering.fraction_split(ordering.with_ordinal(read(spark, sf_dir, "lineitem"), *LINE_KEYS)), 3000)
+
+
+RAW_SQL = "WITH " + SPLIT_SQL.format(order=", ".join(LINE_KEYS), source="lineitem", size=3000, least=1500) + ", i AS (SELECT " + ", ".join(f"avg({c}) AS a{k}, stddev_samp({c}) AS s{k}, median({c}) AS m{k}" for k, c in enumerate(NUM)) + " FROM w WHERE split = 'train')"
+
+
+@query(RAW_SQL + " SELECT 'l_quantity' AS feature, round(a0, 6) AS mean, round(s0, 6) AS std, round(m0, 6) AS median FROM i UNION ALL SELECT 'l_extendedprice', round(a1, 6), round(s1, 6), round(m1, 6) FROM i")
+def injection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = inject.injection_stats(raw_items(spark, sf_dir).where("split = 'train'"), NUM)
+    return spark.createDataFrame([(c, *map(float, s[c])) for c in NUM], "feature string, mean double, std double, median double").select("feature", *(r6(c, c) for c in ("mean", "std", "median")))
+
+
+def injected(spark: SparkSession, sf_dir: str, change) -> DataFrame:
+    rows = raw_items(spark, sf_dir)
+    stats = inject.injection_stats(rows.where("split = 'train'"), NUM)
+    out = change(rows.where("split = 'test'"), stats)
+    return out.groupBy("window_index").agg(*(r6(F.avg(c), f"mean_{k}") for k, c in enumerate(NUM)), *(r6(F.stddev_pop(c) / 1000, f"spread_{k}") for k, c in enumerate(NUM)))
+
+
+def injected_sql(x0: str, x1: str) -> str:
+    return RAW_SQL + f", v AS (SELECT window_index, {x0} AS v0, {x1} AS v1 FROM w, i WHERE split = 'test') SELECT window_index, round(avg(v0), 6) AS mean_0, round(avg(v1), 6) AS mean_1, round(stddev_pop(v0) / 1000, 6) AS spread_0, round(stddev_pop(v1) / 1000, 6) AS spread_1 FROM v GROUP BY 1"
+
+
+@query(injected_sql("l_quantity + 0.75e0 * s0", "l_extendedprice + 0.75e0 * s1"))
+def inject_mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return injected(spark, sf_dir, lambda df, s: inject.mean_shift(df, NUM, s))
+
+
+@query(injected_sql("a0 + 1.5e0 * (l_quantity - a0)", "a1 + 1.5e0 * (l_extendedprice - a1)"))
+def inject_variance_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return injected(spark, sf_dir, lambda df, s: inject.variance_shift(df, NUM, s))
+
+
+COS, SIN = np.cos(np.radians(40.0)), np.sin(np.radians(40.0))
+
+
+@query(injected_sql(f"a0 + s0 * ((l_quantity - a0) / s0 * {COS!r} + (l_extendedprice - a1) / s1 * {SIN!r})".replace("np.float64(", "(") , f"a1 + s1 * ((l_extendedprice - a1) / s1 * {COS!r} - (l_quantity - a0) / s0 * {SIN!r})".replace("np.float64(", "(")))
+def inject_correlation_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return injected(spark, sf_dir, lambda df, s: inject.correlation_shift(df, NUM, s))
+
+
+@query()
+def inject_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scenario over the test windows: what share of cells it changed."""
+    rows = raw_items(spark, sf_dir)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    stats, shares = inject.injection_stats(train, LINE_NUM), {"l_returnflag": inject.category_shares(train, "l_returnflag")}
+    out = []
+    for name in inject.SCENARIOS:
+        changed = inject.inject(test, name, LINE_NUM, ["l_returnflag"], stats, shares, 1)
+        out.append(changed.groupBy("window_index").agg(F.lit(name).alias("scenario"), F.count(F.lit(1)).alias("n_rows"), r6(F.avg("l_quantity"), "mean_quantity"), F.sum(sum((F.col(c).isNull().cast("int") for c in LINE_NUM), F.lit(0))).alias("n_missing")))
+    return distance.union_all(out)
+
+
+DETECT_SQL = FACTS_SQL + """, s AS (SELECT *, CASE WHEN window_index >= 12 THEN 1 ELSE 0 END AS y, score >= 1.3e0 AS t FROM f),
+rk AS (SELECT method, y, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2e0 AS r FROM s), au AS (SELECT method, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) AS auroc FROM rk GROUP BY 1),
+st AS (SELECT method, score, count(*) AS c, sum(y) AS tp FROM s GROUP BY 1, 2), cu AS (SELECT method, tp, sum(tp) OVER (PARTITION BY method ORDER BY score DESC) / (sum(c) OVER (PARTITION BY method ORDER BY score DESC))::DOUBLE AS pr FROM st), ap AS (SELECT method, sum(tp * pr) / sum(tp) AS auprc FROM cu GROUP BY 1)
+SELECT method, round(any_value(auroc), 6) AS auroc, round(any_value(auprc), 6) AS auprc, min(window_index - 12) FILTER (t AND window_index >= 12) AS detection_delay_windows, round(avg(CASE WHEN t THEN 1e0 ELSE 0e0 END) FILTER (window_index < 12), 6) + 0e0 AS false_alarm_rate, count(*) AS n_windows, CAST(sum(y) AS BIGINT) AS n_drift_windows FROM s JOIN au USING (method) JOIN ap USING (method) GROUP BY 1"""
+
+
+@query(DETECT_SQL)
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inject.detection_summary(facts(spark, sf_dir).withColumn("triggered", F.col("score") >= 1.3), 12, ["method"])
+    return out.select("method", r6("auroc", "auroc"), r6("auprc", "auprc"), "detection_delay_windows", r6("false_alarm_rate", "false_alarm_rate"), "n_windows", "n_drift_windows")
+
+
+# --- Rank statistics ------------------------------------------------------------------------------------------------------------
+
+
+def lagged_sql(lag: int) -> str:
+    y = "quality_drop" if lag == 0 else f"lead(quality_drop, {lag}) OVER (PARTITION BY method ORDER BY window_index)"
+    return f"SELECT method, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS c FROM (SELECT method, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2e0 AS x, rank() OVER (PARTITION BY method ORDER BY yy) + (count(*) OVER (PARTITION BY method, yy) - 1) / 2e0 AS y FROM (SELECT method, score, {y} AS yy FROM f) WHERE yy IS NOT NULL) GROUP BY 1"
+
+
+CORR_SQL = FACTS_SQL + f""", s0 AS ({lagged_sql(0)}), s1 AS ({lagged_sql(1)}), s2 AS ({lagged_sql(2)}),
+kd AS (SELECT a.method, sum(sign(a.score - b.score) * sign(a.quality_drop - b.quality_drop)) / sqrt(sum(abs(sign(a.score - b.score)))::DOUBLE * sum(abs(sign(a.quality_drop - b.quality_drop)))::DOUBLE) AS tau FROM f a JOIN f b ON a.method = b.method AND a.window_index < b.window_index GROUP BY 1)
+SELECT method, round(s0.c, 6) AS spearman, round(tau, 6) AS kendall_tau, round(s1.c, 6) AS spearman_lag1, round(s2.c, 6) AS spearman_lag2, (SELECT count(*) FROM f WHERE f.method = s0.method) AS n_windows FROM s0 JOIN s1 USING (method) JOIN s2 USING (method) JOIN kd USING (method)"""
+
+
+@query(CORR_SQL)
+def drift_quality_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rankstats.correlation_table(facts(spark, sf_dir))
+    return out.select("method", *(r6(c, c) for c in ("spearman", "kendall_tau", "spearman_lag1", "spearman_lag2")), "n_windows")
+
+
+@query()
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankstats.bootstrap_spearman(facts(spark, sf_dir), ["method"], "window_index", "score", "quality_drop", 200)
+
+
+P_SQL = "WITH p AS (SELECT DISTINCT event_id % 30 AS i, ((event_id % 30) * (event_id % 30) + 1) / 2000e0 AS p FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM p)"
+
+
+@query(P_SQL + " SELECT i, round(least(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_adjusted, least(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) <= 0.05 AS rejected FROM r")
+def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 30).alias("i")).distinct().withColumn("p_value", F.expr("(i * i + 1) / 2000e0"))
+    return rankstats.benjamini_hochberg(rows).select("i", r6("p_adjusted", "p_adjusted"), "rejected")
+
+
+WILCOXON_SQL = FACTS_SQL + ", d AS (SELECT a.method, b.score - a.score AS d FROM f a JOIN f b ON a.window_index = b.window_index AND b.method = 'm0' WHERE a.method <> 'm0' AND a.score <> b.score), r AS (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2e0 AS r FROM d) SELECT method, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w_plus FROM r GROUP BY 1"
+
+
+@query(WILCOXON_SQL)
+def wilcoxon_signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankstats.wilcoxon(facts(spark, sf_dir), "m0", "method", "window_index", "score").select("method", "n", r6("w_plus", "w_plus"))
+
+
+FRIEDMAN_SQL = FACTS_SQL + """, r AS (SELECT window_index, method, rank() OVER (PARTITION BY window_index ORDER BY score) + (count(*) OVER (PARTITION BY window_index, score) - 1) / 2e0 AS r FROM f), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM f GROUP BY window_index, score)),
+s AS (SELECT sum(x * x) AS rr, max(n) AS n FROM (SELECT method, sum(r) AS x, count(*) AS n FROM r GROUP BY 1))
+SELECT round((12e0 / (n * 12) * rr - 12 * n) / (1 - ties / (n * 24e0)), 6) AS statistic, n AS n_pairs, CAST(3 AS BIGINT) AS n_methods FROM s, t"""
+
+
+@query(FRIEDMAN_SQL)
+def friedman_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rankstats.friedman(facts(spark, sf_dir), "method", "window_index", "score")
+    return out.select(r6("statistic", "statistic"), "n_pairs", F.col("n_methods").cast("long").alias("n_methods"))
+
+
+@query(events_sql() + " SELECT 'events' AS dataset, count(*) AS n_rows, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, CAST(2 AS BIGINT) AS n_features, round((avg(CASE WHEN gappy IS NULL THEN 1e0 ELSE 0e0 END) + avg(CASE WHEN kind IS NULL THEN 1e0 ELSE 0e0 END)) / 2, 6) AS missing_rate, min(ts) AS time_min, max(ts) AS time_max FROM w")
+def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.dataset_summary(events(spark, sf_dir), "events", ["gappy", "kind"], "ts")
+    return out.select("dataset", "n_rows", "n_train", "n_test", F.col("n_features").cast("long").alias("n_features"), r6("missing_rate", "missing_rate"), "time_min", "time_max")
+
+
+# --- Reports ----------------------------------------------------------------------------------------------------------------------
+
+
+RESULTS_SQL = "WITH ids AS (SELECT DISTINCT event_id % 6 AS d FROM events), c AS (SELECT concat('d', d) AS dataset_model, concat('m', k) AS method, ((d * 7 + k * 5) % 9) / 10e0 AS spearman, ((d * 3 + k) % 5) / 10e0 AS spearman_ci_low, 0.5e0 + ((d + k) % 5) / 10e0 AS spearman_ci_high FROM ids, range(4) t(k))"
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read(spark, sf_dir, "events").select((F.col("event_id") % 6).alias("d")).distinct().withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in range(4)))))
+    return ids.select(F.concat(F.lit("d"), "d").alias("dataset_model"), F.concat(F.lit("m"), "k").alias("method"), F.expr("((d * 7 + k * 5) % 9) / 10e0").alias("spearman"), F.expr("((d * 3 + k) % 5) / 10e0").alias("spearman_ci_low"), F.expr("0.5e0 + ((d + k) % 5) / 10e0").alias("spearman_ci_high"))
+
+
+@query(RESULTS_SQL + ", r AS (SELECT *, rank() OVER (PARTITION BY dataset_model ORDER BY spearman DESC) AS rank FROM c) SELECT method, round(median(spearman), 6) AS median_spearman, round(median(spearman_ci_low), 6) AS median_spearman_ci_low, round(median(spearman_ci_high), 6) AS median_spearman_ci_high, round(avg(rank), 6) AS mean_rank, count(*) FILTER (rank = 1) AS wins, count(DISTINCT dataset_model) AS n_pairs FROM r GROUP BY 1")
+def report_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.correlation_summary(results(spark, sf_dir), "m0")
+    return out.select("method", *(r6(c, c) for c in ("median_spearman", "median_spearman_ci_low", "median_spearman_ci_high", "mean_rank")), "wins", "n_pairs")
+
+
+@query(FACTS_SQL + " SELECT method AS model, round(arg_min(score, window_index), 6) AS test_initial_window_quality, round(arg_max(score, window_index), 6) AS test_final_window_quality, round(arg_max(quality_drop, window_index), 6) AS quality_drop_final FROM f GROUP BY 1")
+def report_downstream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = facts(spark, sf_dir).select(F.col("method").alias("model"), "window_index", F.col("score").alias("quality"), "quality_drop")
+    out = report.downstream_quality(rows, ["model"])
+    return out.select("model", *(r6(c, c) for c in ("test_initial_window_quality", "test_final_window_quality", "quality_drop_final")))
+
+
+@query(RESULTS_SQL + " SELECT method, round(avg(spearman), 6) AS mean_auroc, round(avg(spearman_ci_low), 6) AS mean_auprc, round(median(spearman_ci_high), 6) AS median_detection_delay, round(avg(spearman_ci_low), 6) AS mean_false_alarm_rate, count(DISTINCT dataset_model) AS n_scenarios FROM c GROUP BY 1")
+def report_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results(spark, sf_dir).select("method", F.col("dataset_model").alias("scenario"), F.col("spearman").alias("auroc"), F.col("spearman_ci_low").alias("auprc"), F.col("spearman_ci_high").alias("detection_delay_windows"), F.col("spearman_ci_low").alias("false_alarm_rate"))
+    out = report.detection_summary(rows)
+    return out.select("method", *(r6(c, c) for c in ("mean_auroc", "mean_auprc", "median_detection_delay", "mean_false_alarm_rate")), "n_scenarios")
+
+
+@query(RESULTS_SQL + " SELECT method AS policy, 'all' AS history_mode, round(median(spearman), 6) AS median_regret, round(avg(spearman_ci_low), 6) AS mean_quality, round(avg(spearman_ci_high), 6) AS worst_window_quality, round(avg(spearman), 6) AS mean_retrains, round(avg(spearman_ci_low), 6) AS false_retrain_share FROM c GROUP BY 1")
+def report_retraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results(spark, sf_dir).select(F.col("method").alias("policy"), F.lit("all").alias("history_mode"), F.col("spearman").alias("cumulative_regret"), F.col("spearman_ci_low").alias("mean_quality"), F.col("spearman_ci_high").alias("worst_window_quality"), F.col("spearman").alias("n_retrains"), F.col("spearman_ci_low").alias("false_retrain_share"))
+    out = report.retraining_summary(rows)
+    return out.select("policy", "history_mode", *(r6(c, c) for c in out.columns[2:]))
+
+
+@query(psi_sql(ITEMS_SQL, ["x0", "x1", "x2", "x3"], "SELECT 'test' AS stream, count(DISTINCT window_index) AS windows, round(max(psi), 6) AS max_top1_psi, round(median(psi), 6) AS median_top1_psi FROM (SELECT *, row_number() OVER (PARTITION BY window_index ORDER BY psi DESC, feature_id) AS rank FROM t) WHERE rank = 1"))
+def report_psi_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = distance.psi_diagnostics(distance.psi(*item_samples(spark, sf_dir))).withColumn("stream", F.lit("test"))
+    out = report.psi_diagnostics_summary(rows, ["stream"])
+    return out.select("stream", "windows", r6("max_top1_psi", "max_top1_psi"), r6("median_top1_psi", "median_top1_psi"))
+
+
+@query(RESULTS_SQL + ", s AS (SELECT spearman_ci_low AS ablation_value, method, median(spearman) AS ms, count(DISTINCT dataset_model) AS n FROM c GROUP BY 1, 2), t AS (SELECT spearman_ci_low AS ablation_value, method, median(spearman_ci_high) AS rt FROM c WHERE method <> 'm3' GROUP BY 1, 2) SELECT round(ablation_value, 6) AS ablation_value, method, round(ms, 6) AS median_spearman, n AS n_runs, round(rt, 6) AS runtime_median FROM s LEFT JOIN t USING (ablation_value, method)")
+def report_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results(spark, sf_dir).withColumn("ablation_type", F.lit("size")).withColumn("ablation_value", F.col("spearman_ci_low")).withColumn("run_id", F.col("dataset_model"))
+    times = rows.where("method <> 'm3'").withColumn("runtime_median", F.col("spearman_ci_high")).withColumn("runtime_iqr", F.lit(0.0))
+    return report.ablation_summary(rows, times).select(r6("ablation_value", "ablation_value"), "method", r6("median_spearman", "median_spearman"), "n_runs", r6("runtime_median", "runtime_median"))
+
+
+@query(FACTS_SQL + " SELECT method, round(quantile_cont(score, 0.5), 6) AS runtime_median, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS runtime_iqr FROM f GROUP BY 1")
+def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = report.runtime_summary(facts(spark, sf_dir).withColumnRenamed("score", "runtime_seconds"), ["method"])
+    return out.select("method", r6("runtime_median", "runtime_median"), r6("runtime_iqr", "runtime_iqr"))
+
+
+@query()
+def temporal_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole monitoring run on line items: windows, scores, thresholds and quality."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("target", (F.col("l_quantity") > 25).cast("int"))
+    config = experiment.Config(window_size=3000, methods=("sliced_k8_q64", "mean_ks", "max_psi", "top2_psi"))
+    return experiment.run(rows, LINE_KEYS, ["l_extendedprice", "l_discount", "l_tax", "l_returnflag"], "target", "classification", config).window_scores
+
+
+@query()
+def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calendar.replay(spark, f"{sf_dir}/events.parquet", "ts", "value")
