@@ -143,9 +143,10 @@ def recent_reference(rows: DataFrame, windows: int, split: str = "test") -> Data
     target = ids.where(F.col("split") == split).select(F.col("window_index").alias("for_window"), F.col("__pos").alias("__for"))
     # the training rows stand before the first scored window as one block
     blocks = ids.select("split", "window_index", "__pos").unionByName(rows.sparkSession.createDataFrame([("train", None, -1)], "split string, window_index bigint, __pos int"))
-    pairs = F.broadcast(target.join(blocks, (F.col("__pos") < F.col("__for")) & (F.col("__pos") >= F.col("__for") - windows)))
-    same = (rows["split"] == pairs["split"]) & (pairs["window_index"].isNull() | (rows["window_index"] == pairs["window_index"]))
-    return rows.join(pairs, same).select(pairs["for_window"], *(rows[c] for c in rows.columns))
+    pairs = target.join(blocks, (F.col("__pos") < F.col("__for")) & (F.col("__pos") >= F.col("__for") - windows))
+    pairs = F.broadcast(pairs.select("for_window", F.col("split").alias("__split"), F.col("window_index").alias("__window")))
+    same = (F.col("split") == F.col("__split")) & (F.col("__window").isNull() | (F.col("window_index") == F.col("__window")))
+    return rows.join(pairs, same).select("for_window", *rows.columns)
 
 
 def finite(x: Column | str) -> Column:

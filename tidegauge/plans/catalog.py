@@ -125,8 +125,8 @@ def feature_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 IMPUTE_SQL = events_sql() + """, med AS (SELECT quantile_cont(gappy, 0.5) AS q FROM w WHERE split = 'train'), f AS (SELECT w.*, coalesce(gappy, q) AS v, CASE WHEN gappy IS NULL THEN 1e0 ELSE 0e0 END AS miss FROM w, med),
-s AS (SELECT avg(v) AS a, stddev_pop(v) AS d, avg(miss) AS am, stddev_pop(miss) AS dm FROM f WHERE split = 'train')
-SELECT split, window_index, round(avg((v - a) / d), 6) + 0e0 AS mean_value, round(max((v - a) / d), 6) + 0e0 AS max_value, round(avg((miss - am) / dm), 6) + 0e0 AS mean_missing FROM f, s WHERE split <> 'train' GROUP BY split, window_index"""
+s AS (SELECT avg(v) AS av, stddev_pop(v) AS dv, avg(miss) AS am, stddev_pop(miss) AS dm FROM f WHERE split = 'train')
+SELECT split, window_index, round(avg((v - av) / dv), 6) + 0e0 AS mean_value, round(max((v - av) / dv), 6) + 0e0 AS max_value, round(avg((miss - am) / dm), 6) + 0e0 AS mean_missing FROM f, s WHERE split <> 'train' GROUP BY split, window_index"""
 
 
 @query(IMPUTE_SQL)
@@ -227,10 +227,10 @@ def psi_sql(head: str, features: list[str], tail: str, bins: int = 10) -> str:
     return head + long + f""", e AS (SELECT f, list_sort(list_distinct(quantile_cont(v, [{grid}]))) AS edges, bool_and(v IN (0, 1)) AS r01, min(v) AS rlo, max(v) AS rhi, count(*) AS nr FROM l WHERE split = 'train' GROUP BY f),
 c AS (SELECT window_index, f, bool_and(v IN (0, 1)) AS c01, min(v) AS clo, max(v) AS chi, count(*) AS nc FROM l WHERE split = 'test' GROUP BY 1, 2),
 rule AS (SELECT window_index, f, nr, nc, CASE WHEN len(edges) >= 3 THEN edges[2:-2] WHEN r01 AND c01 THEN [0.5e0] WHEN least(rlo, clo) = greatest(rhi, chi) THEN []::DOUBLE[]
-ELSE list_transform(range(1, {bins}), i -> least(rlo, clo) + (greatest(rhi, chi) - least(rlo, clo)) / {bins} * i) END AS inner_edges FROM c JOIN e USING (f)),
+ELSE list_transform(range(1, {bins}), lambda i: least(rlo, clo) + (greatest(rhi, chi) - least(rlo, clo)) / {bins} * i) END AS inner_edges FROM c JOIN e USING (f)),
 g AS (SELECT window_index, f, nr, nc, len(inner_edges) + 1 AS n_bins, inner_edges, unnest(range(0, len(inner_edges) + 1)) AS bin FROM rule),
-a AS (SELECT window_index, f, len(list_filter(inner_edges, q -> q <= v)) AS bin, count(*) AS k FROM l JOIN rule USING (window_index, f) WHERE split = 'test' GROUP BY 1, 2, 3),
-b AS (SELECT rule.window_index, f, len(list_filter(inner_edges, q -> q <= v)) AS bin, count(*) AS k FROM l JOIN rule USING (f) WHERE split = 'train' GROUP BY 1, 2, 3),
+a AS (SELECT window_index, f, len(list_filter(inner_edges, lambda q: q <= v)) AS bin, count(*) AS k FROM l JOIN rule USING (window_index, f) WHERE split = 'test' GROUP BY 1, 2, 3),
+b AS (SELECT rule.window_index, f, len(list_filter(inner_edges, lambda q: q <= v)) AS bin, count(*) AS k FROM l JOIN rule USING (f) WHERE split = 'train' GROUP BY 1, 2, 3),
 s AS (SELECT g.window_index, g.f, n_bins, coalesce(b.k, 0) AS ke, coalesce(a.k, 0) AS ka, coalesce(b.k, 0) / nr::DOUBLE AS pe, coalesce(a.k, 0) / nc::DOUBLE AS pa FROM g LEFT JOIN a USING (window_index, f, bin) LEFT JOIN b USING (window_index, f, bin)),
 t AS (SELECT window_index, CAST(f AS BIGINT) AS feature_id, sum((greatest(pa, 1e-6) - greatest(pe, 1e-6)) * ln(greatest(pa, 1e-6) / greatest(pe, 1e-6))) AS psi, max(n_bins) AS n_bins, count(*) FILTER (ke = 0) AS zero_expected, count(*) FILTER (ka = 0) AS zero_actual,
 count(*) FILTER (pe < 1e-6) AS clipped_expected, count(*) FILTER (pa < 1e-6) AS clipped_actual FROM s GROUP BY 1, 2) """ + tail
@@ -278,7 +278,7 @@ def psi_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID = 64
 SLICED_SQL = Z_SQL + f""", q AS (SELECT split, window_index, proj_id, quantile_cont(z, [{', '.join(repr(q) for q in distance.quantile_grid(GRID))}]) AS q FROM z WHERE split = 'test' GROUP BY 1, 2, 3),
 t AS (SELECT proj_id, quantile_cont(z, [{', '.join(repr(q) for q in distance.quantile_grid(GRID))}]) AS q FROM z WHERE split = 'train' GROUP BY 1),
-d AS (SELECT window_index, proj_id, list_sum(list_transform(list_zip(q.q, t.q), p -> (p[1] - p[2]) * (p[1] - p[2]))) / {GRID} AS w2 FROM q JOIN t USING (proj_id))
+d AS (SELECT window_index, proj_id, list_sum(list_transform(list_zip(q.q, t.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / {GRID} AS w2 FROM q JOIN t USING (proj_id))
 SELECT window_index, round(sqrt(avg(w2)), 6) AS score FROM d GROUP BY 1"""
 
 
@@ -311,8 +311,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("srn < 200"), rows.where("srn >= 200 and srn < 500").withColumn("window_index", F.floor((F.col("srn") - 200) / 60).cast("long"))
 
 
-D2 = "list_sum(list_transform(list_zip(p.v, q.v), t -> (t[1] - t[2]) * (t[1] - t[2])))"
-VEC_SQL = f"WITH e AS (SELECT vec_id AS i, list_transform(embedding[1:{DIMS}], x -> CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 500), r AS (SELECT * FROM e WHERE i < 200), c AS (SELECT *, (i - 200) // 60 AS w FROM e WHERE i >= 200)"
+D2 = "list_sum(list_transform(list_zip(p.v, q.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+VEC_SQL = f"WITH e AS (SELECT vec_id AS i, list_transform(embedding[1:{DIMS}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 500), r AS (SELECT * FROM e WHERE i < 200), c AS (SELECT *, (i - 200) // 60 AS w FROM e WHERE i >= 200)"
 
 
 @query(VEC_SQL + f", xy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM r p, c q GROUP BY 1), xx AS (SELECT avg(sqrt({D2})) AS m FROM r p, r q), yy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM c p JOIN c q ON p.w = q.w GROUP BY 1) SELECT CAST(xy.w AS BIGINT) AS window_index, round(sqrt(greatest(2 * xy.m - xx.m - yy.m, 0)), 6) AS score FROM xy JOIN yy USING (w), xx")
@@ -647,4 +647,4 @@ def temporal_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.replay(spark, f"{sf_dir}/events.parquet", "ts", "value")
+    return calendar.replay(spark, sf_dir, "events.parquet", "ts", "value")

@@ -25,13 +25,13 @@ def drift_of(windows: DataFrame, reference: list[float]) -> DataFrame:
     return windows.withColumn("score", F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, x: s + x) / len(reference))).drop("q")
 
 
-def replay(spark: SparkSession, path: str, time: str, value: str, grid: int = 11) -> DataFrame:
-    """Run a table through the stream once and return the windows that were complete."""
-    table = spark.read.parquet(path)
+def replay(spark: SparkSession, folder_in: str, name: str, time: str, value: str, grid: int = 11) -> DataFrame:
+    """Run the file of a table (``name`` in a folder) through the stream once and return the windows that were complete."""
+    table = spark.read.parquet(f"{folder_in}/{name}")
     reference = table.agg(F.percentile(value, F.array(*map(F.lit, quantile_grid(grid)))).alias("q")).first()["q"]
     settled(spark.range(1))  # makes sure that a shared folder is set
     folder = f"{spark.sparkContext.getCheckpointDir()}/{tempfile.mktemp(prefix='stream-', dir='')}"
-    stream = spark.readStream.schema(table.schema).parquet(path)
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", name).parquet(folder_in)
     out = drift_of(window_quantiles(stream, time, value, grid=grid), reference)
     run = out.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
