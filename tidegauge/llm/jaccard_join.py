@@ -254,7 +254,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", docs_per_bucket: int = 2000) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", docs_per_bucket: int = 6000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     profile = checkpointed(_profile(docs, doc_id, text))
     rows = profile.where("kind = 0").select("doc_id", "n", "one", "two", "bits")
