@@ -167,14 +167,14 @@ class PrefixTableCodec:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes that form no UTF-8 character become U+FFFD; the dummy prefix goes."""
+        """The text of ids; bytes that form no UTF-8 character become U+FFFD; the dummy prefix goes with the first piece."""
         table = self.bytes_of
         raw = b"".join([table[i] for i in ids])
         try:
             text = raw.decode()
         except UnicodeDecodeError:
             text = self._lossy(raw)
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if ids and self.piece.get(ids[0], "").startswith(SPACE) else text
 
     @staticmethod
     def _lossy(raw: bytes) -> str:
