@@ -21,6 +21,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,8 +31,10 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Distinct units and pairs that a Python worker remembers. Units have two generations: a full young one becomes the old
 #: one, and units used again move back, so frequent ones stay.
-MEMO_UNITS = 400_000
+MEMO_UNITS = 200_000
 MEMO_PAIRS = 1_000_000
+#: Rows of a result batch.
+ROWS = 256
 
 
 class PrefixTableCodec:
@@ -218,7 +221,8 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         names = list(map(str, range(len(codec.bytes_of))))
-        for batch in batches:
+        # some rows at a time: the ids of a whole batch as Python numbers would take many times its size
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             count, sha, back, all_ids, texts = [], [], [], [], []
             for value in batch.column("__text"):
                 ids = codec.encode(value.as_py())
@@ -227,7 +231,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
                 sha.append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
                 back.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.array(ids, np.int32))
                     texts.append(decoded)
             arrays = [batch.column(c) for c in keep] + [pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             if with_ids:
