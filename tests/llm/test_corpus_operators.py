@@ -5,12 +5,14 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import jaccard_join, line_dedup, neighbours, repeats, sharding
 from tidegauge.llm.components import components
 from tidegauge.llm.suffix_array import permuted_lcp, suffix_array
+from tidegauge.llm.words import shingle_sets
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -77,6 +79,34 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, few):
     assert [r["n_shingles"] for r in out] == n and [r["component_id"] for r in out] == c
 
 
+def one_meeting(rng, n):
+    """n texts of seven shingles, the last of nine: all have the three of segment 1 in common, the rest in segment 0. The last
+    two hold each other but meet nowhere else, as two elements of segment 0 differ."""
+
+    def grown(text, k, segment):
+        while True:
+            more = text + rng.choices(WORDS, k=k)
+            made = next(iter(shingle_sets(pa.array([" ".join(more)]))))
+            had = next(iter(shingle_sets(pa.array([" ".join(text)])))) if len(text) >= 5 else []
+            if all(int(t) >> 63 == segment for t in np.setdiff1d(made, had)):
+                return more
+
+    head = grown([], 7, 1)
+    texts = [grown(head, 4, 0) for _ in range(n - 1)]
+    return [" ".join(t) for t in texts + [grown(texts[-1], 2, 0)]]
+
+
+def test_jaccard_join_keeps_links_of_the_last_part(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MAX_HOT", 0)  # without frequent shingles, members of a group go by size and id
+    rng, want = random.Random(9), []
+    texts = []
+    for n in (1002, 1003, 1004):
+        texts += one_meeting(rng, n)
+        want.append((len(texts) - 1, len(texts) - 2))
+    out = jaccard_join.jaccard_components(frame(spark, list(enumerate(texts)))).where("doc_id <> component_id").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in out) == want
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
     out = jaccard_join.jaccard_components(frame(spark, [(7, "a b c"), (7, "a b c"), (3, "a b c"), (None, "a b c")])).collect()

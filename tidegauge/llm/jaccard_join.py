@@ -213,8 +213,8 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The groups of one bucket: sets that share a signature, most central first, in parts that all start with the first.
-    Signatures with the same members make one group, named by its members."""
+    """The groups of one bucket: sets that share a signature, most central first, in parts that all start with the first,
+    each with the members n of its whole group. Signatures with the same members make one group, named by its members."""
     cat = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
     counts = cat("counts", np.int32)
     ids, sig = np.repeat(cat("ids", np.int64), counts), cat("sigs", np.uint32)
@@ -228,8 +228,8 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for s, n, g in zip(start[one].tolist(), length[one].tolist(), name[one].tolist()):
         for part in range(0, n - 1, PART):
-            rows.append((g, part, np.concatenate([ids[s : s + 1], ids[s + 1 + part : min(s + 1 + part + PART, s + n)]])))
-    return pd.DataFrame(rows, columns=["g", "part", "members"])
+            rows.append((g, part, n, np.concatenate([ids[s : s + 1], ids[s + 1 + part : min(s + 1 + part + PART, s + n)]])))
+    return pd.DataFrame(rows, columns=["g", "part", "n", "members"])
 
 
 def _may_link(na: str, nb: str, xa: str, xb: str) -> Column:
@@ -276,7 +276,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     buckets = max(4, -(-n_classes // docs_per_bucket))
     rep_of = rows.where("doc_id is not null").join(classes.drop("bits"), ["n", "one", "two"]).groupBy(F.col("doc_id").alias("id")).agg(F.min("rep").alias("rep"))
     rep_of = checkpointed(rep_of)
-    met = checkpointed(_packed(docs, doc_id, text, hot, buckets).groupBy("bucket").applyInPandas(_meet, "g bigint, part int, members array<bigint>").dropDuplicates(["g", "part"]))
+    met = checkpointed(_packed(docs, doc_id, text, hot, buckets).groupBy("bucket").applyInPandas(_meet, "g bigint, part int, n bigint, members array<bigint>").dropDuplicates(["g", "part"]))
 
     def as_reps(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of classes, smaller first."""
@@ -305,7 +305,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # all pairs of few members, else those with the first
     star = F.transform(F.slice("members", 2, PART), lambda y: F.struct(F.col("members")[0].alias("a"), y.alias("b")))
     every = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, FEW), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = met.select(F.explode(F.when(F.size("members") <= FEW, every).otherwise(star)).alias("p"))
+    pairs = met.select(F.explode(F.when(F.col("n") <= FEW, every).otherwise(star)).alias("p"))
     first = checkpointed(possible(as_reps(pairs.select(F.least("p.a", "p.b").alias("a"), F.greatest("p.a", "p.b").alias("b")))))
     sets = set_table(first.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     # a forest of pairs first: each class with the smallest one that it meets
@@ -322,7 +322,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = checkpointed(links.unionByName(_linked(rest, sets)))
     where = components(links)
     # large groups: pairs of members that are still apart
-    groups = met.where(F.size("members") > FEW).select("g", F.explode("members").alias("id")).join(rep_of, "id").select("g", "rep").distinct()
+    groups = met.where(F.col("n") > FEW).select("g", F.explode("members").alias("id")).join(rep_of, "id").select("g", "rep").distinct()
 
     def apart(groups: DataFrame, where: DataFrame) -> DataFrame:
         """The groups that are not connected: (g, rep, c), c the component."""
