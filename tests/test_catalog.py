@@ -76,3 +76,33 @@ def test_config_mapping(tmp_path):
     (tmp_path / "c.yaml").write_text("- 1")
     with pytest.raises(ValueError):
         conf.load_yaml(str(tmp_path / "c.yaml"))
+
+
+@pytest.fixture(scope="module")
+def embeddings(tmp_path_factory):
+    """2,600 vectors of 12 components; only component 10 of the last 500 moves."""
+    x = np.random.default_rng(11).normal(size=(2600, 12))
+    x[2100:, 10] += 3
+    folder = tmp_path_factory.mktemp("embeddings")
+    pd.DataFrame({"vec_id": np.arange(2600), "embedding": x.tolist(), "label": 0}).to_parquet(folder / "embeddings.parquet")
+    return str(folder), x
+
+
+def test_vector_queries_see_all_rows_and_components(spark, embeddings):
+    folder, x = embeddings
+    ref, windows = x[:1560], [x[1560:2060], x[2060:2600]]
+    ref = ref[np.sort(np.random.default_rng(42).choice(1560, size=1000, replace=False))]
+    d = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(-1)
+    score = lambda name: [r["score"] for r in catalog.QUERIES[name](spark, folder).orderBy("window_index").collect()]
+    want = [np.sqrt(2 * np.sqrt(d(ref, w)).mean() - np.sqrt(d(ref, ref)).mean() - np.sqrt(d(w, w)).mean()) for w in windows]
+    assert np.allclose(score("energy_distance_whole"), want, atol=2e-6)
+    want = []
+    for w in windows:
+        both = np.concatenate([ref, w])
+        p = d(both, both)[np.triu_indices(len(both), 1)]
+        g = 1 / (2 * np.median(p[p > 0]))
+        k = lambda a, b: np.exp(-g * d(a, b)).mean()  # noqa: B023, E731
+        want.append(np.sqrt(k(ref, ref) + k(w, w) - 2 * k(ref, w)))
+    assert np.allclose(score("mmd_rbf_whole"), want, atol=2e-6)
+    calm, moved = score("sinkhorn_divergence")
+    assert moved > 1.25 * calm

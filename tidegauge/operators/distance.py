@@ -243,9 +243,14 @@ def c2st(reference: DataFrame, current: DataFrame, folds: int = 5, max_samples:
     return float(np.mean(scores)) if scores else None
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Square distances of all pairs, some rows at a time."""
+    return np.concatenate([((x[i : i + 32, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), 32)])
+
+
 def sinkhorn_cost(x: np.ndarray, y: np.ndarray, scale: float, reg: float, rounds: int = 300) -> float:
     """Entropic transport cost between equally weighted points, in the log domain."""
-    c = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2) / scale
+    c = squares(x, y) / scale
     f, g = np.zeros(len(x)), np.zeros(len(y))
     la, lb = -np.log(len(x)), -np.log(len(y))
     lse = lambda m, axis: (t := m.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(m - t).sum(axis=axis))
@@ -266,7 +271,7 @@ def sinkhorn(reference: DataFrame, windows: DataFrame, reg: float = 0.05) -> Dat
 
     def per_window(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = np.array(sent.value, float), np.array(pdf["features"].tolist(), float)
-        cross = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+        cross = squares(x, y)
         scale = float(np.median(cross[cross > 0])) if (cross > 0).any() else 1.0
         value = sinkhorn_cost(x, y, scale, reg) - (sinkhorn_cost(x, x, scale, reg) + sinkhorn_cost(y, y, scale, reg)) / 2
         return pd.DataFrame({"window_index": pdf["window_index"].iloc[:1], "score": [np.sqrt(max(value * scale, 0.0))]})

@@ -311,6 +311,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("srn < 200"), rows.where("srn >= 200 and srn < 500").withColumn("window_index", F.floor((F.col("srn") - 200) / 60).cast("long"))
 
 
+def embedding_windows(spark: SparkSession, sf_dir: str, size: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The whole table of embeddings in order of vec_id, all components as doubles: the first 60 % are the reference, all later
+    rows make windows."""
+    rows = ordering.with_ordinal(read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("features")), "vec_id")
+    first = int(rows.count() * 0.6)
+    early = F.col("rn") < first
+    rows = rows.withColumns({"split": F.when(early, "train").otherwise("later"), "srn": F.col("rn") - F.when(early, 0).otherwise(first)})
+    rows = ordering.settled(ordering.count_windows(rows, size))
+    return rows.where("split = 'train'").select("srn", "features"), rows.where("split = 'later'").select("window_index", "srn", "features")
+
+
+def embedding_samples(spark: SparkSession, sf_dir: str, most: int = 1000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The reference and every window of the embeddings, at most ``most`` drawn rows of each, as in the experiment."""
+    ref, cur = embedding_windows(spark, sf_dir)
+    sizes = {r[0]: r[1] for r in cur.groupBy("window_index").count().collect()}
+    return ordering.settled(ordering.sample_rows(ref, ref.count(), most, seed, "srn")), ordering.settled(distance.sampled(cur, sizes, most, seed + 1))
+
+
 D2 = "list_sum(list_transform(list_zip(p.v, q.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
 VEC_SQL = f"WITH e AS (SELECT vec_id AS i, list_transform(embedding[1:{DIMS}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 500), r AS (SELECT * FROM e WHERE i < 200), c AS (SELECT *, (i - 200) // 60 AS w FROM e WHERE i >= 200)"
 
@@ -320,6 +338,11 @@ def energy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.energy(*vectors(spark, sf_dir)).select("window_index", r6("score", "score"))
 
 
+@query()
+def energy_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.energy(*embedding_samples(spark, sf_dir)).select("window_index", r6("score", "score"))
+
+
 MMD_SQL = VEC_SQL + f""", j AS (SELECT DISTINCT w FROM c), b AS (SELECT j.w, r.i, r.v FROM j, r UNION ALL SELECT w, i, v FROM c), pd AS (SELECT p.w, {D2} AS d FROM b p JOIN b q ON p.w = q.w AND p.i < q.i),
 g AS (SELECT w, 1 / greatest(2 * quantile_cont(d, 0.5), 1e-12) AS g FROM pd WHERE d > 0 GROUP BY 1),
 xy AS (SELECT q.w, avg(exp(-g * {D2})) AS m FROM r p, c q JOIN g ON q.w = g.w GROUP BY 1), xx AS (SELECT g.w, avg(exp(-g * {D2})) AS m FROM r p, r q, g GROUP BY 1), yy AS (SELECT q.w, avg(exp(-g * {D2})) AS m FROM c p JOIN c q ON p.w = q.w JOIN g ON g.w = q.w GROUP BY 1)
@@ -331,15 +354,20 @@ def mmd_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.mmd(*vectors(spark, sf_dir)).select("window_index", r6("score", "score"))
 
 
+@query()
+def mmd_rbf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.mmd(*embedding_samples(spark, sf_dir)).select("window_index", r6("score", "score"))
+
+
 @query()
 def classifier_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, cur = vectors(spark, sf_dir)
+    ref, cur = embedding_windows(spark, sf_dir)
     return spark.createDataFrame([(distance.c2st(ref, cur.where("window_index = 0").select("srn", "features"), folds=3),)], "score double")
 
 
 @query()
 def sinkhorn_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.sinkhorn(*vectors(spark, sf_dir))
+    return distance.sinkhorn(*embedding_samples(spark, sf_dir))
 
 
 # --- Quality ----------------------------------------------------------------------------------------------------------------
