@@ -106,3 +106,8 @@ def test_vector_queries_see_all_rows_and_components(spark, embeddings):
     assert np.allclose(score("mmd_rbf_whole"), want, atol=2e-6)
     calm, moved = score("sinkhorn_divergence")
     assert moved > 1.25 * calm
+
+
+def test_classifier_scores_every_window(spark, embeddings):
+    calm, moved = (r["score"] for r in catalog.QUERIES["classifier_two_sample"](spark, embeddings[0]).orderBy("window_index").collect())
+    assert abs(calm - 0.5) < 0.1 and moved > 0.8

@@ -72,6 +72,21 @@ def test_sliced_energy_mmd_equal_numpy(spark):
     assert abs(distance.mmd(ref, cur).first()["score"] - np.sqrt(k(x, x) + k(y, y) - 2 * k(x, y))) < 1e-9
 
 
+def test_sliced_subsamples_score_every_window(spark):
+    rng = np.random.default_rng(6)
+    x, windows = rng.normal(size=(90, 3)), [rng.normal(k, 1, size=(n, 3)) for k, n in ((0, 40), (1, 40), (0.5, 70))]
+    ref = spark.createDataFrame([(i, k, float(v)) for i, r in enumerate(x) for k, v in enumerate(r)], "rn bigint, proj_id int, z double")
+    cur = spark.createDataFrame([(w, i, k, float(v)) for w, y in enumerate(windows) for i, r in enumerate(y) for k, v in enumerate(r)], "window_index bigint, rn bigint, proj_id int, z double")
+    got = {r["window_index"]: r["score"] for r in distance.sliced_subsamples(ref, cur, 90, {w: len(y) for w, y in enumerate(windows)}, size=50).collect()}
+    assert len(got) == 3
+    for w, y in enumerate(windows):
+        draw, m, s = np.random.default_rng(42), min(len(y), 50), []
+        for _ in range(5):
+            a, b = x[draw.choice(90, size=m, replace=False)], y[draw.choice(len(y), size=m, replace=False)]
+            s.append(np.sqrt(((np.sort(a, axis=0) - np.sort(b, axis=0)) ** 2).mean()))
+        assert abs(got[w] - np.mean(s)) < 1e-9
+
+
 def test_shift_scores_higher_and_classifier_tells(spark):
     rng = np.random.default_rng(7)
     ref, near, far = rng.normal(size=(200, 3)), rng.normal(size=(200, 3)), rng.normal(1.25, 1, size=(200, 3))

@@ -125,24 +125,34 @@ def sliced_wasserstein(reference: DataFrame, windows: DataFrame, grid: int = 512
     return sliced_details(reference, windows, grid, exact).groupBy("window_index").agg(F.sqrt(F.avg("w2")).alias("score"))
 
 
+def sliced_subsamples(reference: DataFrame, windows: DataFrame, n_ref: int, sizes: dict[int, int], draws: int = 5, size: int | None = None, seed: int = 42) -> DataFrame:
+    """(window_index, score): equal-size variant of every window. The reference has rows (rn, proj_id, z), windows have
+    window_index as well and rn from 0 in each; sizes are their rows. One generator draws both sides, draw by draw; windows of
+    equal size share their positions."""
+    spark = reference.sparkSession
+    picks: dict[str, list[tuple[int, int, int]]] = {"ref": [], "cur": []}
+    for n_cur in sorted(set(sizes.values())):
+        m = min(n_ref, n_cur, size or n_ref)
+        if m < 2:
+            raise ValueError("at least two rows on each side")
+        rng = np.random.default_rng(seed)
+        for d in range(draws):
+            for side, n in (("ref", n_ref), ("cur", n_cur)):
+                picks[side] += [(n_cur, d, int(i)) for i in rng.choice(n, size=m, replace=False)]
+    at = {side: F.broadcast(spark.createDataFrame(p, "n bigint, draw int, rn bigint")) for side, p in picks.items()}
+    of = F.broadcast(spark.createDataFrame([(int(w), int(n)) for w, n in sizes.items()], "window_index bigint, n bigint"))
+    keys = ["n", "draw", "proj_id"]
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("z")).alias("rank")
+    ref = reference.join(at["ref"], "rn").select(*keys, rank(*keys), F.col("z").alias("ref"))
+    cur = windows.join(of, "window_index").join(at["cur"], ["n", "rn"]).select("window_index", *keys, rank("window_index", *keys), F.col("z").alias("cur"))
+    both = cur.join(ref, [*keys, "rank"])
+    per = both.groupBy("window_index", "draw", "proj_id").agg(F.avg((F.col("ref") - F.col("cur")) ** 2).alias("w2")).groupBy("window_index", "draw").agg(F.sqrt(F.avg("w2")).alias("s"))
+    return per.groupBy("window_index").agg(F.avg("s").alias("score"))
+
+
 def sliced_subsample(reference: DataFrame, current: DataFrame, n_ref: int, n_cur: int, draws: int = 5, size: int | None = None, seed: int = 42) -> float:
-    """Equal-size variant for one pair of samples of (rn, proj_id, z): one generator draws both sides, draw by draw."""
-    m = min(n_ref, n_cur, size or n_ref)
-    if m < 2:
-        raise ValueError("at least two rows on each side")
-    rng, spark = np.random.default_rng(seed), reference.sparkSession
-    picks: dict[str, list[tuple[int, int]]] = {"ref": [], "cur": []}
-    for d in range(draws):
-        for side, n in (("ref", n_ref), ("cur", n_cur)):
-            picks[side] += [(d, int(i)) for i in rng.choice(n, size=m, replace=False)]
-    ranked = []
-    for side, df in (("ref", reference), ("cur", current)):
-        at = F.broadcast(spark.createDataFrame(picks[side], "draw int, rn bigint"))
-        order = Window.partitionBy("draw", "proj_id").orderBy("z")
-        ranked.append(df.join(at, "rn").select("draw", "proj_id", F.row_number().over(order).alias("rank"), F.col("z").alias(side)))
-    both = ranked[0].join(ranked[1], ["draw", "proj_id", "rank"])
-    per = both.groupBy("draw", "proj_id").agg(F.avg((F.col("ref") - F.col("cur")) ** 2).alias("w2")).groupBy("draw").agg(F.sqrt(F.avg("w2")).alias("s"))
-    return per.agg(F.avg("s")).first()[0]
+    """Equal-size variant for one pair of samples of (rn, proj_id, z)."""
+    return sliced_subsamples(reference, current.withColumn("window_index", F.lit(0).cast("long")), n_ref, {0: n_cur}, draws, size, seed).first()["score"]
 
 
 # --- Kernel and energy distances ----------------------------------------------------------------------------------------

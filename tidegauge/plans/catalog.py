@@ -295,11 +295,13 @@ def sliced_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sliced_wasserstein_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, cur = item_projections(spark, sf_dir)
-    one = cur.where("window_index = 0")
-    n_ref, n_cur = (df.where("proj_id = 0").count() for df in (ref, one))
-    named = lambda df: df.select(F.col("srn").alias("rn"), "proj_id", "z")
-    return spark.createDataFrame([(distance.sliced_subsample(named(ref), named(one), n_ref, n_cur, size=500),)], "score double")
+    ref, cur = (ordering.settled(df) for df in item_projections(spark, sf_dir))
+    spans = cur.where("proj_id = 0").groupBy("window_index").agg(F.min("srn").alias("start"), F.count(F.lit(1)).alias("n"))
+    spans = ordering.settled(spans)  # one row a window
+    sizes = {r["window_index"]: r["n"] for r in spans.collect()}
+    placed = cur.join(F.broadcast(spans.drop("n")), "window_index").select("window_index", (F.col("srn") - F.col("start")).alias("rn"), "proj_id", "z")
+    named = ref.select(F.col("srn").alias("rn"), "proj_id", "z")
+    return distance.sliced_subsamples(named, placed, ref.where("proj_id = 0").count(), sizes, size=500).select("window_index", "score")
 
 
 DIMS = 8
@@ -362,7 +364,8 @@ def mmd_rbf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def classifier_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref, cur = embedding_windows(spark, sf_dir)
-    return spark.createDataFrame([(distance.c2st(ref, cur.where("window_index = 0").select("srn", "features"), folds=3),)], "score double")
+    ids = sorted(r[0] for r in cur.select("window_index").distinct().collect())
+    return spark.createDataFrame([(w, distance.c2st(ref, cur.where(F.col("window_index") == w).select("srn", "features"), folds=3)) for w in ids], "window_index bigint, score double")
 
 
 @query()
@@ -669,7 +672,7 @@ def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def temporal_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole monitoring run on line items: windows, scores, thresholds and quality."""
     rows = read(spark, sf_dir, "lineitem").withColumn("target", (F.col("l_quantity") > 25).cast("int"))
-    config = experiment.Config(window_size=3000, methods=("sliced_k8_q64", "mean_ks", "max_psi", "top2_psi"))
+    config = experiment.Config(window_size=3000)
     return experiment.run(rows, LINE_KEYS, ["l_extendedprice", "l_discount", "l_tax", "l_returnflag"], "target", "classification", config).window_scores
 
 
