@@ -240,16 +240,88 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_near_lines_meet_and_one_of_each_group_stays(spark):
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed_line(rng, words, vocabulary, how):
+    out = list(words)
+    if how == "one":
+        out[rng.randrange(len(out))] = rng.choice(vocabulary)
+    elif how == "many":
+        for j in rng.sample(range(len(out)), max(1, len(out) // 5)):
+            out[j] = rng.choice(vocabulary)
+    elif how == "moved":
+        out.insert(rng.randrange(len(out)), out.pop(rng.randrange(len(out))))
+    else:
+        for j in rng.sample(range(len(out)), max(1, len(out) // 5)):
+            at = rng.randrange(len(out[j]))
+            out[j] = out[j][:at] + rng.choice(LETTERS) + out[j][at + 1 :]
+    return out
+
+
+def test_near_lines_recall_and_clean_lines(spark):
+    """Of all pairs with edit similarity 0.75 or more at least nine in ten are found at every length, and no others."""
     rng = random.Random(8)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    words = ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(3000)]
-    base = rng.sample(words, 200)
+    vocabulary = ["".join(rng.choices(LETTERS, k=rng.randint(2, 9))) for _ in range(3000)]
+    rows, pairs = [], []
+    for words in (4, 8, 12, 20, 40, 80):
+        for how in ("one", "many", "moved", "typos"):
+            for _ in range(15):
+                a = rng.choices(vocabulary, k=words)
+                b = changed_line(rng, a, vocabulary, how)
+                a, b = " ".join(a), " ".join(b)
+                if a != b and 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.75:
+                    pairs.append((words, len(rows)))
+                    rows += [a, b]
+    clean = [" ".join(rng.choices(vocabulary, k=rng.choice((6, 15, 30)))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(rows + clean)), "doc_id bigint, text string")
+    kept = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(df).collect()}
+    found, made = Counter(), Counter()
+    for words, at in pairs:
+        made[words] += 1
+        found[words] += kept[at] == 1 and kept[at + 1] == 0
+    assert all(found[w] >= 0.9 * made[w] for w in made if w >= 8), (found, made)
+    assert found[4] >= 0.8 * made[4]
+    assert all(kept[len(rows) + i] == 1 for i in range(len(clean)))
+
+
+def test_one_line_of_a_large_group_stays(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices(LETTERS, k=rng.randint(3, 9))) for _ in range(3000)]
+    base = rng.sample(vocabulary, 30)
+    rows = [" ".join(changed_line(rng, base, vocabulary, "one")) for _ in range(200)]
+    # lines that share their frequent words with hundreds of others and are near one other
+    frequent = vocabulary[:6]
+    for _ in range(150):
+        own = rng.sample(vocabulary, 4)
+        rows += [" ".join(frequent + own), " ".join(frequent[:5] + own)]
+    kept = [r["n_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    assert kept[0] == 1 and sum(kept[:200]) <= 10
+    second = kept[201::2]
+    assert sum(second) <= 0.1 * len(second)
+
+
+def test_lines_of_all_lengths(spark, monkeypatch):
+    """Long lines are compared by words, very long ones by pairs of words; clashing columns; a digit counts."""
+    monkeypatch.setattr(line_dedup, "BY_CHARACTER", 200)
+    monkeypatch.setattr(line_dedup, "BY_WORD", 300)
+    rng = random.Random(2)
     rows = []
-    for i in range(40):
-        t = list(base)
-        t[rng.randrange(200)] = "".join(rng.choices(letters, k=6))
-        rows.append((i, " ".join(t)))
-    rows += [(100 + i, " ".join(rng.sample(words, 30))) for i in range(40)]
-    out = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert out[0] == 1 and sum(out[i] for i in range(40)) <= 20 and all(out[100 + i] == 1 for i in range(40))
+    for n in (60, 250, 500, 3000):
+        words = [rng.choice(WORDS) + rng.choice("abc") for _ in range(n)]
+        for t in (words, words[: n // 2] + ["new", "words"] + words[n // 2 :], rng.sample(words, n)):
+            rows.append(" ".join(t))
+    rows += ["item 1", "item 9876543", "x" * 5000, "一二三四五六七八九十" * 3, "一二三四五六七八九十" * 3 + "百"]
+    df = spark.createDataFrame([(i, t, 1, "a", 2) for i, t in enumerate(rows)], "doc_id bigint, text string, rid int, at string, stay int")
+    out = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
+    assert [r["n_kept"] for r in out] == [1, 0, 1] * 4 + [1, 1, 1, 1, 0] and all((r["rid"], r["at"], r["stay"]) == (1, "a", 2) for r in out)
