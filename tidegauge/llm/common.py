@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import builtins
+import re
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,11 +29,14 @@ def process_store() -> dict:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    One is set only where that is unset (tests, one machine).
+    One is made only where that is unset on one machine, as in tests; a cluster has to name one.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -41,6 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read from there: smaller than a checkpoint, and columns can be left unread."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def share(df: DataFrame, value: object) -> Callable[[], object]:
     """Broadcast an object of bounded size; the result, called in a task, gives it back.
 
@@ -86,8 +98,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+#: Powers that a process keeps (16 bytes each); longer tables live as long as they are used.
+_KEPT_POWERS = 1 << 20
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE**i and _BASE**-i modulo 2**64 for i < n; kept for the process."""
+    """_BASE**i and _BASE**-i modulo 2**64 for i < n; short tables are kept for the process."""
     store = process_store()
     have = store.get("powers")
     if have is None or len(have[0]) < n:
@@ -96,7 +112,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = 1
         down = np.full(size, _INVERSE, np.uint64)
         down[0] = 1
-        have = store["powers"] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        have = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        if size <= _KEPT_POWERS:
+            store["powers"] = have
     return have[0][:n], have[1][:n]
 
 

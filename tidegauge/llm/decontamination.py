@@ -150,7 +150,7 @@ class Detector:
         return both / (len(window) + sum(other.values()) - both)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: int = 19, max_items: int = 20_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, radius: int = 23, max_items: int = 20_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity of the best window of each contaminated document and item."""
     items = benchmark.where(F.col(item_id).isNotNull()).groupBy(F.col(item_id).alias("i"), F.col(item_text).alias("t")).count().select("i", "t")
     blocks = max(1, -(-items.count() // max_items))

@@ -196,17 +196,17 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
             owner = np.repeat(np.array(own), [len(sigs[i]) for i in own])
             bucket = (all_sigs % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            own_buckets, first = np.unique(bucket[order], return_index=True)
+            edge = np.append(first, len(order))
             rows = {k: [] for k in ("bucket", "ids", "scores", "counts", "sigs")}
-            for b in range(buckets):
-                part = order[edge[b] : edge[b + 1]]
-                if len(part):
-                    docs_in, counts = np.unique(owner[part], return_counts=True)
-                    rows["bucket"].append(b)
-                    rows["ids"].append(ids[docs_in].astype(np.int64).tobytes())
-                    rows["scores"].append(scores[docs_in].astype(np.int32).tobytes())
-                    rows["counts"].append(counts.astype(np.int32).tobytes())
-                    rows["sigs"].append((all_sigs[part] >> np.uint64(32)).astype(np.uint32).tobytes())
+            for i, b in enumerate(own_buckets.tolist()):
+                part = order[edge[i] : edge[i + 1]]
+                docs_in, counts = np.unique(owner[part], return_counts=True)
+                rows["bucket"].append(b)
+                rows["ids"].append(ids[docs_in].astype(np.int64).tobytes())
+                rows["scores"].append(scores[docs_in].astype(np.int32).tobytes())
+                rows["counts"].append(counts.astype(np.int32).tobytes())
+                rows["sigs"].append((all_sigs[part] >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("ids", "scores", "counts", "sigs"))], list(rows))
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null").mapInArrow(run, "bucket int, ids binary, scores binary, counts binary, sigs binary")

@@ -16,7 +16,6 @@ by a hash of the id. The tables are broadcast; the sample bounds them. Predictio
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +29,13 @@ from .common import share
 
 ORDER = 3
 PAD = b"\n" * ORDER
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def windows(data: np.ndarray, n: int, end: np.ndarray | slice = slice(None)) -> np.ndarray:
     """For each byte from the ORDER-th on, the number made of the n bytes that end with it."""
     out = np.zeros(len(data) - ORDER, np.uint32)
@@ -177,7 +179,7 @@ class Predictor:
         langs, label, score = self.model.langs, [UNKNOWN] * len(column), [0.0] * len(column)
         for part in range(0, len(column) if langs else 0, 256):
             texts = column.slice(part, 256).to_pylist()
-            good = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            good = [i for i, t in enumerate(texts) if t and has_letter(t)]
             if not good:
                 continue
             bits, _ = self.totals([texts[i] for i in good])

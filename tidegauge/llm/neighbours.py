@@ -135,7 +135,9 @@ def neighbours(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id"
     bucket = F.pmod(F.xxhash64("tree", "leaf", "salt"), F.lit(buckets)).alias("bucket")
     kind = good.schema["v"].dataType.simpleString()
     entries = classes.mapInPandas(index, f"v {kind}, ids array<bigint>, tree int, leaf bigint").withColumn("salt", F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(salts)))
-    asked = good.where("query").select("id", "v").distinct().mapInPandas(probes, f"id bigint, v {kind}, tree int, leaf bigint").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    queries = checkpointed(good.where("query").select("id", "v").distinct())
+    # a task descends the trees for about 64 queries
+    asked = queries.repartition(max(1, -(-queries.count() // 64)), "id").mapInPandas(probes, f"id bigint, v {kind}, tree int, leaf bigint").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     keep = k + 1  # the query's own vector may be among them
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

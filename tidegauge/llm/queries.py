@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, train_fold
@@ -16,6 +16,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def held_out() -> Column:
+    """Whether a row is in the held-out fold; a row without an id is neither held out nor learned from."""
+    return F.coalesce(train_fold() == 1, F.lit(False)).alias("held_out")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_decode
 
@@ -38,7 +43,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(train_fold() != 1))
-    return predict(docs, model).select("doc_id", (train_fold() == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", held_out(), "lang_pred", "score")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +51,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels").where(train_fold() != 1))
-    return score(docs, model).select("doc_id", (train_fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score(docs, model).select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

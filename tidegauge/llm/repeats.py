@@ -17,8 +17,8 @@ before anything is compared:
 4. *Hot keys.* A key with more bytes of different runs than ``hot_bytes`` would make one shard too large; its windows
    are compared by 128-bit fingerprints in an aggregation instead. No window is left out.
 
-Documents with equal texts are one class, and repeats as a whole if they have a window. Classes, keys and runs are
-recognised by 64-bit hashes (runs by key and content, 128 bits). Null texts count as empty. A text shorter than
+Documents with equal texts are one class, and repeats as a whole if they have a window. Keys are recognised by 64-bit
+hashes, equal texts by two, runs by key and content (128 bits). Null texts count as empty. A text shorter than
 ``length`` keeps all its bytes. Repeated rows come out as often as they go in.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix64, prefix_hashes, slice_hashes
+from .common import checkpointed, mix64, powers, prefix_hashes, slice_hashes
 from .suffix_array import permuted_lcp, suffix_array
 
 GRAM = 32
@@ -193,6 +193,17 @@ def _window_runs(twice: np.ndarray, start: np.ndarray, cls: np.ndarray, at: np.n
     return pd.DataFrame({"cls": cls[owner], "at": at[owner] + first - start[owner], "n": (end - first).astype(np.int32)})
 
 
+def gram_slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of slices of eight bytes and more from the mixed hashes of their 8-byte strings: independent of ``slice_hashes``, whose
+    sums of bytes collide for some regular texts."""
+    at = np.arange(max(0, len(data) - 7))
+    symbol = slice_hashes(prefix_hashes(data), at, at + 8)
+    up, down = powers(len(symbol) + 1)
+    prefix = np.zeros(len(symbol) + 1, np.uint64)
+    np.cumsum(symbol * up[: len(symbol)], out=prefix[1:])
+    return mix64((prefix[end - 7] - prefix[start]) * down[start] + np.uint64(3))
+
+
 def _windows_of_hot(hot: DataFrame, length: int) -> DataFrame:
     """Repeated windows of hot keys by fingerprints: (cls, at, n = 1)."""
 
@@ -203,7 +214,7 @@ def _windows_of_hot(hot: DataFrame, length: int) -> DataFrame:
                 n = batch.column("n")[i].as_py()
                 p = np.arange(n)
                 one = slice_hashes(prefix_hashes(data), p, p + length)
-                two = slice_hashes(prefix_hashes(data ^ np.uint8(0x5A)), p, p + length)
+                two = gram_slice_hashes(data, p, p + length)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("cls")[i].as_py(), np.int64)), pa.array(p + batch.column("at")[i].as_py()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["cls", "at", "one", "two"])
 
     windows = checkpointed(hot.select("cls", "at", "n", "bytes").mapInArrow(run, "cls bigint, at bigint, one bigint, two bigint"))
@@ -216,7 +227,8 @@ def repeated_runs(classes: DataFrame, length: int = 400, shard_bytes: int = 2_00
     """(cls, at, n): runs of windows of distinct texts (cls, __text) whose strings start elsewhere too."""
     rows = checkpointed(_all_runs(classes, length))
     place = F.struct("cls", "at")
-    keys = rows.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("key")
+    # a table of its own, so that the join has a shuffle on either side and the rows of a hot key can be split over tasks
+    keys = checkpointed(rows.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("key"))
     rows = checkpointed(rows.join(keys, "key", "left_semi"))
     stats = rows.groupBy("key", "content").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.first("n").alias("n"), F.first("far").alias("far"))
     stats = checkpointed(stats.select("key", "content", "n", "far", (F.col("low") != F.col("high")).alias("many"), F.col("low.cls").alias("cls"), F.col("low.at").alias("at")))
@@ -238,11 +250,12 @@ def repeated_runs(classes: DataFrame, length: int = 400, shard_bytes: int = 2_00
 def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, **limits: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row, and kept (binary) on request."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    source = source.withColumn("cls", F.xxhash64("__text"))
+    source = source.withColumn("cls", F.xxhash64("__text")).withColumn("check", F.xxhash64(F.lit(1), "__text"))
     found = repeated_runs(source.select("cls", "__text"), length, **limits)
-    copies = source.groupBy("cls").count().where("count > 1").select("cls", F.lit(True).alias("copied"))
+    copies = source.groupBy("cls", "check").count().where("count > 1").select("cls", F.col("check").alias("copied")).dropDuplicates(["cls"])
     per_class = found.groupBy("cls").agg(F.collect_list(F.struct("at", "n")).alias("runs")).join(copies, "cls", "full")
-    joined = source.join(per_class, "cls", "left").select("doc_id", "__text", "runs", "copied")
+    per_class = checkpointed(per_class)  # as above: the rows of a hot text can be split
+    joined = source.join(per_class, "cls", "left").select("doc_id", "__text", "runs", F.coalesce(F.col("copied") == F.col("check"), F.lit(False)).alias("copied"))
     fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,10 +29,10 @@ from .common import process_store
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Distinct units and pairs that a Python worker remembers. Units have two generations: a full young one becomes the old
-#: one, and units used again move back, so frequent ones stay.
-MEMO_UNITS = 200_000
-MEMO_PAIRS = 1_000_000
+#: Distinct units and pairs that a task remembers. Units have two generations: a full young one becomes the old
+#: one, and units used again move back, so frequent ones stay. A Python worker forgets them after the task.
+MEMO_UNITS = 100_000
+MEMO_PAIRS = 300_000
 #: Rows of a result batch.
 ROWS = 256
 
@@ -76,6 +76,10 @@ class PrefixTableCodec:
         self.units: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        """Give back what was remembered."""
+        self.pairs, self.units, self.old = {}, {}, {}
+
     def merge(self, text: str) -> list[str]:
         """Plain merging: best score first, leftmost among equals. For pairs, for space runs and as a check."""
         part = list(text)
@@ -221,6 +225,13 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", keep: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         names = list(map(str, range(len(codec.bytes_of))))
+        try:
+            yield from encoded(codec, names, batches)
+        finally:
+            codec.forget()
+            pa.default_memory_pool().release_unused()
+
+    def encoded(codec: PrefixTableCodec, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # some rows at a time: the ids of a whole batch as Python numbers would take many times its size
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             count, sha, back, all_ids, texts = [], [], [], [], []

@@ -18,7 +18,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _PLACE = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 #: Bytes of text handled at once.
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def text_blocks(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, int]]:
