@@ -111,3 +111,41 @@ def test_vector_queries_see_all_rows_and_components(spark, embeddings):
 def test_classifier_scores_every_window(spark, embeddings):
     calm, moved = (r["score"] for r in catalog.QUERIES["classifier_two_sample"](spark, embeddings[0]).orderBy("window_index").collect())
     assert abs(calm - 0.5) < 0.1 and moved > 0.8
+
+
+def test_report_from_a_run_with_an_official_split_and_calendar_windows(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidegauge.plans import report
+
+    data = datasets.generate(spark, 1200, 4, 1, seed=6)
+    rows = data.frame.withColumn("time", F.expr("timestamp_seconds(time * 86400)"))
+    named = rows.withColumn("part", F.when(F.unix_timestamp("time") / 86400 % 10 < 5, "Train").when(F.unix_timestamp("time") / 86400 % 10 < 7, "valid").otherwise("test"))
+    features = [f for f in data.features if f != "time"]
+    config = experiment.Config(window_mode="calendar", freq="Q", methods=("mean_ks", "max_ks", "top2_psi"), draws=20, least_windows=3)
+    result = experiment.run(named, ["time"], features, data.target, data.task, config, split="part", dataset="made")
+    sizes = result.window_scores.where("method = 'mean_ks'").groupBy("stream").agg(F.sum("window_size").alias("n"), F.count("*").alias("windows")).collect()
+    assert {r["stream"]: r["n"] for r in sizes} == {"validation": 240, "test": 360} and all(r["windows"] >= 12 for r in sizes)
+    conf.write_result(result, str(tmp_path / "a"))
+    made = report.tables(lambda name: conf.read_results(spark, [str(tmp_path / "a")], name), "mean_ks")
+    assert set(made) == {"downstream_quality", "correlations", "correlation_summary", "friedman", "psi_diagnostics_summary"}
+    assert all(df.count() > 0 for df in made.values())
+    assert {"spearman_ci_low", "dataset_model"} <= set(made["correlations"].columns)
+    with pytest.raises(ValueError):
+        experiment.run(named, ["time"], features, data.target, data.task, experiment.Config(least_windows=99), split="part")
+
+
+def test_local_rows_and_small_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tidegauge.functions import rankstats
+    from tidegauge.operators import inject
+
+    df = spark.range(100).select(F.lit(0).alias("window_index"), F.when(F.col("id") < 5, 9.0).otherwise(0.0).alias("x"))
+    assert inject.local_rows(df, "x", 5.0, 0.5, 1).where("__local").count() == 50
+    few = inject.local_rows(df, "x", 5.0, 0.03, 1).where("__local")
+    assert few.count() == 3 and few.where("x = 9").count() == 3
+    two = spark.createDataFrame([("m", 0, 1.0, 2.0), ("m", 1, 2.0, 3.0)], "method string, window_index int, score double, quality_drop double")
+    assert rankstats.correlation_table(two).first()["kendall_tau"] is None
+    pairs = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0), ("a", 1, 1.5), ("b", 1, 3.0)], "method string, pair int, value double")
+    assert rankstats.wilcoxon(pairs, "a").first()["p_value"] is None

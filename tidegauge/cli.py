@@ -47,7 +47,7 @@ def _load(spark: SparkSession, path: str):
 def run_one(spark: SparkSession, path: str, output: str) -> list[str]:
     _, data, config = _load(spark, path)
     order = [data.time] + [c for c in data.frame.columns if c != data.time]
-    result = experiment.run(data.frame, order, data.features, data.target, data.task, config)
+    result = experiment.run(data.frame, order, data.features, data.target, data.task, config, data.split, data.name)
     return conf.write_result(result, output)
 
 
@@ -76,12 +76,8 @@ def main(argv: list[str] | None = None) -> int:
             windows.write.mode("overwrite").parquet(f"{args.output}/drift_windows")
             summary.write.mode("overwrite").parquet(f"{args.output}/drift_summary")
     else:
-        scores = conf.read_results(spark, args.results, "window_scores")
-        if scores is not None:
-            report.downstream_quality(scores.where("stream = 'test'"), ["result_dir", "model"]).write.mode("overwrite").parquet(f"{args.output}/downstream_quality")
-        found = conf.read_results(spark, args.results, "correlations")
-        if found is not None:
-            found.write.mode("overwrite").parquet(f"{args.output}/correlations")
+        for name, df in report.tables(lambda name: conf.read_results(spark, args.results, name)).items():
+            df.write.mode("overwrite").parquet(f"{args.output}/{name}")
     return 0
 
 

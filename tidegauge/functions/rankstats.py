@@ -40,13 +40,13 @@ def lagged_spearman(rows: DataFrame, keys: list[str], order: str, x: str, y: str
 
 
 def kendall(rows: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
-    """tau-b over all pairs of a group's rows (one row a window: small groups)."""
+    """tau-b over all pairs of a group's rows (one row a window: small groups); unknown below three rows."""
     rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     a = rows.select(*keys, F.col(order).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
     b = rows.select(*keys, F.col(order).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
     dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    s = a.join(b, keys).where("i < j").groupBy(*keys).agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"))
-    return s.select(*keys, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall_tau"))
+    s = a.join(b, keys).where("i < j").groupBy(*keys).agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"), F.count(F.lit(1)).alias("pairs"))
+    return s.select(*keys, F.when((F.col("pairs") >= 3) & (F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall_tau"))
 
 
 def bootstrap_spearman(rows: DataFrame, keys: list[str], order: str, x: str, y: str, draws: int = 500, seed: int = 42) -> DataFrame:
@@ -67,11 +67,19 @@ def bootstrap_spearman(rows: DataFrame, keys: list[str], order: str, x: str, y:
     return rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).applyInPandas(interval, schema)
 
 
-def correlation_table(rows: DataFrame, key: str = "method", order: str = "window_index", x: str = "score", y: str = "quality_drop", lags: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """Spearman, Kendall and lagged Spearman by method, largest first, unknown last."""
+def correlation_table(rows: DataFrame, key: str = "method", order: str = "window_index", x: str = "score", y: str = "quality_drop", lags: tuple[int, ...] = (1, 2), draws: int = 0, seed: int = 42) -> DataFrame:
+    """Spearman, Kendall and lagged Spearman by method, largest first, unknown last; with ``draws`` the bootstrap interval too.
+
+    Windows whose score or quality is unknown or not finite don't count.
+    """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = rows.withColumns({c: F.when(finite(c), F.col(c)) for c in (x, y)})
     out = spearman(rows, [key], x, y).join(kendall(rows, [key], order, x, y), key, "left")
     for lag in lags:
         out = out.join(lagged_spearman(rows, [key], order, x, y, lag), key, "left")
+    if draws:
+        ends = bootstrap_spearman(rows, [key], order, x, y, draws, seed).withColumnsRenamed({"ci_low": "spearman_ci_low", "ci_high": "spearman_ci_high"})
+        out = out.join(ends, key, "left")
     return out.orderBy(F.desc_nulls_last("spearman"), key)
 
 
@@ -108,9 +116,11 @@ def signed_rank_p(ranks: list[float], positive: float) -> float:
 
 
 def wilcoxon(rows: DataFrame, reference: str, method: str = "method", pair: str = "pair", value: str = "value") -> DataFrame:
-    """Signed-rank sums of every method against the reference over shared pairs, zero differences dropped, with p."""
+    """Signed-rank sums of every method against the reference over shared pairs, zero differences dropped, with p (unknown below three pairs)."""
     ref = rows.where(F.col(method) == reference).select(pair, F.col(value).alias("r"))
-    d = rows.where(F.col(method) != reference).join(ref, pair).select(method, (F.col("r") - F.col(value)).alias("d")).where("d <> 0")
+    d = rows.where(F.col(method) != reference).join(ref, pair).select(method, (F.col("r") - F.col(value)).alias("d")).where("d is not null")
+    pairs = d.groupBy(method).agg(F.count(F.lit(1)).alias("pairs"))
+    d = d.where("d <> 0")
     d = d.withColumn("a", F.abs("d"))
     ranked = d.withColumn("rank", average_rank([method], "a"))
     sums = ranked.groupBy(method).agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("rank")).alias("ranks"))
@@ -119,7 +129,8 @@ def wilcoxon(rows: DataFrame, reference: str, method: str = "method", pair: str
     def p_value(ranks: pd.Series, plus: pd.Series) -> pd.Series:
         return pd.Series([signed_rank_p(list(r), float(p)) for r, p in zip(ranks, plus)])
 
-    return sums.select(method, "n", "w_plus", p_value("ranks", "w_plus").alias("p_value"))
+    sums = sums.join(pairs, method)
+    return sums.select(method, "n", "w_plus", F.when(F.col("pairs") >= 3, p_value("ranks", "w_plus")).alias("p_value"))
 
 
 def chi2_sf(x: float, df: int) -> float:

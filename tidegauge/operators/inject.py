@@ -70,15 +70,16 @@ def missingness(rows: DataFrame, columns: list[str], rate: float, seed: int, whe
     return rows.withColumns({c: F.when(hit(i), F.lit(None)).otherwise(F.col(c)) for i, c in enumerate(columns)})
 
 
-def local_rows(rows: DataFrame, column: str, median: float, share: float, seed: int, key: str = "window_index") -> DataFrame:
-    """Add __local: a share of each window's rows, drawn from those at or above the median (from all if there are none)."""
-    inside = F.coalesce(F.col(column) >= F.lit(median), F.lit(False))
+def local_rows(rows: DataFrame, column: str | Column, median: float, share: float, seed: int, key: str = "window_index") -> DataFrame:
+    """Add __local: a share of each window's rows, at least one, drawn from those at or above the median, or from all rows where fewer than the share are."""
+    value = F.col(column) if isinstance(column, str) else column
+    inside = F.coalesce(value >= F.lit(median), F.lit(False))
     w = Window.partitionBy(key)
     rows = rows.withColumn("__u", F.rand(seed)).withColumn("__in", inside)
-    rows = rows.withColumn("__any", F.max(F.col("__in").cast("int")).over(w)).withColumn("__n", F.count(F.lit(1)).over(w))
-    eligible = F.col("__in") | (F.col("__any") == 0)
+    rows = rows.withColumn("__any", F.sum(F.col("__in").cast("long")).over(w)).withColumn("__n", F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(w) * share)))
+    eligible = F.col("__in") | (F.col("__any") < F.col("__n"))
     rank = F.row_number().over(w.orderBy(F.when(eligible, 0).otherwise(1), "__u"))
-    return rows.withColumn("__local", eligible & (rank <= F.ceil(F.col("__n") * share))).drop("__u", "__in", "__any", "__n")
+    return rows.withColumn("__local", eligible & (rank <= F.col("__n"))).drop("__u", "__in", "__any", "__n")
 
 
 def inject(rows: DataFrame, scenario: str, numeric: list[str], categorical: list[str], stats: dict, shares: dict, start: int, seed: int = 42, numeric_share: float = 0.3, categorical_share: float = 0.5, delta: float = 0.75, scale: float = 1.5, degrees: float = 40.0, missing: float = 0.2, local: float = 0.25) -> DataFrame:
@@ -92,16 +93,17 @@ def inject(rows: DataFrame, scenario: str, numeric: list[str], categorical: list
     elif scenario == "variance_shift":
         late = variance_shift(late, num, stats, scale)
     elif scenario == "correlation_shift":
-        late = correlation_shift(late, num if len(num) > 1 else numeric[:2], stats, degrees)
+        late = correlation_shift(late, num, stats, degrees)  # needs two columns
     elif scenario == "categorical_prior_shift":
         late = prior(late)
     elif scenario == "missingness_shift":
         late = missingness(late, num + cat, missing, seed)
     elif scenario == "local_subpopulation":
-        late = local_rows(late, num[0], stats[num[0]][2], local, seed)
-        late = missingness(mean_shift(late, num, stats, delta, F.col("__local")), num, missing, seed, F.col("__local")).drop("__local")
+        at, median = (F.col(num[0]), stats[num[0]][2]) if num else (F.lit(0.0), 0.0)
+        late = local_rows(late, at, median, local, seed)
+        late = missingness(mean_shift(late, num, stats, delta, F.col("__local")), cat, missing, seed, F.col("__local")).drop("__local")
     elif scenario == "mixed":
-        late = missingness(prior(variance_shift(mean_shift(late, num, stats, delta / 2), num, stats, 1 + (scale - 1) / 2)), num, missing / 2, seed)
+        late = missingness(prior(variance_shift(mean_shift(late, num, stats, delta / 2), num, stats, 1 + (scale - 1) / 2)), num + cat, missing / 2, seed)
     elif scenario != "concept_like":
         raise ValueError(f"unknown scenario: {scenario}")
     return early.unionByName(late.select(*early.columns))

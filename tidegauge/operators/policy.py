@@ -77,7 +77,7 @@ def policy_summary(observed: DataFrame, base: DataFrame, lower_better: bool, lea
     out = rows.groupBy("policy", "history_mode").agg(
         F.avg("quality").alias("mean_quality"), (F.max if lower_better else F.min)("quality").alias("worst_window_quality"), retrains.alias("n_retrains"), F.avg(gain).alias("mean_quality_gain"), F.sum(F.greatest(regret, F.lit(0.0))).alias("cumulative_regret"), F.coalesce(false, F.lit(0)).alias("false_retrains")
     )
-    n = F.nullif(F.col("n_retrains"), F.lit(0))
+    n = F.greatest(F.col("n_retrains"), F.lit(1))
     return out.withColumns({"quality_gain_per_retrain": F.col("mean_quality_gain") / n, "false_retrain_share": F.col("false_retrains") / n}).orderBy("cumulative_regret", "policy")
 
 

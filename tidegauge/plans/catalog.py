@@ -469,7 +469,7 @@ OBSERVED = "CASE WHEN policy = 'no_retraining' THEN 0.6e0 ELSE 0.7e0 END + ((win
 SUMMARY_SQL = TRIGGER_SQL + f""", o AS (SELECT policy, window_index, t, {OBSERVED} AS quality FROM tr), orc AS (SELECT window_index, quality AS best FROM o WHERE policy = 'oracle_every_window'), z AS (SELECT window_index, quality AS q0 FROM o WHERE policy = 'no_retraining'),
 j AS (SELECT * FROM o JOIN orc USING (window_index) JOIN z USING (window_index) JOIN q USING (window_index)),
 s AS (SELECT policy, avg(quality) AS mq, min(quality) AS wq, sum(CASE WHEN t THEN 1 ELSE 0 END) AS nr, avg(quality - q0) AS gain, sum(greatest(best - quality, 0)) AS regret, sum(CASE WHEN t AND quality_drop < 0.05e0 THEN 1 ELSE 0 END) AS fr FROM j GROUP BY 1)
-SELECT policy, 'all' AS history_mode, round(mq, 6) AS mean_quality, round(wq, 6) AS worst_window_quality, CAST(nr AS BIGINT) AS n_retrains, round(gain, 6) + 0e0 AS mean_quality_gain, round(regret, 6) + 0e0 AS cumulative_regret, CAST(fr AS BIGINT) AS false_retrains, round(gain / nullif(nr, 0), 6) + 0e0 AS quality_gain_per_retrain, round(fr / nullif(nr, 0)::DOUBLE, 6) + 0e0 AS false_retrain_share FROM s"""
+SELECT policy, 'all' AS history_mode, round(mq, 6) AS mean_quality, round(wq, 6) AS worst_window_quality, CAST(nr AS BIGINT) AS n_retrains, round(gain, 6) + 0e0 AS mean_quality_gain, round(regret, 6) + 0e0 AS cumulative_regret, CAST(fr AS BIGINT) AS false_retrains, round(gain / greatest(nr, 1), 6) + 0e0 AS quality_gain_per_retrain, round(fr / greatest(nr, 1)::DOUBLE, 6) + 0e0 AS false_retrain_share FROM s"""
 
 
 @query(SUMMARY_SQL)

@@ -17,6 +17,9 @@ class Config:
     validation: float = 0.2
     window_size: int = 500
     least_window: int = 2
+    window_mode: str = "count"  # or "calendar": windows are periods of the first order column
+    freq: str = "month"
+    least_windows: int = 0  # test windows that a run needs
     reference: str = "train"
     recent_windows: int = 4
     representation: str = "raw"
@@ -34,6 +37,7 @@ class Config:
     histories: tuple[str, ...] = ("all", "rolling")
     rolling_windows: int = 4
     least_drop: float = 0.02
+    draws: int = 500  # of the bootstrap interval of a correlation
     retraining: bool = False
 
 
@@ -84,10 +88,35 @@ def score_windows(reference: DataFrame, windows: DataFrame, methods: tuple[str,
     return distance.union_all(out)
 
 
-def run(rows: DataFrame, order: list[str], features: list[str], target: str, task: str, config: Config = Config()) -> Result:
-    """Score validation and test windows against the training rows and measure the model on each of them."""
-    data = ordering.fraction_split(ordering.with_ordinal(rows, *order), config.train, config.validation, 1 - config.train - config.validation)
-    data = ordering.count_windows(data, config.window_size, config.least_window)
+def split_and_windows(rows: DataFrame, order: list[str], config: Config, split: str | None = None) -> DataFrame:
+    """Rows with split, rn, srn and window_index: split by fractions of the order, or by the column of names ``split``, in which case
+    positions count within each part; windows of a number of rows or of a calendar period."""
+    if split is None:
+        data = ordering.fraction_split(ordering.with_ordinal(rows, *order), config.train, config.validation, 1 - config.train - config.validation)
+    else:
+        named = ordering.official_split(rows, split)
+        parts, start = [], 0
+        for name in ordering.SPLITS:
+            part = ordering.with_ordinal(named.where(F.col("split") == name), *order)
+            parts.append(part.withColumns({"srn": F.col("rn"), "rn": F.col("rn") + start}))
+            start += parts[-1].count()
+        data = distance.union_all(parts)
+    if config.window_mode == "count":
+        data = ordering.count_windows(data, config.window_size, config.least_window)
+    elif config.window_mode == "calendar":
+        data = distance.union_all([ordering.calendar_windows(data.where(F.col("split") == s), order[0], config.freq, config.least_window).drop("period", "window_label") for s in ordering.SPLITS])
+    else:
+        raise ValueError(f"unknown window mode: {config.window_mode}")
+    ordering.require_windows(data.where("split = 'test'"), config.least_windows)
+    return data
+
+
+def run(rows: DataFrame, order: list[str], features: list[str], target: str, task: str, config: Config = Config(), split: str | None = None, dataset: str = "") -> Result:
+    """Score validation and test windows against the training rows and measure the model on each of them.
+
+    ``split`` names the column of an official split; without it rows are split by fractions.
+    """
+    data = split_and_windows(rows, order, config, split)
     train = data.where("split = 'train'")
     enc = encode.Encoder.fit(train, encode.feature_types(train, features, config.max_onehot), config.buckets)
     name = "label" if task == "classification" else "actual"
@@ -123,13 +152,15 @@ def run(rows: DataFrame, order: list[str], features: list[str], target: str, tas
     sizes = ordering.window_table(coded.where("split <> 'train'"))
     fact = policy.triggered(scores, limits).join(measured, keys, "left").join(sizes, keys)
     drop = quality.quality_drop(metric, F.lit(reference_quality), F.col("quality"))
-    fact = ordering.settled(fact.withColumns({"primary_metric": F.lit(metric), "reference_quality": F.lit(reference_quality), "quality_drop": drop, "reference_mode": F.lit(config.reference), "drift_representation": F.lit(config.representation), "model": F.lit(config.model)}).withColumnRenamed("split", "stream"))
+    fact = ordering.settled(fact.withColumns({"primary_metric": F.lit(metric), "reference_quality": F.lit(reference_quality), "quality_drop": drop, "reference_mode": F.lit(config.reference), "drift_representation": F.lit(config.representation), "model": F.lit(config.model), "dataset": F.lit(dataset)}).withColumnRenamed("split", "stream"))
     test = fact.where("stream = 'test'")
     diagnostics = None
     if any(distance.parse_method(m)[0] == "psi" for m in config.methods):
         long = encode.long_form(space.where("split = 'test'"), ["window_index"])
         diagnostics = distance.psi_diagnostics(distance.psi(encode.long_form(base, []), long, config.psi_bins))
-    result = Result(fact, correlation_table(test), limits, diagnostics)
+    names = {"dataset": F.lit(dataset), "model": F.lit(config.model), "dataset_model": F.lit(f"{dataset}/{config.model}")}
+    diagnostics = diagnostics and diagnostics.withColumns({k: names[k] for k in ("dataset", "model")})
+    result = Result(fact, correlation_table(test, draws=config.draws, seed=config.seed).withColumns(names), limits, diagnostics)
     if config.retraining:
         result.retraining_windows, result.retraining_summary = retrain(coded, test, task, name, metric, config)
     return result

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.rankstats import benjamini_hochberg, wilcoxon
+from tidegauge.functions.rankstats import benjamini_hochberg, friedman, wilcoxon
 
 
 def dataset_summary(rows: DataFrame, name: str, features: list[str], time: str, split: str = "split") -> DataFrame:
@@ -24,6 +26,26 @@ def correlation_summary(correlations: DataFrame, reference: str, pair: str = "da
     return out.join(tests, "method", "left").orderBy(F.desc("median_spearman"), F.desc("wins"))
 
 
+def tables(read: Callable[[str], DataFrame | None], reference: str = "sliced") -> dict[str, DataFrame]:
+    """Every report table whose result tables are there; ``read`` gives a result table by name, or None."""
+    made = {
+        "downstream_quality": ("window_scores", lambda df: downstream_quality(df.where("stream = 'test'"), ["result_dir", "dataset", "model"])),
+        "correlations": ("correlations", lambda df: df),
+        "correlation_summary": ("correlations", lambda df: correlation_summary(df, reference)),
+        "friedman": ("correlations", lambda df: friedman(df, "method", "dataset_model", "spearman")),
+        "psi_diagnostics_summary": ("psi_diagnostics", lambda df: psi_diagnostics_summary(df, ["dataset", "model"])),
+        "retraining_summary": ("retraining_summary", retraining_summary),
+        "drift_detection_summary": ("drift_summary", detection_summary),
+        "ablation_summary": ("ablation_correlations", ablation_summary),
+    }
+    out = {}
+    for name, (source, make) in made.items():
+        df = read(source)
+        if df is not None:
+            out[name] = make(df)
+    return out
+
+
 def downstream_quality(windows: DataFrame, keys: list[str]) -> DataFrame:
     """First and last window of each run."""
     one = windows.dropDuplicates([*keys, "window_index"])
