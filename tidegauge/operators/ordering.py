@@ -136,17 +136,18 @@ def sample_rows(df: DataFrame, n: int, size: int, seed: int, rn: str = "rn") ->
 def recent_reference(rows: DataFrame, windows: int, split: str = "test") -> DataFrame:
     """Reference rows of every window of a split: those of the last ``windows`` windows before it, over all scored
     splits in time order; windows without any predecessor use the training rows. Adds for_window."""
-    order = {"validation": 0, "test": 1}
+    order = ("validation", "test")
     scored = rows.where(F.col("split").isin(*order)).withColumn("__s", F.when(F.col("split") == "validation", 0).otherwise(1))
     ids = scored.select("split", "__s", "window_index").distinct()  # one row a window
     ids = ids.withColumn("__pos", F.row_number().over(Window.orderBy("__s", "window_index")) - 1)
     target = ids.where(F.col("split") == split).select(F.col("window_index").alias("for_window"), F.col("__pos").alias("__for"))
     # the training rows stand before the first scored window as one block
     blocks = ids.select("split", "window_index", "__pos").unionByName(rows.sparkSession.createDataFrame([("train", None, -1)], "split string, window_index bigint, __pos int"))
-    pairs = target.join(blocks, (F.col("__pos") < F.col("__for")) & (F.col("__pos") >= F.col("__for") - windows))
-    pairs = F.broadcast(pairs.select("for_window", F.col("split").alias("__split"), F.col("window_index").alias("__window")))
-    same = (F.col("split") == F.col("__split")) & (F.col("__window").isNull() | (F.col("window_index") == F.col("__window")))
-    return rows.join(pairs, same).select("for_window", *rows.columns)
+    # a row for each window and predecessor, so that both joins are by equality
+    before = target.withColumn("__pos", F.explode(F.sequence(F.greatest(F.lit(-1), F.col("__for") - windows), F.col("__for") - 1)))
+    pairs = before.join(blocks, "__pos").select("for_window", "split", F.coalesce("window_index", F.lit(-1)).alias("__window"))
+    block = F.when(F.col("split") == "train", F.lit(-1)).otherwise(F.col("window_index"))
+    return rows.withColumn("__window", block).join(pairs, ["split", "__window"]).select("for_window", *rows.columns)
 
 
 def finite(x: Column | str) -> Column:

@@ -48,7 +48,8 @@ def infer_task(frame: DataFrame, target: str, task: str | None = None) -> str:
 
 
 def dataset_name(path: str) -> str:
-    return Path(path).stem.replace(" ", "_").lower()
+    words = Path(path).stem.lower().split(" ")
+    return "_".join(words)
 
 
 def _with_roles(frame: DataFrame, path: str, target: str, time: str, task: str | None, name: str | None, split: str | None) -> Dataset:
