@@ -8,4 +8,6 @@ import sys
 
 from pyspark import cloudpickle
 
+__version__ = "0.2.0"
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -64,13 +64,13 @@ def psi_bins(reference: DataFrame, windows: DataFrame, bins: int = 10) -> DataFr
     inner = F.when(F.size("edges") >= 3, F.slice("edges", 2, F.size("edges") - 2)).when(F.col("ref01") & F.col("cur01"), F.array(F.lit(0.5))).otherwise(linear)
     rule = rule.select("window_index", "feature_id", inner.alias("inner"), "n_ref", "n_cur", (F.size("edges") >= 3).alias("fixed"))
     bucket = F.size(F.filter("inner", lambda e: e <= F.col("value")))
-    small = F.broadcast(rule)
-    actual = windows.join(small, ["window_index", "feature_id"]).groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.count(F.lit(1)).alias("actual"))
+    # windows x features grow with the data: no broadcast hint, Spark decides by size
+    actual = windows.join(rule, ["window_index", "feature_id"]).groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.count(F.lit(1)).alias("actual"))
     # reference counts depend on the bins alone: once for quantile bins, by window only where a fallback needs it
     shared = rule.where("fixed").select("feature_id", "inner").distinct()
     once = reference.join(F.broadcast(shared), "feature_id").groupBy("feature_id", bucket.alias("bin")).agg(F.count(F.lit(1)).alias("expected"))
     every = rule.where("fixed").select("window_index", "feature_id").join(once, "feature_id")
-    back = reference.groupBy("feature_id", "value").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(rule.where("not fixed")), "feature_id").groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.sum("k").alias("expected"))
+    back = reference.groupBy("feature_id", "value").agg(F.count(F.lit(1)).alias("k")).join(rule.where("not fixed"), "feature_id").groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.sum("k").alias("expected"))
     expected = every.select("window_index", "feature_id", "bin", "expected").unionByName(back.select("window_index", "feature_id", "bin", "expected"))
     grid = rule.select("window_index", "feature_id", "n_ref", "n_cur", (F.size("inner") + 1).alias("n_bins"), F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bin"))
     keys = ["window_index", "feature_id", "bin"]

@@ -106,7 +106,7 @@ def calendar_windows(df: DataFrame, time: str, freq: str = "month", least: int =
     sizes = rows.groupBy("period").count()  # one row a period: a small table
     sizes = sizes.withColumn("window_label", F.row_number().over(Window.orderBy("period")) - 1).where(F.col("count") >= least)
     sizes = sizes.withColumn("window_index", F.row_number().over(Window.orderBy("period")) - 1).drop("count")
-    return rows.join(F.broadcast(sizes), "period")
+    return rows.join(sizes, "period")
 
 
 def window_table(rows: DataFrame, rn: str = "srn") -> DataFrame:
@@ -133,6 +133,13 @@ def sample_rows(df: DataFrame, n: int, size: int, seed: int, rn: str = "rn") ->
     return df.join(F.broadcast(at), rn, "left_semi")
 
 
+def sample_features(long: DataFrame, n: int, most: int | None, seed: int) -> DataFrame:
+    """Long rows of at most ``most`` drawn features of n; all of them if there are no more. The ids are literals."""
+    if most is None or n <= most:
+        return long
+    return long.where(F.col("feature_id").isin([int(i) for i in drawn(n, most, seed)]))
+
+
 def recent_reference(rows: DataFrame, windows: int, split: str = "test") -> DataFrame:
     """Reference rows of every window of a split: those of the last ``windows`` windows before it, over all scored
     splits in time order; windows without any predecessor use the training rows. Adds for_window."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.rankstats import correlation_table
 from tidegauge.operators import distance, encode, ordering, policy, quality
+from tidegauge.plans.report import dataset_summary
 
 
 @dataclass(frozen=True)
@@ -31,8 +34,12 @@ class Config:
     buckets: int = 256
     threshold_quantile: float = 0.95
     psi_bins: int = 10
-    max_pairs: int = 1000
+    ks_features: int | None = 2048  # features that a family of scores is drawn from; None: all
+    psi_features: int | None = 2048
+    max_pairs: int = 1000  # rows a side of MMD and transport
+    energy_rows: int = 1000  # rows a side of the energy distance
     c2st_rows: int = 4000
+    c2st_folds: int = 5
     periods: tuple[int, ...] = (4,)
     histories: tuple[str, ...] = ("all", "rolling")
     rolling_windows: int = 4
@@ -46,45 +53,66 @@ class Result:
     window_scores: DataFrame
     correlations: DataFrame
     thresholds: DataFrame
+    dataset_summary: DataFrame
     psi_diagnostics: DataFrame | None
     retraining_windows: DataFrame | None = None
     retraining_summary: DataFrame | None = None
 
 
 def score_windows(reference: DataFrame, windows: DataFrame, methods: tuple[str, ...], config: Config) -> DataFrame:
-    """(window_index, method, score) of every method for rows (window_index, srn, features); each family is computed
-    once for all its methods."""
+    """(window_index, method, score, runtime_seconds) of every method for rows (window_index, srn, features); each family
+    is computed once for all its methods and windows.
+
+    runtime_seconds is the time of the job that made a family's scores, in equal shares for its methods and windows.
+    """
     out: list[DataFrame] = []
+    one = reference.select(F.size("features").alias("n")).first()
+    dim = one["n"] if one else 0
     long_ref, long_cur = encode.long_form(reference, []), encode.long_form(windows, ["window_index"])
     families: dict[str, list[tuple[str, dict]]] = {}
     for m in methods:
         family, params = distance.parse_method(m)
         families.setdefault(family, []).append((m, params))
-    row = lambda df, m, c: df.select("window_index", F.lit(m).alias("method"), F.col(c).alias("score"))
+
+    def timed(make: Callable[[], DataFrame], n_methods: int = 1) -> DataFrame:
+        start = time.perf_counter()
+        got = ordering.settled(make())
+        spent = time.perf_counter() - start
+        return got.withColumn("runtime_seconds", F.lit(spent / max(1, got.count() * n_methods)))
+
+    row = lambda df, m, c: df.select("window_index", F.lit(m).alias("method"), F.col(c).alias("score"), "runtime_seconds")
     if "ks" in families:
-        ks = ordering.settled(distance.ks(long_ref, long_cur).groupBy("window_index").agg(F.avg("ks").alias("mean_ks"), F.max("ks").alias("max_ks")))
+        own = [ordering.sample_features(df, dim, config.ks_features, config.seed) for df in (long_ref, long_cur)]
+        ks = timed(lambda: distance.ks(*own).groupBy("window_index").agg(F.avg("ks").alias("mean_ks"), F.max("ks").alias("max_ks")), len(families["ks"]))
         out += [row(ks, m, m) for m, _ in families["ks"]]
     if "psi" in families:
         tops = tuple({p["top"] for _, p in families["psi"] if "top" in p})
-        psi = ordering.settled(distance.psi_summaries(distance.psi(long_ref, long_cur, config.psi_bins), tops or (5,)))
+        own = [ordering.sample_features(df, dim, config.psi_features, config.seed) for df in (long_ref, long_cur)]
+        psi = timed(lambda: distance.psi_summaries(distance.psi(*own, config.psi_bins), tops or (5,)), len(families["psi"]))
         out += [row(psi, m, f"top{p['top']}_psi" if "top" in p else m) for m, p in families["psi"]]
     for m, p in families.get("sliced", []):
-        dim = len(reference.first()["features"])
         theta = encode.directions(dim, p["projections"], config.seed)
         ref, cur = encode.projected(reference, [], theta), encode.projected(windows, ["window_index"], theta)
-        out.append(row(distance.sliced_wasserstein(ref, cur, p["grid"]), m, "score"))
-    pairs = [m for f in ("mmd_rbf", "energy", "sinkhorn") for m, _ in families.get(f, [])]
+        out.append(row(timed(lambda: distance.sliced_wasserstein(ref, cur, p["grid"])), m, "score"))  # noqa: B023  called at once
+    kernels = {"mmd_rbf": (distance.mmd, config.max_pairs), "energy": (distance.energy, config.energy_rows), "sinkhorn": (distance.sinkhorn, config.max_pairs)}
+    pairs = [m for f in kernels for m, _ in families.get(f, [])]
     if pairs:
         n = reference.count()
-        ref = ordering.settled(ordering.sample_rows(reference, n, config.max_pairs, config.seed, "srn"))
         sizes = {r[0]: r[1] for r in windows.groupBy("window_index").count().collect()}
-        cur = ordering.settled(distance.sampled(windows, sizes, config.max_pairs, config.seed + 1))
-        kernels = {"mmd_rbf": distance.mmd, "energy": distance.energy, "sinkhorn": distance.sinkhorn}
-        out += [row(kernels[m](ref, cur), m, "score") for m in pairs]
+        samples = {}
+        for most in {kernels[m][1] for m in pairs}:
+            samples[most] = ordering.settled(ordering.sample_rows(reference, n, most, config.seed, "srn")), ordering.settled(distance.sampled(windows, sizes, most, config.seed + 1))
+        for m in pairs:
+            kernel, most = kernels[m]
+            out.append(row(timed(lambda: kernel(*samples[most])), m, "score"))  # noqa: B023  called at once
     for m, _ in families.get("c2st", []):
         ids = [r[0] for r in windows.select("window_index").distinct().collect()]
-        values = [(w, m, distance.c2st(reference, windows.where(F.col("window_index") == w).select("srn", "features"), max_samples=config.c2st_rows, seed=config.seed)) for w in sorted(ids)]
-        out.append(reference.sparkSession.createDataFrame(values, "window_index bigint, method string, score double"))
+        values = []
+        for w in sorted(ids):
+            start = time.perf_counter()
+            score = distance.c2st(reference, windows.where(F.col("window_index") == w).select("srn", "features"), config.c2st_folds, config.c2st_rows, config.seed)
+            values.append((w, m, score, time.perf_counter() - start))
+        out.append(reference.sparkSession.createDataFrame(values, "window_index bigint, method string, score double, runtime_seconds double"))
     return distance.union_all(out)
 
 
@@ -156,13 +184,15 @@ def run(rows: DataFrame, order: list[str], features: list[str], target: str, tas
     test = fact.where("stream = 'test'")
     diagnostics = None
     if any(distance.parse_method(m)[0] == "psi" for m in config.methods):
-        long = encode.long_form(space.where("split = 'test'"), ["window_index"])
-        diagnostics = distance.psi_diagnostics(distance.psi(encode.long_form(base, []), long, config.psi_bins))
+        one = base.select(F.size("features").alias("n")).first()
+        own = [ordering.sample_features(df, one["n"], config.psi_features, config.seed) for df in (encode.long_form(base, []), encode.long_form(space.where("split = 'test'"), ["window_index"]))]
+        diagnostics = distance.psi_diagnostics(distance.psi(*own, config.psi_bins))
     names = {"dataset": F.lit(dataset), "model": F.lit(config.model), "dataset_model": F.lit(f"{dataset}/{config.model}")}
     diagnostics = diagnostics and diagnostics.withColumns({k: names[k] for k in ("dataset", "model")})
-    result = Result(fact, correlation_table(test, draws=config.draws, seed=config.seed).withColumns(names), limits, diagnostics)
+    summary = dataset_summary(data, dataset, features, order[0]).withColumns({"task": F.lit(task), "model": F.lit(config.model)})
+    result = Result(fact, correlation_table(test, draws=config.draws, seed=config.seed).withColumns(names), limits, summary, diagnostics)
     if config.retraining:
-        result.retraining_windows, result.retraining_summary = retrain(coded, test, task, name, metric, config)
+        result.retraining_windows, result.retraining_summary = (df.withColumns({k: names[k] for k in ("dataset", "model")}) for df in retrain(coded, test, task, name, metric, config))
     return result
 
 

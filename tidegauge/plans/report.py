@@ -32,11 +32,13 @@ def tables(read: Callable[[str], DataFrame | None], reference: str = "sliced") -
         "downstream_quality": ("window_scores", lambda df: downstream_quality(df.where("stream = 'test'"), ["result_dir", "dataset", "model"])),
         "correlations": ("correlations", lambda df: df),
         "correlation_summary": ("correlations", lambda df: correlation_summary(df, reference)),
+        "runtime_summary": ("window_scores", lambda df: runtime_summary(df, ["dataset", "model", "method"])),
         "friedman": ("correlations", lambda df: friedman(df, "method", "dataset_model", "spearman")),
         "psi_diagnostics_summary": ("psi_diagnostics", lambda df: psi_diagnostics_summary(df, ["dataset", "model"])),
         "retraining_summary": ("retraining_summary", retraining_summary),
         "drift_detection_summary": ("drift_summary", detection_summary),
-        "ablation_summary": ("ablation_correlations", ablation_summary),
+        "ablation_summary": ("ablation_correlations", lambda df: ablation_summary(df, read("ablation_runtimes"))),
+        "dataset_summary": ("dataset_summary", lambda df: df),
     }
     out = {}
     for name, (source, make) in made.items():

@@ -130,29 +130,53 @@ def generate(spark: SparkSession, n: int = 12_000, numeric: int = 10, categorica
     even and the first number is missing more often.
     """
     late = F.col("time") >= int(n * drift_start)
+    beta = np.random.default_rng(seed).normal(size=numeric)
+    beta /= np.linalg.norm(beta) + 1e-12
     z = lambda i: F.randn(seed + i)
     df = spark.range(n).select(F.col("id").alias("time"))
     df = df.withColumns({"__c": z(1000), **{f"x_num_{i}": z(i) for i in range(numeric)}})
     # equal correlation of 1/4: half of a common part
     df = df.withColumns({f"x_num_{i}": F.sqrt(F.lit(0.75)) * F.col(f"x_num_{i}") + 0.5 * F.col("__c") for i in range(min(4, numeric))})
     x = [F.col(f"x_num_{i}") for i in range(numeric)]
-    moved = {0: x[0] + 0.75, **({1: x[1] - 0.5} if numeric > 1 else {}), **({2: x[3], 3: x[2]} if numeric > 3 else {}), **({4: x[4] * 1.45} if numeric > 4 else {}), **({5: x[5] * 1.45} if numeric > 5 else {})}
+    moved = {}
+    if numeric >= 2:
+        moved |= {0: x[0] + 0.75, 1: x[1] - 0.5}
+    if numeric >= 4:
+        moved |= {2: x[3], 3: x[2]}
+    if numeric >= 6:
+        moved |= {4: x[4] * 1.45, 5: x[5] * 1.45}
     df = df.withColumns({f"x_num_{i}": F.when(late, c).otherwise(x[i]) for i, c in moved.items()})
     pick = lambda u, cuts: F.when(u < cuts[0], "a").when(u < cuts[1], "b").when(u < cuts[2], "c").otherwise("d")
     for i in range(categorical):
         df = df.withColumn("__u", F.rand(seed + 2000 + i))
         df = df.withColumn(f"x_cat_{i}", F.when(late, pick(F.col("__u"), (0.25, 0.5, 0.75))).otherwise(pick(F.col("__u"), (0.60, 0.85, 0.95))))
-    signal = sum((F.col(f"x_num_{i}") * (0.8 / (i + 1)) for i in range(numeric)), F.lit(0.0)) + F.sin(F.col("x_num_0"))
-    chance = 1 / (1 + F.exp(-signal))
-    target = (F.rand(seed + 3000) < chance).cast("int") if task == "classification" else signal + 0.3 * z(3001)
-    df = df.withColumn("target", target).withColumn("x_num_0", F.when(F.rand(seed + 4000) >= F.when(late, 0.18).otherwise(0.03), F.col("x_num_0")))
+    if numeric:
+        df = df.withColumn("x_num_0", F.when(F.rand(seed + 4000) >= F.when(late, 0.18).otherwise(0.03), F.col("x_num_0")))
+    # the target sees a missing number as 0, and five slow waves over the time of the table
+    signal = sum((F.coalesce(F.col(f"x_num_{i}"), F.lit(0.0)) * float(beta[i]) for i in range(numeric)), F.lit(0.0))
+    signal = signal + 0.35 * F.sin(F.col("time") * (10 * float(np.pi) / max(1, n - 1)))
+    chance = 1 / (1 + F.exp(-(signal + 0.7 * z(3001))))
+    df = df.withColumn("target", (F.rand(seed + 3000) < chance).cast("int") if task == "classification" else signal + 0.5 * z(3001))
     return Dataset(name, df.drop("__c", "__u"), "target", "time", task, None, "generated")
 
 
+#: Names of settings in dataset files, and ours where they differ. Options of another CSV reader are left out.
+SPEC = {
+    "target_col": "target",
+    "time_col": "time",
+    "split_col": "split",
+    "task_type": "task",
+    "n_samples": "n",
+    "n_numeric": "numeric",
+    "n_categorical": "categorical",
+    "drift_start_frac": "drift_start",
+}
+
+
 def load_spec(spark: SparkSession, spec: dict) -> Dataset:
-    """A dataset from a mapping with ``type``: csv, parquet, table, arrays or synthetic."""
-    spec = dict(spec)
-    kind = spec.pop("type", "csv")
+    """A dataset from a mapping with ``type``: csv, parquet, table, arrays or synthetic. Names of SPEC are taken too."""
+    spec = {SPEC.get(k, k): v for k, v in spec.items() if k != "read_csv_kwargs"}
+    kind = str(spec.pop("type", "csv")).lower()
     loaders = {"csv": load_csv, "parquet": load_parquet, "table": load_table, "arrays": load_arrays, "synthetic": generate}
     if kind not in loaders:
         raise ValueError(f"unknown dataset type: {kind}")
