@@ -131,7 +131,7 @@ def test_report_from_a_run_with_an_official_split_and_calendar_windows(spark, tm
     assert {r["stream"]: r["n"] for r in sizes} == {"validation": 240, "test": 360} and all(r["windows"] >= 12 for r in sizes)
     conf.write_result(result, str(tmp_path / "a"))
     made = report.tables(lambda name: conf.read_results(spark, [str(tmp_path / "a")], name), "mean_ks")
-    assert set(made) == {"downstream_quality", "correlations", "correlation_summary", "friedman", "psi_diagnostics_summary"}
+    assert set(made) == {"downstream_quality", "correlations", "correlation_summary", "friedman", "psi_diagnostics_summary", "runtime_summary", "dataset_summary"}
     assert all(df.count() > 0 for df in made.values())
     assert {"spearman_ci_low", "dataset_model"} <= set(made["correlations"].columns)
     with pytest.raises(ValueError):
