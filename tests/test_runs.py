@@ -31,7 +31,7 @@ def test_names_of_settings():
     assert (got.least_windows, got.retraining, got.periods, got.least_drop) == (30, True, (4, 8), 0.1)
     values = {"experiment": {"window_size": 70, "seed": 3}, "synthetic_drift": {"window_size": 80, "drift_start_window": 2, "scenarios": ["mixed_shift", "mean_shift"], "missing_probability": 0.5}}
     config, drift = conf.drift_config(values)
-    assert (config.window_size, config.seed, drift.start, drift.scenarios, drift.missing) == (80, 3, 2, ("mixed", "mean_shift"), 0.5)
+    assert (config.window_size, config.seed, drift.start, drift.scenarios, drift.missing) == (80, 3, 2, ("mixed_shift", "mean_shift"), 0.5)
     grid = conf.ablation_config({"ablation": {"window_sizes": [10], "run_threshold": False}})
     assert [k for k, _, _ in grid.runs(QUICK)].count("window_size") == 1 and all(k != "threshold_quantile" for k, _, _ in grid.runs(QUICK))
     assert conf.models({"experiment": {"models": "linear"}}) == ["linear"] and conf.models({"experiment": {"model_names": ["a", "b"]}}) == ["a", "b"]
@@ -90,7 +90,7 @@ def test_drift_command_and_report(spark, tmp_path):
     )
     assert cli.main(["drift", str(tmp_path / "c.yaml")]) == 0
     summary = {r["scenario"]: r for r in spark.read.parquet(f"{tmp_path}/out_synthetic_drift/drift_summary").collect()}
-    assert set(summary) == {"mean_shift", "local_subpopulation"} and summary["mean_shift"]["auroc"] == 1.0
+    assert set(summary) == {"mean_shift", "local_subpopulation_shift"} and summary["mean_shift"]["auroc"] == 1.0
     assert cli.main(["report", f"{tmp_path}/out_synthetic_drift", "--output", f"{tmp_path}/report"]) == 0
     assert spark.read.parquet(f"{tmp_path}/report/drift_detection_summary").count() == 1
 

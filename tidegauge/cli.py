@@ -83,12 +83,8 @@ def _bounded(config: experiment.Config, args: argparse.Namespace) -> experiment.
     return dataclasses.replace(config, **{b: getattr(args, b) for b in BOUNDS if getattr(args, b, None) is not None})
 
 
-def _order(data: datasets.Dataset) -> list[str]:
-    return [data.time] + [c for c in data.frame.columns if c != data.time]
-
-
 def run_one(data: datasets.Dataset, config: experiment.Config, output: str) -> list[str]:
-    result = experiment.run(data.frame, _order(data), data.features, data.target, data.task, config, data.split, data.name)
+    result = experiment.run(data.frame, data.order, data.features, data.target, data.task, config, data.split, data.name)
     return conf.write_result(result, output)
 
 
@@ -155,12 +151,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.command == "run":
             LOG.info("wrote %s", run_one(data, config, args.output or conf.output_dir(values)))
         elif args.command == "ablate":
-            made = runs.ablate(data.frame, _order(data), data.features, data.target, data.task, config, conf.ablation_config(values), data.split, data.name)
+            made = runs.ablate(data.frame, data.order, data.features, data.target, data.task, config, conf.ablation_config(values), data.split, data.name)
             conf.write_tables(made, args.output or f"{conf.output_dir(values)}_ablation")
         else:
             config, drift = conf.drift_config(values)
             numeric = [c for c in data.features if isinstance(data.frame.schema[c].dataType, T.NumericType)]
-            windows, summary = runs.injection_experiment(data.frame, _order(data), numeric, [c for c in data.features if c not in numeric], _bounded(config, args), drift, data.split, data.name)
+            windows, summary = runs.injection_experiment(data.frame, data.order, numeric, [c for c in data.features if c not in numeric], _bounded(config, args), drift, data.split, data.name)
             conf.write_tables({"drift_windows": windows, "drift_summary": summary}, args.output or conf.drift_output_dir(values))
     return 0
 

@@ -1,43 +1,62 @@
 """Two-sample distances between a reference and every window, as grouped plans over long tables.
 
-Reference rows: (feature_id, value); window rows: (window_index, feature_id, value). Higher is more drift.
+Reference rows: (feature_id, value); window rows: (window_index, feature_id, value). Higher is more drift. A reference with a column
+window_index holds a sample of its own for every window, as rolling references do; without it all windows share it. Rows may also come as
+counts of values: a reference with r, windows with c.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import drawn, running_total
+from .encode import matrix, parts, projected
+from .ordering import drawn, running_total, sample_rows, settled
+from .quantiles import exact_quantiles
 
 EPS = 1e-6
 
 
+def own_keys(reference: DataFrame) -> list[str]:
+    """The columns by which a reference belongs to windows: window_index or none."""
+    return [c for c in ("window_index",) if c in reference.columns]
+
+
+def counted(reference: DataFrame) -> DataFrame:
+    """(keys, feature_id, value, r): a reference of long rows as counts of its values. One that has r already stays as it is."""
+    return reference if "r" in reference.columns else reference.groupBy(*own_keys(reference), "feature_id", "value").agg(F.count(F.lit(1)).alias("r"))
+
+
+def hinted(df: DataFrame, by: list[str]) -> DataFrame:
+    """df, which has a row a feature, with a broadcast hint unless it also has one for every window."""
+    return df if by else F.broadcast(df)
+
+
 # --- Kolmogorov-Smirnov ---------------------------------------------------------------------------------------------
 
 
 def ks(reference: DataFrame, windows: DataFrame) -> DataFrame:
     """(window_index, feature_id, ks). Both samples are counted by value first. Between two neighbouring values of the
     window its distribution is flat, so the largest gap is at one of them or just before: the reference is only looked
-    up there, and is never repeated for each window."""
-    ref = reference.groupBy("feature_id", "value").agg(F.count(F.lit(1)).alias("r"))
-    cur = windows.groupBy("window_index", "feature_id", "value").agg(F.count(F.lit(1)).alias("c"))
-    points = cur.select("feature_id", "value", F.lit(0).cast("long").alias("r")).distinct().unionByName(ref)
-    points = points.groupBy("feature_id", "value").agg(F.sum("r").alias("r"))
-    upto = running_total(points, ["feature_id"], ["value"], "r", "upto")
-    size = ref.groupBy("feature_id").agg(F.sum("r").alias("n_ref"))
-    look = upto.join(F.broadcast(size), "feature_id").select("feature_id", "value", (F.col("upto") / F.col("n_ref")).alias("f_ref"), ((F.col("upto") - F.col("r")) / F.col("n_ref")).alias("f_ref_before"))
-    by = Window.partitionBy("window_index", "feature_id")
-    own = cur.withColumn("n", F.sum("c").over(by)).withColumn("s", F.sum("c").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    up there, and a shared one is never repeated for each window."""
+    by = own_keys(reference)
+    ref = counted(reference)
+    cur = windows if "c" in windows.columns else windows.groupBy("window_index", "feature_id", "value").agg(F.count(F.lit(1)).alias("c"))
+    points = cur.select(*by, "feature_id", "value", F.lit(0).cast("long").alias("r")).distinct().unionByName(ref)
+    points = points.groupBy(*by, "feature_id", "value").agg(F.sum("r").alias("r"))
+    upto = running_total(points, [*by, "feature_id"], ["value"], "r", "upto")
+    size = ref.groupBy(*by, "feature_id").agg(F.sum("r").alias("n_ref"))
+    look = upto.join(hinted(size, by), [*by, "feature_id"]).select(*by, "feature_id", "value", (F.col("upto") / F.col("n_ref")).alias("f_ref"), ((F.col("upto") - F.col("r")) / F.col("n_ref")).alias("f_ref_before"))
+    part = Window.partitionBy("window_index", "feature_id")
+    own = cur.withColumn("n", F.sum("c").over(part)).withColumn("s", F.sum("c").over(part.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
     gap = F.greatest(F.abs(F.col("f_ref") - F.col("s") / F.col("n")), F.abs(F.col("f_ref_before") - (F.col("s") - F.col("c")) / F.col("n")))
-    return own.join(look, ["feature_id", "value"]).groupBy("window_index", "feature_id").agg(F.max(gap).alias("ks"))
+    return own.join(look, [*by, "feature_id", "value"]).groupBy("window_index", "feature_id").agg(F.max(gap).alias("ks"))
 
 
 # --- Population stability index ---------------------------------------------------------------------------------------
@@ -47,17 +66,23 @@ def quantile_grid(n: int) -> list[float]:
     return [float(q) for q in np.linspace(0, 1, n)]
 
 
-def psi_bins(reference: DataFrame, windows: DataFrame, bins: int = 10) -> DataFrame:
+def psi_edges(reference: DataFrame, bins: int = 10) -> DataFrame:
+    """(keys, feature_id, edges, ref01, rlo, rhi, n_ref) of a reference: its distinct quantiles, whether all values are 0 or 1, range, size."""
+    by, ref = [*own_keys(reference), "feature_id"], counted(reference)
+    facts = ref.groupBy(*by).agg(F.bool_and(F.col("value").isin(0.0, 1.0)).alias("ref01"), F.min("value").alias("rlo"), F.max("value").alias("rhi"), F.sum("r").alias("n_ref"))
+    return facts.join(exact_quantiles(ref, by, "value", quantile_grid(bins + 1), "edges", "r"), by).withColumn("edges", F.array_distinct("edges"))
+
+
+def psi_bins(reference: DataFrame, windows: DataFrame, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """(window_index, feature_id, bin, expected, actual, n_ref, n_cur, n_bins): counts of both samples in every bin.
 
     Bins are the distinct quantiles of the reference, outer ones open; with fewer than three edges, 0/1 features have
     the bins 0 and 1, and others equal bins over the range of both samples (one bin if that is a point).
     """
-    edges = reference.groupBy("feature_id").agg(
-        F.array_distinct(F.percentile("value", F.array(*map(F.lit, quantile_grid(bins + 1))))).alias("edges"), F.bool_and(F.col("value").isin(0.0, 1.0)).alias("ref01"), F.min("value").alias("rlo"), F.max("value").alias("rhi"), F.count(F.lit(1)).alias("n_ref")
-    )
-    cur = windows.groupBy("window_index", "feature_id").agg(F.bool_and(F.col("value").isin(0.0, 1.0)).alias("cur01"), F.min("value").alias("clo"), F.max("value").alias("chi"), F.count(F.lit(1)).alias("n_cur"))
-    rule = cur.join(F.broadcast(edges), "feature_id")
+    by, ref, each = own_keys(reference), counted(reference), F.col("c") if "c" in windows.columns else F.lit(1)
+    edges = psi_edges(ref, bins) if edges is None else edges
+    cur = windows.groupBy("window_index", "feature_id").agg(F.bool_and(F.col("value").isin(0.0, 1.0)).alias("cur01"), F.min("value").alias("clo"), F.max("value").alias("chi"), F.sum(each).alias("n_cur"))
+    rule = cur.join(hinted(edges, by), [*by, "feature_id"])
     low, high = F.least("rlo", "clo"), F.greatest("rhi", "chi")
     step = (high - low) / bins
     linear = F.when(low == high, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda i: low + step * i))
@@ -65,24 +90,24 @@ def psi_bins(reference: DataFrame, windows: DataFrame, bins: int = 10) -> DataFr
     rule = rule.select("window_index", "feature_id", inner.alias("inner"), "n_ref", "n_cur", (F.size("edges") >= 3).alias("fixed"))
     bucket = F.size(F.filter("inner", lambda e: e <= F.col("value")))
     # windows x features grow with the data: no broadcast hint, Spark decides by size
-    actual = windows.join(rule, ["window_index", "feature_id"]).groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.count(F.lit(1)).alias("actual"))
+    actual = windows.join(rule, ["window_index", "feature_id"]).groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.sum(each).alias("actual"))
     # reference counts depend on the bins alone: once for quantile bins, by window only where a fallback needs it
-    shared = rule.where("fixed").select("feature_id", "inner").distinct()
-    once = reference.join(F.broadcast(shared), "feature_id").groupBy("feature_id", bucket.alias("bin")).agg(F.count(F.lit(1)).alias("expected"))
-    every = rule.where("fixed").select("window_index", "feature_id").join(once, "feature_id")
-    back = reference.groupBy("feature_id", "value").agg(F.count(F.lit(1)).alias("k")).join(rule.where("not fixed"), "feature_id").groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.sum("k").alias("expected"))
+    shared = rule.where("fixed").select(*by, "feature_id", "inner").distinct()
+    once = ref.join(hinted(shared, by), [*by, "feature_id"]).groupBy(*by, "feature_id", bucket.alias("bin")).agg(F.sum("r").alias("expected"))
+    every = rule.where("fixed").select("window_index", "feature_id").join(once, [*by, "feature_id"])
+    back = ref.join(rule.where("not fixed"), [*by, "feature_id"]).groupBy("window_index", "feature_id", bucket.alias("bin")).agg(F.sum("r").alias("expected"))
     expected = every.select("window_index", "feature_id", "bin", "expected").unionByName(back.select("window_index", "feature_id", "bin", "expected"))
     grid = rule.select("window_index", "feature_id", "n_ref", "n_cur", (F.size("inner") + 1).alias("n_bins"), F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bin"))
     keys = ["window_index", "feature_id", "bin"]
     return grid.join(expected, keys, "left").join(actual, keys, "left").fillna(0, ["expected", "actual"])
 
 
-def psi(reference: DataFrame, windows: DataFrame, bins: int = 10) -> DataFrame:
+def psi(reference: DataFrame, windows: DataFrame, bins: int = 10, edges: DataFrame | None = None) -> DataFrame:
     """(window_index, feature_id, psi, n_bins, zero_expected, zero_actual, clipped_expected, clipped_actual)."""
     e, a = F.col("expected") / F.col("n_ref"), F.col("actual") / F.col("n_cur")
     ce, ca = F.greatest(e, F.lit(EPS)), F.greatest(a, F.lit(EPS))
     count = lambda c: F.sum(c.cast("long"))
-    return psi_bins(reference, windows, bins).groupBy("window_index", "feature_id").agg(
+    return psi_bins(reference, windows, bins, edges).groupBy("window_index", "feature_id").agg(
         F.sum((ca - ce) * F.log(ca / ce)).alias("psi"), F.max("n_bins").alias("n_bins"), count(F.col("expected") == 0).alias("zero_expected"), count(F.col("actual") == 0).alias("zero_actual"), count(e < EPS).alias("clipped_expected"), count(a < EPS).alias("clipped_actual")
     )
 
@@ -109,8 +134,9 @@ def psi_diagnostics(per_feature: DataFrame, top: int = 10) -> DataFrame:
 
 def quantiles(z: DataFrame, keys: list[str], grid: int, exact: bool = True) -> DataFrame:
     """(keys, q): quantiles of z at equal steps from 0 to 1."""
-    at = F.array(*map(F.lit, quantile_grid(grid)))
-    return z.groupBy(*keys).agg((F.percentile("z", at) if exact else F.percentile_approx("z", at, F.lit(10_000))).alias("q"))
+    if exact:
+        return exact_quantiles(z, keys, "z", quantile_grid(grid))
+    return z.groupBy(*keys).agg(F.percentile_approx("z", F.array(*map(F.lit, quantile_grid(grid))), F.lit(10_000)).alias("q"))
 
 
 def sliced_details(reference: DataFrame, windows: DataFrame, grid: int = 512, exact: bool = True) -> DataFrame:
@@ -121,6 +147,63 @@ def sliced_details(reference: DataFrame, windows: DataFrame, grid: int = 512, ex
     return both.select("window_index", "proj_id", (F.aggregate(square, F.lit(0.0), lambda s, x: s + x) / grid).alias("w2"))
 
 
+#: Rows of a window up to which one task projects and sorts it whole.
+WHOLE = 200_000
+
+
+def sliced_reference(reference: DataFrame, theta: np.ndarray, grid: int = 512) -> np.ndarray:
+    """Quantiles of a shared reference of rows with features on every direction: grid x directions."""
+    got = quantiles(projected(reference, [], theta), ["proj_id"], grid).toPandas().sort_values("proj_id")  # directions x grid numbers
+    return np.array(got["q"].tolist(), float).T
+
+
+def sliced_windows(reference: DataFrame | np.ndarray, windows: DataFrame, theta: np.ndarray, grid: int = 512) -> DataFrame:
+    """(window_index, score) of windows of rows with features, whose quantiles are taken where the rows are: no projected value is
+    shuffled. ``reference`` is the result of ``sliced_reference``, or rows with a window_index. Windows of more than WHOLE rows go
+    through histograms."""
+    at = quantile_grid(grid)
+    schema = "window_index bigint, score double"
+
+    def reduced(pdf: pd.DataFrame) -> np.ndarray:
+        return np.quantile(matrix(pdf) @ theta, at, axis=0)
+
+    def distance(a: np.ndarray, b: np.ndarray) -> float:
+        return float(np.sqrt(((a - b) ** 2).mean()))
+
+    cur = windows.select("window_index", "features")
+    sizes = cur.groupBy("window_index").count()
+    if not isinstance(reference, np.ndarray):
+        ref = reference.select("window_index", "features")
+        sizes = sizes.unionByName(ref.groupBy("window_index").count())
+    large = settled(sizes.where(F.col("count") > WHOLE).select("window_index").distinct())
+    some = not large.isEmpty()
+    few = cur.join(large, "window_index", "left_anti") if some else cur
+    if isinstance(reference, np.ndarray):
+        sent = cur.sparkSession.sparkContext.broadcast(reference)
+        one = lambda pdf: pd.DataFrame({"window_index": pdf["window_index"].iloc[:1], "score": [distance(sent.value, reduced(pdf))]})
+        out = few.select("window_index", *parts(few)).groupBy("window_index").applyInPandas(one, schema)
+        if not some:
+            return out
+        q_ref = cur.sparkSession.createDataFrame([(k, [float(v) for v in reference[:, k]]) for k in range(reference.shape[1])], "proj_id int, q_ref array<double>")
+        both = quantiles(projected(cur.join(large, "window_index", "left_semi"), ["window_index"], theta), ["window_index", "proj_id"], grid).join(F.broadcast(q_ref), "proj_id")
+    else:
+        own = ref.join(large, "window_index", "left_anti") if some else ref
+
+        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            both = len(left) and len(right)
+            return pd.DataFrame({"window_index": right["window_index"].iloc[:1], "score": [distance(reduced(left), reduced(right))]} if both else {"window_index": [], "score": []})
+
+        left, right = (df.select("window_index", *parts(df)).groupBy("window_index") for df in (own, few))
+        out = left.cogroup(right).applyInPandas(pair, schema)
+        if not some:
+            return out
+        keys = ["window_index", "proj_id"]
+        each = [quantiles(projected(df.join(large, "window_index", "left_semi"), ["window_index"], theta), keys, grid) for df in (ref, cur)]
+        both = each[1].join(each[0].withColumnRenamed("q", "q_ref"), keys)
+    w2 = F.aggregate(F.zip_with("q_ref", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / grid
+    return out.unionByName(both.groupBy("window_index").agg(F.sqrt(F.avg(w2)).alias("score")))
+
+
 def sliced_wasserstein(reference: DataFrame, windows: DataFrame, grid: int = 512, exact: bool = True) -> DataFrame:
     return sliced_details(reference, windows, grid, exact).groupBy("window_index").agg(F.sqrt(F.avg("w2")).alias("score"))
 
@@ -158,10 +241,6 @@ def sliced_subsample(reference: DataFrame, current: DataFrame, n_ref: int, n_cur
 # --- Kernel and energy distances ----------------------------------------------------------------------------------------
 
 
-def square_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-
 def sampled(rows: DataFrame, sizes: dict, most: int, seed: int, key: str = "window_index", rn: str = "srn") -> DataFrame:
     """At most ``most`` rows of every window, by drawn positions within the window (column __at, from 0)."""
     rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(rn)) - 1)
@@ -173,46 +252,66 @@ def sampled(rows: DataFrame, sizes: dict, most: int, seed: int, key: str = "wind
     return rows.where(~large).unionByName(rows.where(large).join(at, [key, "__at"], "left_semi").select(*rows.columns))
 
 
-def pair_means(reference: DataFrame, windows: DataFrame, value) -> DataFrame:
-    """(window_index, xy, xx, yy): means of value(square distance) over all pairs of the two samples and within each.
+#: Rows a side that a task compares in pairs. Samples are drawn to a cap of 1000 by default.
+MOST_PAIRED = 20_000
 
-    Both samples are bounded by the caller's caps (1000 rows a side by default), so pairs are too."""
-    ref = reference.select(F.col("features").alias("x"))
-    cur = windows.select("window_index", F.col("features").alias("y"))
-    d = square_distance(F.col("x"), F.col("y"))
-    cross = cur.join(F.broadcast(ref)).groupBy("window_index").agg(F.avg(value(d)).alias("xy"))
-    own = cur.join(cur.select("window_index", F.col("y").alias("x")), "window_index").groupBy("window_index").agg(F.avg(value(d)).alias("yy"))
-    within = ref.join(F.broadcast(ref.select(F.col("x").alias("y")))).agg(F.avg(value(d)).alias("xx"))
-    return cross.join(own, "window_index").join(F.broadcast(within))
 
+def by_window(reference: DataFrame, windows: DataFrame, value: Callable[[np.ndarray, np.ndarray], float | None]) -> DataFrame:
+    """(window_index, score): value(x, y) of the samples of every window, a task a window. Both are bounded samples of rows with
+    features; a shared reference is sent to the tasks, and refused beyond MOST_PAIRED rows."""
+    schema = "window_index bigint, score double"
+    cells = lambda df: [*parts(df), *(c for c in ("srn",) if c in df.columns)]
+    ordered = lambda pdf: matrix(pdf.sort_values("srn") if "srn" in pdf else pdf)  # noqa: E731  folds go by place
+    cur = windows.select("window_index", *cells(windows))
+    result = lambda w, s: pd.DataFrame({"window_index": [w], "score": [np.nan if s is None else s]}).astype({"score": float})
+    if own_keys(reference):
+
+        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"window_index": [], "score": []})
+            return result(right["window_index"].iloc[0], value(ordered(left), ordered(right)))
+
+        out = reference.select("window_index", *cells(reference)).groupBy("window_index").cogroup(cur.groupBy("window_index")).applyInPandas(pair, schema)
+    else:
+        rows = reference.select(*cells(reference)).limit(MOST_PAIRED + 1).toPandas()
+        if len(rows) > MOST_PAIRED:
+            raise ValueError(f"more than {MOST_PAIRED} rows in a sample for pairs")
+        if not len(rows):
+            return cur.sparkSession.createDataFrame([], schema)
+        sent = cur.sparkSession.sparkContext.broadcast(ordered(rows))
+        out = cur.groupBy("window_index").applyInPandas(lambda pdf: result(pdf["window_index"].iloc[0], value(sent.value, ordered(pdf))), schema)
+    return out.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
+
+
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Square distances of all pairs, some rows at a time."""
+    step = max(1, 2_000_000 // max(1, y.size))
+    return np.concatenate([((x[i : i + step, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), step)])
 
-def energy(reference: DataFrame, windows: DataFrame) -> DataFrame:
-    return pair_means(reference, windows, F.sqrt).select("window_index", F.sqrt(F.greatest(2 * F.col("xy") - F.col("xx") - F.col("yy"), F.lit(0.0))).alias("score"))
 
+def energy(reference: DataFrame, windows: DataFrame) -> DataFrame:
+    def value(x: np.ndarray, y: np.ndarray) -> float:
+        xy, xx, yy = (float(np.sqrt(squares(a, b)).mean()) for a, b in ((x, y), (x, x), (y, y)))
+        return float(np.sqrt(max(2 * xy - xx - yy, 0.0)))
 
-def median_gamma(reference: DataFrame, windows: DataFrame) -> DataFrame:
-    """(window_index, gamma) from the median positive squared distance of all distinct pairs of both samples."""
-    tag = reference.select(F.lit(0).alias("side"), F.col("srn").alias("i"), F.col("features").alias("x"))
-    ids = windows.select("window_index").distinct()
-    both = tag.join(F.broadcast(ids)).select("window_index", "side", "i", "x").unionByName(windows.select("window_index", F.lit(1).alias("side"), F.col("srn").alias("i"), F.col("features").alias("x")))
-    other = both.select("window_index", F.col("side").alias("side2"), F.col("i").alias("j"), F.col("x").alias("y"))
-    pairs = both.join(other, "window_index").where(F.struct("side", "i") < F.struct("side2", "j"))
-    d = square_distance(F.col("x"), F.col("y"))
-    med = pairs.select("window_index", d.alias("d")).groupBy("window_index").agg(F.percentile(F.when(F.col("d") > 0, F.col("d")), 0.5).alias("m"))
-    return med.select("window_index", F.coalesce(1 / F.greatest(2 * F.col("m"), F.lit(1e-12)), F.lit(1.0)).alias("gamma"))
+    return by_window(reference, windows, value)
 
 
 def mmd(reference: DataFrame, windows: DataFrame, gamma: float | None = None) -> DataFrame:
-    """Biased maximum mean discrepancy with a Gaussian kernel; gamma by the median rule of each window if not given."""
-    rule = windows.select("window_index").distinct().withColumn("gamma", F.lit(gamma)) if gamma else median_gamma(reference, windows)
-    g = F.broadcast(rule)
-    ref, cur = reference.select(F.col("features").alias("x")), windows.select("window_index", F.col("features").alias("y"))
-    k = F.avg(F.exp(-F.col("gamma") * square_distance(F.col("x"), F.col("y"))))
-    xy = cur.join(g, "window_index").join(F.broadcast(ref)).groupBy("window_index").agg(k.alias("xy"))
-    yy = cur.join(cur.select("window_index", F.col("y").alias("x")), "window_index").join(g, "window_index").groupBy("window_index").agg(k.alias("yy"))
-    xx = ref.join(F.broadcast(ref.select(F.col("x").alias("y")))).join(g).groupBy("window_index").agg(k.alias("xx"))
-    out = xy.join(yy, "window_index").join(xx, "window_index")
-    return out.select("window_index", F.sqrt(F.greatest(F.col("xx") + F.col("yy") - 2 * F.col("xy"), F.lit(0.0))).alias("score"))
+    """Biased maximum mean discrepancy with a Gaussian kernel. Unless given, gamma is 1 / (2 * the median positive squared
+    distance of all distinct pairs of both samples), by window; 1 without such a pair."""
+
+    def value(x: np.ndarray, y: np.ndarray) -> float:
+        xy, xx, yy = squares(x, y), squares(x, x), squares(y, y)
+        g = gamma
+        if not g:
+            pairs = np.concatenate([xy.ravel(), xx[np.triu_indices(len(x), 1)], yy[np.triu_indices(len(y), 1)]])
+            pairs = pairs[pairs > 0]
+            g = 1 / max(2 * float(np.median(pairs)), 1e-12) if len(pairs) else 1.0
+        m = [float(np.exp(-g * d).mean()) for d in (xx, yy, xy)]
+        return float(np.sqrt(max(m[0] + m[1] - 2 * m[2], 0.0)))
+
+    return by_window(reference, windows, value)
 
 
 # --- Classifier and transport ---------------------------------------------------------------------------------------------
@@ -227,35 +326,67 @@ def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "
     return got.select(*keys, F.when((F.col("np") > 0) & (F.col("nn") > 0), (F.col("s") - F.col("np") * (F.col("np") + 1) / 2) / (F.col("np") * F.col("nn"))).alias("auc"))
 
 
-def c2st(reference: DataFrame, current: DataFrame, folds: int = 5, max_samples: int = 4000, seed: int = 42) -> float | None:
-    """Mean fold AUC of a balanced logistic classifier telling the two samples (srn, features) apart."""
-    n_ref, n_cur, half = reference.count(), current.count(), max_samples // 2
-    if min(n_ref, n_cur) < 2:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 100) -> np.ndarray:
+    """Newton steps for weighted logistic regression with an intercept (last) and half the squared length of the weights as penalty."""
+    x = np.column_stack([x, np.ones(len(x))])
+    penalty = np.r_[np.ones(x.shape[1] - 1), 0.0]
+    loss = lambda b: float(w @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ b)) + penalty @ (b * b) / 2)
+    b = np.zeros(x.shape[1])
+    now = loss(b)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
+        slope = x.T @ (w * (p - y)) + penalty * b
+        step = np.linalg.solve((x * (w * np.maximum(p * (1 - p), 1e-10))[:, None]).T @ x + np.diag(penalty + 1e-10), slope)
+        size = 1.0
+        while (then := loss(b - size * step)) > now and size > 1e-6:
+            size /= 2
+        if not then < now - 1e-12 * max(1.0, abs(now)):
+            break
+        b, now = b - size * step, then
+    return b
+
+
+def rank_auc(score: np.ndarray, y: np.ndarray) -> float | None:
+    """Exact AUC; ties share their average rank; None unless both classes occur."""
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    if not n1 or not n0:
         return None
-    place = lambda df: df.withColumn("at", F.row_number().over(Window.orderBy("srn")) - 1)  # noqa: E731  samples are bounded
-    draw = lambda df, n, s: place(df if n <= half else df.join(F.broadcast(df.sparkSession.createDataFrame([(int(i),) for i in drawn(n, half, s)], "srn bigint")), "srn", "left_semi"))
-    a, b = draw(reference, n_ref, seed), draw(current, n_cur, seed + 1)
-    k = max(2, min(folds, n_ref, n_cur))
-    n0, n1 = min(n_ref, half), min(n_cur, half)
-    fold = F.pmod(F.xxhash64("at", "label", F.lit(seed)), F.lit(1 << 30))
-    rows = a.withColumn("label", F.lit(0)).unionByName(b.withColumn("label", F.lit(1)))
-    rows = rows.withColumn("fold", (F.row_number().over(Window.partitionBy("label").orderBy(fold)) - 1) % k)
-    rows = rows.select("label", "fold", array_to_vector("features").alias("v"), F.when(F.col("label") == 0, (n0 + n1) / (2 * n0)).otherwise((n0 + n1) / (2 * n1)).alias("w")).cache()
+    _, at, counts = np.unique(score, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(counts) - (counts - 1) / 2)[at]
+    return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * n0))
+
+
+def fold_aucs(x: np.ndarray, y: np.ndarray, folds: int, seed: int) -> float | None:
+    """Mean AUC over stratified folds of a balanced logistic classifier telling the rows of x (0) from those of y (1)."""
+    if min(len(x), len(y)) < 2:
+        return None
+    k = max(2, min(folds, len(x), len(y)))
+    rng = np.random.default_rng(seed)
+    both, label = np.concatenate([x, y]), np.repeat([0, 1], [len(x), len(y)])
+    fold = np.concatenate([rng.permutation(np.arange(n) % k) for n in (len(x), len(y))])
+    weight = len(both) / (2.0 * np.where(label == 0, len(x), len(y)))
     scores = []
     for f in range(k):
-        train = rows.where(F.col("fold") != f)
-        weight = train.agg(F.sum("w")).first()[0]
-        model = LogisticRegression(featuresCol="v", weightCol="w", regParam=1 / weight, standardization=False, maxIter=200).fit(train)
-        test = model.transform(rows.where(F.col("fold") == f)).select("fold", "label", vector_to_array("probability")[1].alias("score"))
-        scores.append(auc(test, ["fold"]).first()["auc"])
-    rows.unpersist()
+        mine = fold == f
+        b = logistic(both[~mine], label[~mine], weight[~mine])
+        scores.append(rank_auc(both[mine] @ b[:-1] + b[-1], label[mine]))
     scores = [s for s in scores if s is not None]
     return float(np.mean(scores)) if scores else None
 
 
-def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Square distances of all pairs, some rows at a time."""
-    return np.concatenate([((x[i : i + 32, None, :] - y[None, :, :]) ** 2).sum(axis=2) for i in range(0, len(x), 32)])
+def c2st_windows(reference: DataFrame, windows: DataFrame, folds: int = 5, max_samples: int = 4000, seed: int = 42) -> DataFrame:
+    """(window_index, score): mean fold AUC of a balanced logistic classifier telling reference and window apart, all windows and
+    folds in one plan. At most half of ``max_samples`` rows (srn, features) are drawn of each sample; null below two rows."""
+    half = max_samples // 2
+    count = lambda df: {r[0]: r[1] for r in df.groupBy("window_index").count().collect()}
+    ref = sampled(reference, count(reference), half, seed) if own_keys(reference) else sample_rows(reference, reference.count(), half, seed, "srn")
+    return by_window(ref, sampled(windows, count(windows), half, seed + 1), lambda x, y: fold_aucs(x, y, folds, seed))
+
+
+def c2st(reference: DataFrame, current: DataFrame, folds: int = 5, max_samples: int = 4000, seed: int = 42) -> float | None:
+    """The score of ``c2st_windows`` for one pair of samples (srn, features)."""
+    got = c2st_windows(reference, current.withColumn("window_index", F.lit(0).cast("long")), folds, max_samples, seed).first()
+    return got["score"] if got else None
 
 
 def sinkhorn_cost(x: np.ndarray, y: np.ndarray, scale: float, reg: float, rounds: int = 300) -> float:
@@ -277,16 +408,14 @@ def sinkhorn_cost(x: np.ndarray, y: np.ndarray, scale: float, reg: float, rounds
 
 def sinkhorn(reference: DataFrame, windows: DataFrame, reg: float = 0.05) -> DataFrame:
     """Debiased entropic divergence of every window from the reference; both bounded samples of rows with features."""
-    sent = reference.sparkSession.sparkContext.broadcast([r[0] for r in reference.select("features").collect()])
 
-    def per_window(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.array(sent.value, float), np.array(pdf["features"].tolist(), float)
+    def value(x: np.ndarray, y: np.ndarray) -> float:
         cross = squares(x, y)
         scale = float(np.median(cross[cross > 0])) if (cross > 0).any() else 1.0
-        value = sinkhorn_cost(x, y, scale, reg) - (sinkhorn_cost(x, x, scale, reg) + sinkhorn_cost(y, y, scale, reg)) / 2
-        return pd.DataFrame({"window_index": pdf["window_index"].iloc[:1], "score": [np.sqrt(max(value * scale, 0.0))]})
+        cost = sinkhorn_cost(x, y, scale, reg) - (sinkhorn_cost(x, x, scale, reg) + sinkhorn_cost(y, y, scale, reg)) / 2
+        return float(np.sqrt(max(cost * scale, 0.0)))
 
-    return windows.select("window_index", "features").groupBy("window_index").applyInPandas(per_window, "window_index bigint, score double")
+    return by_window(reference, windows, value)
 
 
 # --- Method names ------------------------------------------------------------------------------------------------------------

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .encode import MISSING
 
-SCENARIOS = ("mean_shift", "variance_shift", "correlation_shift", "categorical_prior_shift", "missingness_shift", "local_subpopulation", "concept_like", "mixed")
+#: Scenario names.
+SCENARIOS = ("mean_shift", "variance_shift", "correlation_shift", "categorical_prior_shift", "missingness_shift", "local_subpopulation_shift", "concept_like_shift", "mixed_shift")
 
 
 def injection_stats(train: DataFrame, numeric: list[str]) -> dict[str, tuple[float, float, float]]:
@@ -98,13 +99,13 @@ def inject(rows: DataFrame, scenario: str, numeric: list[str], categorical: list
         late = prior(late)
     elif scenario == "missingness_shift":
         late = missingness(late, num + cat, missing, seed)
-    elif scenario == "local_subpopulation":
+    elif scenario == "local_subpopulation_shift":
         at, median = (F.col(num[0]), stats[num[0]][2]) if num else (F.lit(0.0), 0.0)
         late = local_rows(late, at, median, local, seed)
         late = missingness(mean_shift(late, num, stats, delta, F.col("__local")), cat, missing, seed, F.col("__local")).drop("__local")
-    elif scenario == "mixed":
+    elif scenario == "mixed_shift":
         late = missingness(prior(variance_shift(mean_shift(late, num, stats, delta / 2), num, stats, 1 + (scale - 1) / 2)), num + cat, missing / 2, seed)
-    elif scenario != "concept_like":
+    elif scenario != "concept_like_shift":
         raise ValueError(f"unknown scenario: {scenario}")
     return early.unionByName(late.select(*early.columns))
 

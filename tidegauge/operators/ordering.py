@@ -14,10 +14,13 @@ ONE_TASK = 2_000_000
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once, kept in the shared checkpoint folder (spark.checkpoint.dir)."""
+    """df computed once, kept in the shared checkpoint folder (spark.checkpoint.dir; one is made only on one machine, as in tests)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -39,6 +42,13 @@ def with_ordinal(df: DataFrame, *keys: str, name: str = "rn") -> DataFrame:
     return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before", "__at")
 
 
+def with_source_order(df: DataFrame, name: str = "source_order") -> DataFrame:
+    """Add the place of every row in the files that df was just read from: file, start of the part of the file, place within. Sorting
+    by it after the time leaves equal times in the order of the input."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return df.select("*", place.alias(name))
+
+
 def running_total(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over a group's rows up to and including each row, in order.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import boosting
 from .distance import auc
+from .encode import dense
 
 LOWER_IS_BETTER = ("logloss", "brier", "rmse", "mae")
 
@@ -64,30 +66,23 @@ def balanced(train: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_model(train: DataFrame, name: str, task: str, seed: int = 42, features: str = "features", label: str = "label"):
-    """A function that adds score (probability of class 1), or predicted for regression, to rows with features.
+    """A function that adds score (probability of the last class) and scores, or predicted for regression, to rows with features.
 
-    linear: balanced logistic regression (C = 1) or ridge (alpha = 1). hist_gbdt, gbdt, lightgbm, xgboost and catboost
-    all stand for Spark's boosted trees; with more than two classes a random forest takes their place.
+    linear: balanced logistic regression (C = 1) or ridge (alpha = 1). Other names are those of boosting.PRESETS: boosted trees that
+    grow by best leaf (hist_gbdt, gbdt; lightgbm with balanced classes and a share of the features), by level (xgboost), or
+    symmetrically (catboost).
     """
-    trees = ("hist_gbdt", "gbdt", "lightgbm", "xgboost", "catboost")
-    if name != "linear" and name not in trees:
+    if name in boosting.PRESETS:
+        fitted = boosting.fit(train, task, boosting.PRESETS[name], seed, features, label)
+        return lambda df: boosting.predict(df, fitted, task, features)
+    if name != "linear":
         raise ValueError(f"unknown model: {name}")
-    vec = lambda df: df.withColumn("__v", array_to_vector(features))
+    vec = lambda df: dense(df.withColumn("__d", F.col(features)), "__d").withColumn("__v", array_to_vector("__d")).drop("__d")
     if task == "regression":
-        if name == "linear":
-            n, s = train.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
-            model = LinearRegression(featuresCol="__v", labelCol=label, solver="normal", standardization=False, regParam=(s or 1.0) / n, predictionCol="predicted")
-        else:
-            model = GBTRegressor(featuresCol="__v", labelCol=label, maxIter=30, stepSize=0.05, seed=seed, predictionCol="predicted")
-        fitted = model.fit(vec(train))
-        return lambda df: fitted.transform(vec(df)).drop("__v")
-    classes = train.select(label).distinct().count()
-    if name == "linear":
-        rows = balanced(train, label)
-        total = rows.agg(F.sum("w")).first()[0]
-        model = LogisticRegression(featuresCol="__v", labelCol=label, weightCol="w", regParam=1 / total, standardization=False, maxIter=200)
-    else:
-        rows = train
-        model = GBTClassifier(featuresCol="__v", labelCol=label, maxIter=30, stepSize=0.05, seed=seed) if classes == 2 else RandomForestClassifier(featuresCol="__v", labelCol=label, seed=seed)
-    fitted = model.fit(vec(rows))
+        n, s = train.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
+        model = LinearRegression(featuresCol="__v", labelCol=label, solver="normal", standardization=False, regParam=(s or 1.0) / n, predictionCol="predicted").fit(vec(train))
+        return lambda df: model.transform(vec(df)).drop("__v")
+    rows = balanced(train, label)
+    total = rows.agg(F.sum("w")).first()[0]
+    fitted = LogisticRegression(featuresCol="__v", labelCol=label, weightCol="w", regParam=1 / total, standardization=False, maxIter=200).fit(vec(rows))
     return lambda df: fitted.transform(vec(df)).withColumn("scores", vector_to_array("probability")).withColumn("score", F.col("scores")[F.size("scores") - 1]).drop("__v", "rawPrediction", "probability", "prediction")

@@ -221,8 +221,8 @@ def ks_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.ks(*item_samples(spark, sf_dir)).groupBy("window_index").agg(r6(F.avg("ks"), "mean_ks"), r6(F.max("ks"), "max_ks"))
 
 
-def psi_sql(head: str, features: list[str], tail: str, bins: int = 10) -> str:
-    long = ", l AS (" + " UNION ALL ".join(f"SELECT split, window_index, {i} AS f, CAST({c} AS DOUBLE) AS v FROM {'x' if ', x AS' in head else 'w'} WHERE {c} IS NOT NULL" for i, c in enumerate(features)) + ")"
+def psi_sql(head: str, features: list[str], tail: str, bins: int = 10, ready: str = "") -> str:
+    long = ready or ", l AS (" + " UNION ALL ".join(f"SELECT split, window_index, {i} AS f, CAST({c} AS DOUBLE) AS v FROM {'x' if ', x AS' in head else 'w'} WHERE {c} IS NOT NULL" for i, c in enumerate(features)) + ")"
     grid = ", ".join(repr(q) for q in distance.quantile_grid(bins + 1))
     return head + long + f""", e AS (SELECT f, list_sort(list_distinct(quantile_cont(v, [{grid}]))) AS edges, bool_and(v IN (0, 1)) AS r01, min(v) AS rlo, max(v) AS rhi, count(*) AS nr FROM l WHERE split = 'train' GROUP BY f),
 c AS (SELECT window_index, f, bool_and(v IN (0, 1)) AS c01, min(v) AS clo, max(v) AS chi, count(*) AS nc FROM l WHERE split = 'test' GROUP BY 1, 2),
@@ -304,15 +304,6 @@ def sliced_wasserstein_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.sliced_subsamples(named, placed, ref.where("proj_id = 0").count(), sizes, size=500).select("window_index", "score")
 
 
-DIMS = 8
-
-
-def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first 200 embeddings are the reference, later ones windows of 60; the first components, as doubles."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("srn"), F.transform(F.slice("embedding", 1, DIMS), lambda x: x.cast("double")).alias("features"))
-    return rows.where("srn < 200"), rows.where("srn >= 200 and srn < 500").withColumn("window_index", F.floor((F.col("srn") - 200) / 60).cast("long"))
-
-
 def embedding_windows(spark: SparkSession, sf_dir: str, size: int = 500) -> tuple[DataFrame, DataFrame]:
     """The whole table of embeddings in order of vec_id, all components as doubles: the first 60 % are the reference, all later
     rows make windows."""
@@ -332,15 +323,20 @@ def embedding_samples(spark: SparkSession, sf_dir: str, most: int = 1000, seed:
 
 
 D2 = "list_sum(list_transform(list_zip(p.v, q.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
-VEC_SQL = f"WITH e AS (SELECT vec_id AS i, list_transform(embedding[1:{DIMS}], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 500), r AS (SELECT * FROM e WHERE i < 200), c AS (SELECT *, (i - 200) // 60 AS w FROM e WHERE i >= 200)"
+#: Reference and windows as ``embedding_windows`` makes them. Samples are only drawn of more than 1000 rows a side, which SQL doesn't follow.
+VEC_SQL = """WITH o AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, CAST(floor(count(*) OVER () * 0.6e0) AS BIGINT) AS a, count(*) OVER () AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), r AS (SELECT i, v FROM o WHERE i < a),
+c AS (SELECT i, v, LEAST((i - a) // 500, greatest((n - a) // 500 - 1 + CASE WHEN (n - a) % 500 >= 250 OR n - a < 500 THEN 1 ELSE 0 END, 0)) AS w FROM o WHERE i >= a)"""
+
+
+ENERGY_SQL = VEC_SQL + f", xy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM r p, c q GROUP BY 1), xx AS (SELECT avg(sqrt({D2})) AS m FROM r p, r q), yy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM c p JOIN c q ON p.w = q.w GROUP BY 1) SELECT CAST(xy.w AS BIGINT) AS window_index, round(sqrt(greatest(2 * xy.m - xx.m - yy.m, 0)), 6) AS score FROM xy JOIN yy USING (w), xx"
 
 
-@query(VEC_SQL + f", xy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM r p, c q GROUP BY 1), xx AS (SELECT avg(sqrt({D2})) AS m FROM r p, r q), yy AS (SELECT q.w, avg(sqrt({D2})) AS m FROM c p JOIN c q ON p.w = q.w GROUP BY 1) SELECT CAST(xy.w AS BIGINT) AS window_index, round(sqrt(greatest(2 * xy.m - xx.m - yy.m, 0)), 6) AS score FROM xy JOIN yy USING (w), xx")
+@query(ENERGY_SQL)
 def energy_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.energy(*vectors(spark, sf_dir)).select("window_index", r6("score", "score"))
+    return distance.energy(*embedding_samples(spark, sf_dir)).select("window_index", r6("score", "score"))
 
 
-@query()
+@query(ENERGY_SQL)
 def energy_distance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.energy(*embedding_samples(spark, sf_dir)).select("window_index", r6("score", "score"))
 
@@ -353,19 +349,17 @@ SELECT CAST(xy.w AS BIGINT) AS window_index, round(sqrt(greatest(xx.m + yy.m - 2
 
 @query(MMD_SQL)
 def mmd_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.mmd(*vectors(spark, sf_dir)).select("window_index", r6("score", "score"))
+    return distance.mmd(*embedding_samples(spark, sf_dir)).select("window_index", r6("score", "score"))
 
 
-@query()
+@query(MMD_SQL)
 def mmd_rbf_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.mmd(*embedding_samples(spark, sf_dir)).select("window_index", r6("score", "score"))
 
 
 @query()
 def classifier_two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, cur = embedding_windows(spark, sf_dir)
-    ids = sorted(r[0] for r in cur.select("window_index").distinct().collect())
-    return spark.createDataFrame([(w, distance.c2st(ref, cur.where(F.col("window_index") == w).select("srn", "features"), folds=3)) for w in ids], "window_index bigint, score double")
+    return distance.c2st_windows(*embedding_windows(spark, sf_dir))
 
 
 @query()
@@ -676,6 +670,41 @@ def temporal_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return experiment.run(rows, LINE_KEYS, ["l_extendedprice", "l_discount", "l_tax", "l_returnflag"], "target", "classification", config).window_scores
 
 
+#: KS and PSI of every validation and test window of the experiment; test windows count from a million here.
+TEMPORAL_LONG = """, l0 AS (SELECT split, window_index, 'price' AS f, l_extendedprice AS v FROM w UNION ALL SELECT split, window_index, 'discount', l_discount FROM w UNION ALL SELECT split, window_index, 'tax', l_tax FROM w
+UNION ALL SELECT split, window_index, flag, CASE WHEN l_returnflag = flag THEN 1e0 ELSE 0e0 END FROM w, (SELECT DISTINCT l_returnflag AS flag FROM w WHERE split = 'train')),
+l1 AS (SELECT CASE WHEN split = 'train' THEN 'train' ELSE 'test' END AS split, window_index + CASE WHEN split = 'test' THEN 1000000 ELSE 0 END AS window_index, f, v FROM l0), l AS (SELECT split, window_index, dense_rank() OVER (ORDER BY f) AS f, v FROM l1)"""
+TEMPORAL_SQL = psi_sql("WITH " + SPLIT_SQL.format(order=", ".join(LINE_KEYS), source="lineitem", size=3000, least=2), [], """, kr AS (SELECT f, v, count(*) / sum(count(*)) OVER (PARTITION BY f)::DOUBLE AS p FROM l WHERE split = 'train' GROUP BY 1, 2),
+kc AS (SELECT window_index, f, v, count(*) AS k FROM l WHERE split = 'test' GROUP BY 1, 2, 3), kn AS (SELECT window_index, f, sum(k)::DOUBLE AS n FROM kc GROUP BY 1, 2),
+ku AS (SELECT window_index, f, v, sum(dr) AS dr, sum(dc) AS dc FROM (SELECT window_index, f, v, p AS dr, 0e0 AS dc FROM kn JOIN kr USING (f) UNION ALL SELECT window_index, f, v, 0e0, k / n FROM kc JOIN kn USING (window_index, f)) GROUP BY 1, 2, 3),
+kk AS (SELECT window_index, f, max(abs(g)) AS ks FROM (SELECT window_index, f, sum(dr - dc) OVER (PARTITION BY window_index, f ORDER BY v) AS g FROM ku) GROUP BY 1, 2),
+ks AS (SELECT window_index, avg(ks) AS mean_ks, max(ks) AS max_ks FROM kk GROUP BY 1), ps AS (SELECT window_index, avg(psi) AS mean_psi, max(psi) AS max_psi FROM t GROUP BY 1)
+SELECT CASE WHEN window_index >= 1000000 THEN 'test' ELSE 'validation' END AS stream, window_index % 1000000 AS window_index, round(mean_ks, 6) AS mean_ks, round(max_ks, 6) AS max_ks, round(mean_psi, 6) AS mean_psi, round(max_psi, 6) AS max_psi FROM ks JOIN ps USING (window_index)""", ready=TEMPORAL_LONG)
+
+
+@query(TEMPORAL_SQL)
+def temporal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distribution scores of the monitoring run on line items, a row a window."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("target", (F.col("l_quantity") > 25).cast("int"))
+    methods = ("mean_ks", "max_ks", "mean_psi", "max_psi")
+    config = experiment.Config(window_size=3000, methods=methods)
+    result = experiment.run(rows, LINE_KEYS, ["l_extendedprice", "l_discount", "l_tax", "l_returnflag"], "target", "classification", config)
+    out = result.window_scores.groupBy("stream", "window_index").pivot("method", list(methods)).agg(F.first("score"))
+    return out.select("stream", "window_index", *(r6(m, m) for m in methods))
+
+
+@query()
+def boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log loss and AUC over the test windows of boosted trees fitted on the training rows, for two models."""
+    rows = ordering.settled(items(spark, sf_dir).withColumn("label", (F.col("features")[0] > 0).cast("int")).withColumn("features", F.slice("features", 2, 3)))
+    out = []
+    for name in ("hist_gbdt", "catboost"):
+        score = quality.fit_model(rows.where("split = 'train'"), name, "classification")
+        got = quality.classification_metrics(score(rows.where("split = 'test'")).select("window_index", "score", "label"), ["window_index"])
+        out.append(got.select(F.lit(name).alias("model"), "window_index", *(r6(c, c) for c in ("logloss", "roc_auc"))))
+    return distance.union_all(out)
+
+
 @query()
 def streaming_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.replay(spark, sf_dir, "events.parquet", "ts", "value")

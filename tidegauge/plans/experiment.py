@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions.rankstats import correlation_table
 from tidegauge.operators import distance, encode, ordering, policy, quality
 from tidegauge.plans.report import dataset_summary
+from tidegauge.plans.scoring import prepare, score_windows
 
 
 @dataclass(frozen=True)
@@ -20,7 +19,7 @@ class Config:
     validation: float = 0.2
     window_size: int = 500
     least_window: int = 2
-    window_mode: str = "count"  # or "calendar": windows are periods of the first order column
+    window_mode: str = "count"  # or "time": windows are calendar periods of the first order column
     freq: str = "month"
     least_windows: int = 0  # test windows that a run needs
     reference: str = "train"
@@ -59,63 +58,6 @@ class Result:
     retraining_summary: DataFrame | None = None
 
 
-def score_windows(reference: DataFrame, windows: DataFrame, methods: tuple[str, ...], config: Config) -> DataFrame:
-    """(window_index, method, score, runtime_seconds) of every method for rows (window_index, srn, features); each family
-    is computed once for all its methods and windows.
-
-    runtime_seconds is the time of the job that made a family's scores, in equal shares for its methods and windows.
-    """
-    out: list[DataFrame] = []
-    one = reference.select(F.size("features").alias("n")).first()
-    dim = one["n"] if one else 0
-    long_ref, long_cur = encode.long_form(reference, []), encode.long_form(windows, ["window_index"])
-    families: dict[str, list[tuple[str, dict]]] = {}
-    for m in methods:
-        family, params = distance.parse_method(m)
-        families.setdefault(family, []).append((m, params))
-
-    def timed(make: Callable[[], DataFrame], n_methods: int = 1) -> DataFrame:
-        start = time.perf_counter()
-        got = ordering.settled(make())
-        spent = time.perf_counter() - start
-        return got.withColumn("runtime_seconds", F.lit(spent / max(1, got.count() * n_methods)))
-
-    row = lambda df, m, c: df.select("window_index", F.lit(m).alias("method"), F.col(c).alias("score"), "runtime_seconds")
-    if "ks" in families:
-        own = [ordering.sample_features(df, dim, config.ks_features, config.seed) for df in (long_ref, long_cur)]
-        ks = timed(lambda: distance.ks(*own).groupBy("window_index").agg(F.avg("ks").alias("mean_ks"), F.max("ks").alias("max_ks")), len(families["ks"]))
-        out += [row(ks, m, m) for m, _ in families["ks"]]
-    if "psi" in families:
-        tops = tuple({p["top"] for _, p in families["psi"] if "top" in p})
-        own = [ordering.sample_features(df, dim, config.psi_features, config.seed) for df in (long_ref, long_cur)]
-        psi = timed(lambda: distance.psi_summaries(distance.psi(*own, config.psi_bins), tops or (5,)), len(families["psi"]))
-        out += [row(psi, m, f"top{p['top']}_psi" if "top" in p else m) for m, p in families["psi"]]
-    for m, p in families.get("sliced", []):
-        theta = encode.directions(dim, p["projections"], config.seed)
-        ref, cur = encode.projected(reference, [], theta), encode.projected(windows, ["window_index"], theta)
-        out.append(row(timed(lambda: distance.sliced_wasserstein(ref, cur, p["grid"])), m, "score"))  # noqa: B023  called at once
-    kernels = {"mmd_rbf": (distance.mmd, config.max_pairs), "energy": (distance.energy, config.energy_rows), "sinkhorn": (distance.sinkhorn, config.max_pairs)}
-    pairs = [m for f in kernels for m, _ in families.get(f, [])]
-    if pairs:
-        n = reference.count()
-        sizes = {r[0]: r[1] for r in windows.groupBy("window_index").count().collect()}
-        samples = {}
-        for most in {kernels[m][1] for m in pairs}:
-            samples[most] = ordering.settled(ordering.sample_rows(reference, n, most, config.seed, "srn")), ordering.settled(distance.sampled(windows, sizes, most, config.seed + 1))
-        for m in pairs:
-            kernel, most = kernels[m]
-            out.append(row(timed(lambda: kernel(*samples[most])), m, "score"))  # noqa: B023  called at once
-    for m, _ in families.get("c2st", []):
-        ids = [r[0] for r in windows.select("window_index").distinct().collect()]
-        values = []
-        for w in sorted(ids):
-            start = time.perf_counter()
-            score = distance.c2st(reference, windows.where(F.col("window_index") == w).select("srn", "features"), config.c2st_folds, config.c2st_rows, config.seed)
-            values.append((w, m, score, time.perf_counter() - start))
-        out.append(reference.sparkSession.createDataFrame(values, "window_index bigint, method string, score double, runtime_seconds double"))
-    return distance.union_all(out)
-
-
 def split_and_windows(rows: DataFrame, order: list[str], config: Config, split: str | None = None) -> DataFrame:
     """Rows with split, rn, srn and window_index: split by fractions of the order, or by the column of names ``split``, in which case
     positions count within each part; windows of a number of rows or of a calendar period."""
@@ -131,7 +73,7 @@ def split_and_windows(rows: DataFrame, order: list[str], config: Config, split:
         data = distance.union_all(parts)
     if config.window_mode == "count":
         data = ordering.count_windows(data, config.window_size, config.least_window)
-    elif config.window_mode == "calendar":
+    elif config.window_mode in ("time", "calendar"):
         data = distance.union_all([ordering.calendar_windows(data.where(F.col("split") == s), order[0], config.freq, config.least_window).drop("period", "window_label") for s in ordering.SPLITS])
     else:
         raise ValueError(f"unknown window mode: {config.window_mode}")
@@ -164,17 +106,21 @@ def run(rows: DataFrame, order: list[str], features: list[str], target: str, tas
     elif config.representation in ("model_output", "model_aware"):
         space = ordering.settled(model(coded).withColumn("features", F.array(F.col("score" if task == "classification" else "predicted"))))
     base = space.where("split = 'train'").select("srn", "features")
-    facts = []
-    for part in ("validation", "test"):
-        cur = space.where(F.col("split") == part).select("window_index", "srn", "features")
-        if config.reference == "recent" and part == "test":
-            near = ordering.settled(ordering.recent_reference(space, config.recent_windows, part))
-            ids = sorted(r[0] for r in cur.select("window_index").distinct().collect())
-            each = [score_windows(near.where(F.col("for_window") == w).select("srn", "features"), cur.where(F.col("window_index") == w), config.methods, config) for w in ids]
-            facts.append(distance.union_all(each).withColumn("split", F.lit(part)))
-        else:
-            facts.append(score_windows(base, cur, config.methods, config).withColumn("split", F.lit(part)))
-    scores = ordering.settled(distance.union_all(facts))
+    ready = prepare(base, config.methods, config)
+    # both splits in one plan: the windows of the test split come after those of the validation split
+    first = space.where("split = 'validation'").agg(F.coalesce(F.max("window_index") + 1, F.lit(0))).first()[0]
+    code = F.col("window_index") + F.when(F.col("split") == "test", first).otherwise(0)
+    cur = space.where("split <> 'train'").withColumn("window_index", code).select("split", "window_index", "srn", "features")
+    if config.reference == "recent":
+        place = F.when(F.col("split") == "train", 0).when(F.col("split") == "validation", 1).otherwise(2).cast("long") * (1 << 40) + F.col("srn")  # in time order over the splits
+        near = ordering.recent_reference(space, config.recent_windows, "test").select((F.col("for_window") + first).alias("window_index"), place.alias("srn"), "features")
+        near = ordering.settled(near)
+        facts = [score_windows(ready, cur.where("split = 'validation'"), config.methods, config), score_windows(near, cur.where("split = 'test'"), config.methods, config)]
+    else:
+        facts = [score_windows(ready, cur, config.methods, config)]
+    late = F.col("window_index") >= first
+    scores = distance.union_all(facts).withColumns({"split": F.when(late, "test").otherwise("validation"), "window_index": F.col("window_index") - F.when(late, first).otherwise(0)})
+    scores = ordering.settled(scores)
     limits = policy.thresholds(scores.where("split = 'validation'"), config.threshold_quantile)
     measured = metrics.select(*keys, F.col(metric).alias("quality"))
     sizes = ordering.window_table(coded.where("split <> 'train'"))
@@ -184,9 +130,8 @@ def run(rows: DataFrame, order: list[str], features: list[str], target: str, tas
     test = fact.where("stream = 'test'")
     diagnostics = None
     if any(distance.parse_method(m)[0] == "psi" for m in config.methods):
-        one = base.select(F.size("features").alias("n")).first()
-        own = [ordering.sample_features(df, one["n"], config.psi_features, config.seed) for df in (encode.long_form(base, []), encode.long_form(space.where("split = 'test'"), ["window_index"]))]
-        diagnostics = distance.psi_diagnostics(distance.psi(*own, config.psi_bins))
+        counts, long = (ordering.sample_features(df, ready.dim, config.psi_features, config.seed) for df in (ready.counts, encode.value_counts(space.where("split = 'test'"), ["window_index"], "c")))
+        diagnostics = distance.psi_diagnostics(distance.psi(counts, long, config.psi_bins, ready.edges))
     names = {"dataset": F.lit(dataset), "model": F.lit(config.model), "dataset_model": F.lit(f"{dataset}/{config.model}")}
     diagnostics = diagnostics and diagnostics.withColumns({k: names[k] for k in ("dataset", "model")})
     summary = dataset_summary(data, dataset, features, order[0]).withColumns({"task": F.lit(task), "model": F.lit(config.model)})

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import distance, encode, inject, ordering, policy
 from tidegauge.plans import experiment
+from tidegauge.plans.scoring import prepare
 from tidegauge.plans.report import runtime_summary
 
 
@@ -87,6 +88,7 @@ def injection_experiment(rows: DataFrame, order: list[str], numeric: list[str],
     enc = encode.Encoder.fit(train, encode.feature_types(train, numeric + categorical, config.max_onehot), config.buckets)
     code = lambda df: enc.transform(df, ["window_index", "srn"])
     base = ordering.settled(code(train).select("srn", "features"))
+    base = prepare(base, config.methods, config)
     clean = experiment.score_windows(base, ordering.settled(code(data.where("split = 'validation'"))), config.methods, config)
     limits = ordering.settled(policy.thresholds(clean, config.threshold_quantile))
     strength = {f.name: getattr(drift, f.name) for f in dataclasses.fields(Drift) if f.name not in ("scenarios", "start")}

@@ -72,6 +72,7 @@ def experiment_config(values: dict) -> Config:
     """Known keys of a mapping; a ``retraining`` section is flattened, lists become tuples, other keys are ignored.
 
     min_test_windows counts only with enforce_min_test_windows, and a retraining section without ``enabled`` retrains.
+    ``method_names`` maps other names of drift methods to ours, for files written for another program.
     """
     values = dict(values)
     section = values.get("retraining")
@@ -79,6 +80,9 @@ def experiment_config(values: dict) -> Config:
         del values["retraining"]
         section = {SETTINGS.get(k, RETRAINING.get(k, k)): v for k, v in section.items()}
         values = ({"retraining": True} | section if section else {}) | values
+    names = values.pop("method_names", None) or {}
+    if "methods" in values:
+        values["methods"] = [names.get(m, m) for m in values["methods"]]
     if values.get("enforce_min_test_windows"):
         values.setdefault("least_windows", values.get("min_test_windows", 20))
     return _made(Config, values, SETTINGS)
@@ -87,9 +91,9 @@ def experiment_config(values: dict) -> Config:
 def drift_config(values: dict) -> tuple[Config, Drift]:
     """The ``synthetic_drift`` section of a configuration, which inherits from ``experiment`` what it doesn't set itself."""
     own, shared = dict(values.get("synthetic_drift") or {}), dict(values.get("experiment") or {})
-    names = {s.removesuffix("_shift"): s for s in inject.SCENARIOS} | {s: s for s in inject.SCENARIOS}
-    if "scenarios" in own:  # some scenarios have a shorter name here
-        own["scenarios"] = [names.get(s, names.get(s.removesuffix("_shift"), s)) for s in own["scenarios"]]
+    unknown = [s for s in own.get("scenarios", []) if s not in inject.SCENARIOS]
+    if unknown:
+        raise ValueError(f"unknown scenarios: {unknown}")
     return experiment_config({**shared, **own}), _made(Drift, own, DRIFT)
 
 
