@@ -83,6 +83,35 @@ def test_wide_components_explain_as_much(spark):
     assert np.allclose(*both, atol=1e-3)
 
 
+def test_sparse_features_count_and_score_like_dense_ones(spark):
+    rng = np.random.default_rng(11)
+    data = [(i // 60, i % 60, float(rng.normal()), f"k{rng.integers(0, 40)}", ["u", "v"][i % 2]) for i in range(240)]
+    raw = spark.createDataFrame(data, "window_index bigint, srn bigint, x double, many string, few string")
+    enc = encode.Encoder.fit(raw, encode.FeatureTypes(["x"], ["few"], ["many"]), buckets=16)
+    sparse = enc.transform(raw, ["window_index", "srn"])
+    dense = encode.dense(sparse)
+    assert encode.is_sparse(sparse) and encode.dimension(sparse) == 19 and dense.select(F.min(F.size("features"))).first()[0] == 19
+    assert sparse.agg(F.max(F.size("features.values"))).first()[0] <= 3
+    counts = lambda df: {(r[0], r[1], round(r[2], 9)): r[3] for r in encode.value_counts(df, ["window_index"], "c").collect()}
+    assert counts(sparse) == counts(dense)
+    got = [scores(scoring.score_windows(df.where("window_index = 0").drop("window_index"), df.where("window_index > 0"), METHODS, CONFIG)) for df in (sparse, dense)]
+    assert set(got[0]) == set(got[1]) and all(abs(got[0][k] - got[1][k]) < 1e-9 for k in got[0])
+    labelled = [df.withColumn("label", (F.col("srn") % 3 == 0).cast("int")) for df in (sparse, dense)]
+    for name in ("linear", "hist_gbdt"):
+        two = [np.array([r["score"] for r in quality.fit_model(df, name, "classification")(df).orderBy("window_index", "srn").collect()]) for df in labelled]
+        assert np.allclose(*two, atol=1e-6), name
+
+
+def test_ordered_target_statistics(spark):
+    rows_ = [(i, ["a", "b", None][i % 3], i % 2 if i != 7 else None) for i in range(30)]
+    out, table = encode.ordered_target(spark.createDataFrame(rows_, "rn int, k string, y int"), "k", "y", "rn", "m", 2.0)
+    mean = np.mean([y for _, _, y in rows_ if y is not None])
+    for r in out.collect():
+        before = [y for i, k, y in rows_ if k == r["k"] and i < r["rn"] and y is not None]
+        assert abs(r["m"] - (sum(before) + 2 * mean) / (len(before) + 2)) < 1e-12
+    assert {r["k"] for r in table.collect()} == {"a", "b", "__missing__"} and set(out.columns) == {"rn", "k", "y", "m"}
+
+
 # --- References ----------------------------------------------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import finite
+from .ordering import finite, running_total
 from .quantiles import exact_quantiles
 
 #: Fixed value: what a missing category becomes.
@@ -274,6 +274,21 @@ def pca(train: DataFrame, components: int = 32, features: str = "features", wide
     return lambda df: products(df, [c for c in df.columns if c != features], theta, features, features, mean).select(*df.columns)
 
 
+def ordered_target(rows: DataFrame, column: str, label: str, order: str, name: str = "target_mean", weight: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(rows with name, category means): ordered target statistics of a category. A row's mean is of the labels of earlier rows of its
+    category only, so its own label doesn't leak; the overall mean counts ``weight`` rows more. Later rows take theirs from the second
+    table (column, name). Null is a category; null labels don't count. Running sums are cut into ranges of the order, so a category may
+    hold any share of the rows."""
+    y = F.col(label).cast("double")
+    held = rows.withColumns({"__c": F.coalesce(F.col(column).cast("string"), F.lit(MISSING)), "__y": F.coalesce(y, F.lit(0.0)), "__k": y.isNotNull().cast("long")})
+    mean = held.agg(F.sum("__y") / F.sum("__k")).first()[0] or 0.0
+    smooth = lambda total, count: (total + weight * mean) / (count + weight)
+    upto = running_total(running_total(held, ["__c"], [order], "__y", "__sy"), ["__c"], [order], "__k", "__sk")
+    out = upto.withColumn(name, smooth(F.col("__sy") - F.col("__y"), F.col("__sk") - F.col("__k"))).drop("__c", "__y", "__k", "__sy", "__sk")
+    table = held.groupBy(F.col("__c").alias(column)).agg(smooth(F.sum("__y"), F.sum("__k")).alias(name))
+    return out, table
+
+
 def binary_means(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of each feature of long rows that is 0 or 1 throughout its group, else null."""
     ok = F.bool_and(F.col("value").isin(0.0, 1.0))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import MISSING
+from .quantiles import exact_quantiles
 
 #: Scenario names.
 SCENARIOS = ("mean_shift", "variance_shift", "correlation_shift", "categorical_prior_shift", "missingness_shift", "local_subpopulation_shift", "concept_like_shift", "mixed_shift")
@@ -17,8 +18,12 @@ SCENARIOS = ("mean_shift", "variance_shift", "correlation_shift", "categorical_p
 
 def injection_stats(train: DataFrame, numeric: list[str]) -> dict[str, tuple[float, float, float]]:
     """Mean, sample deviation (1 where it is 0 or unknown) and median of each column."""
-    got = train.agg(*(f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("a", F.avg), ("s", F.stddev), ("m", F.median)))).first()
-    return {c: (got[f"a_{c}"], got[f"s_{c}"] or 1.0, got[f"m_{c}"]) for c in numeric}
+    if not numeric:
+        return {}
+    got = train.agg(*(f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("a", F.avg), ("s", F.stddev)))).first()
+    long = train.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in numeric))).alias("at", "value"))
+    half = {numeric[r["at"]]: r["q"][0] for r in exact_quantiles(long, ["at"], "value", [0.5]).collect()}  # one number a column
+    return {c: (got[f"a_{c}"], got[f"s_{c}"] or 1.0, half.get(c)) for c in numeric}
 
 
 def category_shares(train: DataFrame, column: str) -> list[tuple[str, float]]:

@@ -184,6 +184,18 @@ def pca_representation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("window_index").agg(r6(F.stddev(F.col("features")[0]), "spread_0"), r6(F.stddev(F.col("features")[1]), "spread_1"))
 
 
+OTS_SQL = events_sql() + """, t AS (SELECT *, CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END AS y FROM w WHERE split = 'train'), m AS (SELECT avg(y) AS mean FROM t),
+o AS (SELECT window_index, (coalesce(sum(y) OVER p, 0) + mean) / (count(*) OVER p + 1) AS x FROM t, m WINDOW p AS (PARTITION BY coalesce(kind, '__missing__') ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT window_index, round(avg(x), 6) AS mean_statistic, round(min(x), 6) + 0e0 AS least, round(max(x), 6) AS greatest FROM o GROUP BY 1"""
+
+
+@query(OTS_SQL)
+def ordered_target_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).where("split = 'train'").withColumn("y", (F.col("value") > 50).cast("int"))
+    out, _ = encode.ordered_target(rows, "kind", "y", "rn", "x")
+    return out.groupBy("window_index").agg(r6(F.avg("x"), "mean_statistic"), r6(F.min("x"), "least"), r6(F.max("x"), "greatest"))
+
+
 # --- Distances ------------------------------------------------------------------------------------------------------------
 
 
@@ -420,33 +432,57 @@ def model_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Thresholds and policies ------------------------------------------------------------------------------------------------
 
 
-#: Facts about 40 windows and three methods with made-up scores, for the operators on result tables.
-FACTS_SQL = "WITH ids AS (SELECT DISTINCT event_id % 40 AS w FROM events), f AS (SELECT w AS window_index, concat('m', k) AS method, ((w * 7 + k * 13) % 17) / 10e0 AS score, ((w * 5 + w * w * (k + 1)) % 11) / 100e0 AS quality_drop FROM ids, range(3) t(k))"
+#: Facts about every window of 50 events: three distances of its values from the training rows (Kolmogorov-Smirnov, shift of the mean and
+#: change of the spread), and how much worse than on the validation rows the model does that always names the commonest training type.
+FACTS_SQL = "WITH fa AS (" + events_sql(50) + """, tr AS (SELECT avg(value) AS a, stddev_pop(value) AS d FROM w WHERE split = 'train'), g AS (SELECT event_type AS top FROM w WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ql AS (SELECT split, window_index, avg(CASE WHEN event_type = top THEN 1e0 ELSE 0e0 END) AS q, avg(value) AS m, stddev_pop(value) AS sd FROM w, g WHERE split <> 'train' GROUP BY 1, 2), q0 AS (SELECT avg(CASE WHEN event_type = top THEN 1e0 ELSE 0e0 END) AS best FROM w, g WHERE split = 'validation'),
+kr AS (SELECT value AS v, count(*) / sum(count(*)) OVER ()::DOUBLE AS p FROM w WHERE split = 'train' GROUP BY 1), kc AS (SELECT split, window_index, value AS v, count(*) / sum(count(*)) OVER (PARTITION BY split, window_index)::DOUBLE AS p FROM w WHERE split <> 'train' GROUP BY 1, 2, 3),
+ku AS (SELECT split, window_index, v, sum(dr) AS dr, sum(dc) AS dc FROM (SELECT split, window_index, v, p AS dr, 0e0 AS dc FROM ql, kr UNION ALL SELECT split, window_index, v, 0e0, p FROM kc) GROUP BY 1, 2, 3),
+kk AS (SELECT split, window_index, max(abs(z)) AS ks FROM (SELECT split, window_index, sum(dr - dc) OVER (PARTITION BY split, window_index ORDER BY v) AS z FROM ku) GROUP BY 1, 2),
+sc AS (SELECT split, window_index, 'm0' AS method, ks AS score FROM kk UNION ALL SELECT split, window_index, 'm1', abs(m - a) / d FROM ql, tr UNION ALL SELECT split, window_index, 'm2', abs(ln(sd / d)) FROM ql, tr)
+SELECT split, window_index, method, round(score, 6) + 0e0 AS score, round(best - q, 6) + 0e0 AS quality_drop FROM sc JOIN ql USING (split, window_index), q0),
+f AS (SELECT window_index, method, score, quality_drop FROM fa WHERE split = 'test'), lim AS (SELECT method, quantile_cont(score, 0.9) AS threshold FROM fa WHERE split = 'validation' GROUP BY 1)"""
+
 
+def all_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ordering.settled(events(spark, sf_dir, 50).select("split", "window_index", "value", "event_type"))
+    train, later = rows.where("split = 'train'"), rows.where("split <> 'train'")
+    base = train.agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("d")).first()
+    top = train.groupBy("event_type").count().orderBy(F.desc("count"), "event_type").first()["event_type"]
+    right = (F.col("event_type") == top).cast("double")
+    best = later.where("split = 'validation'").agg(F.avg(right)).first()[0]
+    code = F.col("window_index") + F.when(F.col("split") == "test", 1 << 40).otherwise(0)  # windows of both parts in one plan
+    long = lambda df, *keys: df.select(*keys, F.lit(0).alias("feature_id"), "value")
+    ks = distance.ks(long(train), long(later.withColumn("window_index", code), "window_index"))
+    per = later.groupBy("split", "window_index").agg(F.avg(right).alias("q"), F.avg("value").alias("m"), F.stddev_pop("value").alias("sd")).withColumn("code", code)
+    per = per.join(ks.select(F.col("window_index").alias("code"), "ks"), "code")
+    scores = F.array(*(F.struct(F.lit(m).alias("method"), c.alias("score")) for m, c in (("m0", F.col("ks")), ("m1", F.abs(F.col("m") - base["a"]) / base["d"]), ("m2", F.abs(F.log(F.col("sd") / base["d"]))))))
+    out = per.select("split", "window_index", r6(F.lit(best) - F.col("q"), "quality_drop"), F.explode(scores).alias("s"))
+    return ordering.settled(out.select("split", "window_index", "s.method", r6("s.score", "score"), "quality_drop"))
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = read(spark, sf_dir, "events").select((F.col("event_id") % 40).alias("w")).distinct()
-    rows = ids.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3)))))
-    return rows.select(F.col("w").alias("window_index"), F.concat(F.lit("m"), "k").alias("method"), F.expr("((w * 7 + k * 13) % 17) / 10e0").alias("score"), F.expr("((w * 5 + w * w * (k + 1)) % 11) / 100e0").alias("quality_drop"))
 
+def facts(spark: SparkSession, sf_dir: str, limits: bool = False) -> DataFrame:
+    """The facts of the test windows; with ``limits`` whether a score reaches nine tenths of the validation windows' too."""
+    rows = all_facts(spark, sf_dir)
+    test = rows.where("split = 'test'").drop("split")
+    return policy.triggered(test, policy.thresholds(rows.where("split = 'validation'"), 0.9)) if limits else test
 
-THRESHOLD_SQL = FACTS_SQL + ", t AS (SELECT method, quantile_cont(score, 0.9) AS threshold FROM f WHERE window_index < 20 GROUP BY 1) SELECT window_index, method, round(threshold, 6) AS threshold, score >= threshold AS triggered FROM f JOIN t USING (method) WHERE window_index >= 20"
+
+THRESHOLD_SQL = FACTS_SQL + " SELECT window_index, method, round(threshold, 6) AS threshold, score >= threshold AS triggered FROM f JOIN lim USING (method)"
 
 
 @query(THRESHOLD_SQL)
 def thresholds_and_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir)
-    limits = policy.thresholds(rows.where("window_index < 20"), 0.9)
-    return policy.triggered(rows.where("window_index >= 20"), limits).select("window_index", "method", r6("threshold", "threshold"), "triggered")
+    return facts(spark, sf_dir, True).select("window_index", "method", r6("threshold", "threshold"), "triggered")
 
 
-TRIGGER_SQL = FACTS_SQL + """, q AS (SELECT window_index, quality_drop FROM f WHERE method = 'm0'), tr AS (SELECT 'no_retraining' AS policy, window_index, false AS t FROM q UNION ALL SELECT 'periodic_p4', window_index, (window_index + 1) % 4 = 0 FROM q UNION ALL SELECT concat(method, '_trigger'), window_index, score >= 1.2e0 FROM f
+TRIGGER_SQL = FACTS_SQL + """, q AS (SELECT window_index, quality_drop FROM f WHERE method = 'm0'), tr AS (SELECT 'no_retraining' AS policy, window_index, false AS t FROM q UNION ALL SELECT 'periodic_p4', window_index, (window_index + 1) % 4 = 0 FROM q UNION ALL SELECT concat(method, '_trigger'), window_index, score >= threshold FROM f JOIN lim USING (method)
 UNION ALL SELECT 'oracle_drop', window_index, quality_drop >= 0.05e0 FROM q UNION ALL SELECT 'oracle_every_window', window_index, true FROM q)"""
 
 
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir)
-    return policy.trigger_matrix(rows.withColumn("triggered", F.col("score") >= 1.2), rows.where("method = 'm0'"), (4,), 0.05)
+    rows = facts(spark, sf_dir, True)
+    return policy.trigger_matrix(rows, rows.where("method = 'm0'"), (4,), 0.05)
 
 
 @query(TRIGGER_SQL + " SELECT policy, window_index, t AS triggered, coalesce(CAST(sum(CASE WHEN t THEN 1 ELSE 0 END) OVER b AS BIGINT), 0) AS n_retrains, max(CASE WHEN t THEN window_index END) OVER b AS trained_after FROM tr WINDOW b AS (PARTITION BY policy ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -534,7 +570,7 @@ def inject_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.union_all(out)
 
 
-DETECT_SQL = FACTS_SQL + """, s AS (SELECT *, CASE WHEN window_index >= 12 THEN 1 ELSE 0 END AS y, score >= 1.3e0 AS t FROM f),
+DETECT_SQL = FACTS_SQL + """, s AS (SELECT *, CASE WHEN window_index >= 12 THEN 1 ELSE 0 END AS y, score >= threshold AS t FROM f JOIN lim USING (method)),
 rk AS (SELECT method, y, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2e0 AS r FROM s), au AS (SELECT method, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) AS auroc FROM rk GROUP BY 1),
 st AS (SELECT method, score, count(*) AS c, sum(y) AS tp FROM s GROUP BY 1, 2), cu AS (SELECT method, tp, sum(tp) OVER (PARTITION BY method ORDER BY score DESC) / (sum(c) OVER (PARTITION BY method ORDER BY score DESC))::DOUBLE AS pr FROM st), ap AS (SELECT method, sum(tp * pr) / sum(tp) AS auprc FROM cu GROUP BY 1)
 SELECT method, round(any_value(auroc), 6) AS auroc, round(any_value(auprc), 6) AS auprc, min(window_index - 12) FILTER (t AND window_index >= 12) AS detection_delay_windows, round(avg(CASE WHEN t THEN 1e0 ELSE 0e0 END) FILTER (window_index < 12), 6) + 0e0 AS false_alarm_rate, count(*) AS n_windows, CAST(sum(y) AS BIGINT) AS n_drift_windows FROM s JOIN au USING (method) JOIN ap USING (method) GROUP BY 1"""
@@ -542,7 +578,7 @@ SELECT method, round(any_value(auroc), 6) AS auroc, round(any_value(auprc), 6) A
 
 @query(DETECT_SQL)
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inject.detection_summary(facts(spark, sf_dir).withColumn("triggered", F.col("score") >= 1.3), 12, ["method"])
+    out = inject.detection_summary(facts(spark, sf_dir, True), 12, ["method"])
     return out.select("method", r6("auroc", "auroc"), r6("auprc", "auprc"), "detection_delay_windows", r6("false_alarm_rate", "false_alarm_rate"), "n_windows", "n_drift_windows")
 
 
@@ -570,13 +606,37 @@ def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rankstats.bootstrap_spearman(facts(spark, sf_dir), ["method"], "window_index", "score", "quality_drop", 200)
 
 
-P_SQL = "WITH p AS (SELECT DISTINCT event_id % 30 AS i, ((event_id % 30) * (event_id % 30) + 1) / 2000e0 AS p FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM p)"
+def rank_sql(lag: int) -> str:
+    rank = lambda c: f"rank() OVER (PARTITION BY d, method ORDER BY {c}) + (count(*) OVER (PARTITION BY d, method, {c}) - 1) / 2e0"
+    return f"c{lag} AS (SELECT d, method, CASE WHEN count(*) >= 3 AND min(a) < max(a) AND min(b) < max(b) THEN corr(a, b) END AS c{lag} FROM (SELECT d, method, {rank('x')} AS a, {rank(f'y{lag}')} AS b FROM p WHERE y{lag} IS NOT NULL) GROUP BY 1, 2)"
+
+
+#: Rank correlations between four statistics of an event type in a window and its number of events there, by type over the test windows. The
+#: interval columns hold the range over lags of 0 to 2 windows: bootstrap draws have no SQL.
+RESULTS_SQL = "WITH c AS (" + events_sql(50) + """, st AS (SELECT event_type AS d, window_index, count(*) AS y, avg(value) AS a, stddev_pop(value) AS s, max(value) AS h, min(value) AS l FROM w WHERE split = 'test' GROUP BY 1, 2),
+lg AS (SELECT d, window_index, y, 'm0' AS method, round(a, 6) AS x FROM st UNION ALL SELECT d, window_index, y, 'm1', round(s, 6) FROM st UNION ALL SELECT d, window_index, y, 'm2', h FROM st UNION ALL SELECT d, window_index, y, 'm3', l FROM st),
+p AS (SELECT d, method, x, y AS y0, lead(y, 1) OVER o AS y1, lead(y, 2) OVER o AS y2 FROM lg WINDOW o AS (PARTITION BY d, method ORDER BY window_index)), """ + ", ".join(map(rank_sql, range(3))) + """
+SELECT d AS dataset_model, method, round(c0, 6) + 0e0 AS spearman, round(least(c0, c1, c2), 6) + 0e0 AS spearman_ci_low, round(greatest(c0, c1, c2), 6) + 0e0 AS spearman_ci_high FROM c0 JOIN c1 USING (d, method) JOIN c2 USING (d, method))"""
+
 
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys, v = ["dataset_model", "method"], F.col("value")
+    rows = events(spark, sf_dir, 50).where("split = 'test'").groupBy(F.col("event_type").alias("dataset_model"), "window_index").agg(F.count(F.lit(1)).alias("y"), F.array(F.round(F.avg(v), 6), F.round(F.stddev_pop(v), 6), F.max(v), F.min(v)).alias("x"))
+    rows = ordering.settled(rows.select("dataset_model", "window_index", "y", F.posexplode("x").alias("k", "x")).withColumn("method", F.concat(F.lit("m"), "k")))
+    out = rankstats.spearman(rows, keys, "x", "y")
+    for lag in (1, 2):
+        out = out.join(rankstats.lagged_spearman(rows, keys, "window_index", "x", "y", lag), keys)
+    three = ("spearman", "spearman_lag1", "spearman_lag2")
+    return out.select(*keys, r6("spearman", "spearman"), r6(F.least(*three), "spearman_ci_low"), r6(F.greatest(*three), "spearman_ci_high"))
+
+
+P_SQL = RESULTS_SQL + ", p AS (SELECT dataset_model, method, round(1 - abs(spearman), 6) AS p FROM c), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM p)"
 
-@query(P_SQL + " SELECT i, round(least(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_adjusted, least(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) <= 0.05 AS rejected FROM r")
+
+@query(P_SQL + " SELECT dataset_model, method, round(least(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS p_adjusted, least(min(p * n / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) <= 0.9 AS rejected FROM r")
 def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "events").select((F.col("event_id") % 30).alias("i")).distinct().withColumn("p_value", F.expr("(i * i + 1) / 2000e0"))
-    return rankstats.benjamini_hochberg(rows).select("i", r6("p_adjusted", "p_adjusted"), "rejected")
+    rows = results(spark, sf_dir).withColumn("p_value", F.round(1 - F.abs("spearman"), 6))
+    return rankstats.benjamini_hochberg(rows, level=0.9).select("dataset_model", "method", r6("p_adjusted", "p_adjusted"), "rejected")
 
 
 WILCOXON_SQL = FACTS_SQL + ", d AS (SELECT a.method, b.score - a.score AS d FROM f a JOIN f b ON a.window_index = b.window_index AND b.method = 'm0' WHERE a.method <> 'm0' AND a.score <> b.score), r AS (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2e0 AS r FROM d) SELECT method, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6) AS w_plus FROM r GROUP BY 1"
@@ -607,14 +667,6 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Reports ----------------------------------------------------------------------------------------------------------------------
 
 
-RESULTS_SQL = "WITH ids AS (SELECT DISTINCT event_id % 6 AS d FROM events), c AS (SELECT concat('d', d) AS dataset_model, concat('m', k) AS method, ((d * 7 + k * 5) % 9) / 10e0 AS spearman, ((d * 3 + k) % 5) / 10e0 AS spearman_ci_low, 0.5e0 + ((d + k) % 5) / 10e0 AS spearman_ci_high FROM ids, range(4) t(k))"
-
-
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = read(spark, sf_dir, "events").select((F.col("event_id") % 6).alias("d")).distinct().withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in range(4)))))
-    return ids.select(F.concat(F.lit("d"), "d").alias("dataset_model"), F.concat(F.lit("m"), "k").alias("method"), F.expr("((d * 7 + k * 5) % 9) / 10e0").alias("spearman"), F.expr("((d * 3 + k) % 5) / 10e0").alias("spearman_ci_low"), F.expr("0.5e0 + ((d + k) % 5) / 10e0").alias("spearman_ci_high"))
-
-
 @query(RESULTS_SQL + ", r AS (SELECT *, rank() OVER (PARTITION BY dataset_model ORDER BY spearman DESC) AS rank FROM c) SELECT method, round(median(spearman), 6) AS median_spearman, round(median(spearman_ci_low), 6) AS median_spearman_ci_low, round(median(spearman_ci_high), 6) AS median_spearman_ci_high, round(avg(rank), 6) AS mean_rank, count(*) FILTER (rank = 1) AS wins, count(DISTINCT dataset_model) AS n_pairs FROM r GROUP BY 1")
 def report_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = report.correlation_summary(results(spark, sf_dir), "m0")
