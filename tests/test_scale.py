@@ -295,6 +295,21 @@ def test_names_of_models_differ(spark, monkeypatch):
             assert max((max(t, default=1).bit_length() for t in shapes)) <= 6
 
 
+def test_experiment_with_classes_of_texts(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 2))
+    names = np.array(["low", "mid", "top"])[np.digitize(x[:, 0], [-0.5, 0.5])]
+    df = spark.createDataFrame([(i, *map(float, v), str(n)) for i, (v, n) in enumerate(zip(x, names))], "t int, a double, b double, y string")
+    config = experiment.Config(window_size=50, methods=("mean_ks",), model="linear", draws=5)
+    for rows_, least in ((df, 0.8), (df.withColumn("y", F.when(F.col("y") == "low", "no").otherwise("yes")), 0.9)):
+        got = experiment.run(rows_, ["t"], ["a", "b"], "y", "classification", config).window_scores.collect()
+        assert len(got) == 4 and all(r["quality"] > least for r in got)
+        assert {r["primary_metric"] for r in got} == {"roc_auc_ovr" if rows_ is df else "roc_auc"}
+    one = spark.createDataFrame([(0, [0.2, 0.5, 0.3], 1), (0, [0.6, 0.3, 0.1], 2), (0, [0.1, 0.1, 0.8], 2), (0, [0.9, 0.1, 0.0], 0), (0, [1.0, 0.0, 0.0], None)], "w int, scores array<double>, label int")
+    r = quality.multiclass_metrics(one, ["w"]).first()
+    assert r["accuracy"] == 0.75 and abs(r["logloss"] + np.mean(np.log([0.5, 0.1, 0.8, 0.9]))) < 1e-12
+
+
 # --- Dataset files -----------------------------------------------------------------------------------------------------------
 
 

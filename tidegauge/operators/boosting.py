@@ -7,7 +7,7 @@ group, which finds the best split and returns that alone. Rows never move.
 Trees grow leaf by leaf (best gain first, up to ``leaves``), level by level (to ``depth``), or symmetrically (one split for all nodes of a
 level). Best-first growth asks for the splits of all nodes that it could open next at once, and is repeated with what it has learned
 until nothing is unknown: the tree is the same as one grown a leaf at a time, with about as many jobs as it has levels. Training sets of
-one part (``per_part`` rows) go the same way inside one task, without a job for every level.
+one part (PART_BYTES) go the same way inside one task, without a job for every level.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from .ordering import settled
 from .quantiles import exact_quantiles
 
 MOST_BINS = 255
+#: Memory of a part of the training rows.
+PART_BYTES = 128_000_000
 
 
 @dataclass(frozen=True)
@@ -288,8 +290,9 @@ def as_rows(batches: list[pa.RecordBatch] | pa.Table, d: int) -> Rows:
 BLOCK = "bins binary, y binary, w binary, margin binary, ids binary"
 
 
-def fit(train: DataFrame, task: str, settings: Settings = Settings(), seed: int = 42, features: str = "features", label: str = "label", per_part: int = 250_000) -> Model:
-    """Fit on rows with features (array<double>) and a label: a number, or a class from 0 up. Rows without a label are left out."""
+def fit(train: DataFrame, task: str, settings: Settings = Settings(), seed: int = 42, features: str = "features", label: str = "label", per_part: int | None = None) -> Model:
+    """Fit on rows with features and a label: a number, or a class from 0 up. Rows without a label are left out. A part holds
+    ``per_part`` rows, by default as many as fit PART_BYTES with their bins, margins and derivatives."""
     s, known = settings, train.where(F.col(label).isNotNull())
     d = dimension(known, features)
     if not d:
@@ -308,7 +311,7 @@ def fit(train: DataFrame, task: str, settings: Settings = Settings(), seed: int
         shares = np.maximum(counts * [weights[i] for i in range(len(counts))], 1e-9)
         start = np.log(shares / shares.sum()) if classes > 2 else np.array([np.log(shares[1] / shares[0])])
     model = Model([cuts.get(j, np.zeros(0)) for j in range(d)], start)
-    parts = max(1, -(-n // per_part))
+    parts = max(1, -(-n // (per_part or PART_BYTES // (d + 32 + 24 * len(start)))))
     sent = train.sparkSession.sparkContext.broadcast((model.edges, start, weights))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
@@ -39,6 +39,36 @@ def multiclass_auc(scored: DataFrame, keys: list[str], scores: str = "scores", l
     return auc(each, [*keys, "class"], "score", "own").groupBy(*keys).agg(F.avg("auc").alias("roc_auc_ovr"))
 
 
+def multiclass_metrics(scored: DataFrame, keys: list[str], scores: str = "scores", label: str = "label", tiny: float = 1e-15) -> DataFrame:
+    """accuracy, logloss and roc_auc_ovr of probabilities by class number, by group. Rows without a label don't count."""
+    rows = scored.where(F.col(label).isNotNull())
+    best = F.array_position(scores, F.array_max(scores)) - 1
+    chance = F.greatest(F.least(F.coalesce(F.get(scores, F.col(label).cast("int")), F.lit(0.0)), F.lit(1 - tiny)), F.lit(tiny))
+    base = rows.groupBy(*keys).agg(F.avg((best == F.col(label)).cast("double")).alias("accuracy"), (-F.avg(F.log(chance))).alias("logloss"))
+    return base.join(multiclass_auc(rows, keys, scores, label), keys, "left")
+
+
+def measured(scored: DataFrame, keys: list[str], task: str, classes: int = 2) -> DataFrame:
+    """The metrics of a task by group: of regression, of two classes or of more."""
+    if task == "regression":
+        return regression_metrics(scored, keys)
+    return classification_metrics(scored, keys) if classes <= 2 else multiclass_metrics(scored, keys)
+
+
+#: Classes that a target may have.
+MOST_CLASSES = 1000
+
+
+def class_numbers(train: DataFrame, target: str) -> tuple[Column, int]:
+    """(label, number of classes): the target as the place of its value among the sorted training values, from 0; null for others."""
+    values = sorted(r[0] for r in train.select(target).where(F.col(target).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect())
+    if not values or len(values) > MOST_CLASSES:
+        raise ValueError(f"{target} has {'no' if not values else 'too many'} classes")
+    if len(values) == 1 and values[0] in (0, 1):
+        return F.col(target).cast("int"), 2
+    return F.nullif(F.array_position(F.array(*map(F.lit, values)), F.col(target)), F.lit(0)).cast("int") - 1, len(values)
+
+
 def regression_metrics(scored: DataFrame, keys: list[str], predicted: str = "predicted", actual: str = "actual") -> DataFrame:
     """rmse, mae and r2 by group; r2 is null where the target is constant."""
     e = F.col(predicted) - F.col(actual)

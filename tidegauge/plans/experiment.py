@@ -90,14 +90,15 @@ def run(rows: DataFrame, order: list[str], features: list[str], target: str, tas
     train = data.where("split = 'train'")
     enc = encode.Encoder.fit(train, encode.feature_types(train, features, config.max_onehot), config.buckets)
     name = "label" if task == "classification" else "actual"
-    coded = ordering.settled(enc.transform(data.withColumn(name, F.col(target)), ["split", "window_index", "srn", name]))
+    label, classes = quality.class_numbers(train, target) if task == "classification" else (F.col(target), 0)
+    coded = ordering.settled(enc.transform(data.withColumn(name, label), ["split", "window_index", "srn", name]))
     fit_on = coded.where("split = 'train'")
     model = quality.fit_model(fit_on, config.model, task, config.seed, label=name)
     scored = ordering.settled(model(coded.where("split <> 'train'")))
     keys = ["split", "window_index"]
-    metrics = quality.classification_metrics(scored, keys) if task == "classification" else quality.regression_metrics(scored, keys)
+    metrics = quality.measured(scored, keys, task, classes)
     whole = scored.where("split = 'validation'").withColumn("all", F.lit(0))
-    on_validation = (quality.classification_metrics(whole, ["all"]) if task == "classification" else quality.regression_metrics(whole, ["all"])).first().asDict()
+    on_validation = quality.measured(whole, ["all"], task, classes).first().asDict()
     metric = quality.primary_metric(on_validation, task)
     reference_quality = on_validation[metric]
     space = coded
@@ -137,11 +138,11 @@ def run(rows: DataFrame, order: list[str], features: list[str], target: str, tas
     summary = dataset_summary(data, dataset, features, order[0]).withColumns({"task": F.lit(task), "model": F.lit(config.model)})
     result = Result(fact, correlation_table(test, draws=config.draws, seed=config.seed).withColumns(names), limits, summary, diagnostics)
     if config.retraining:
-        result.retraining_windows, result.retraining_summary = (df.withColumns({k: names[k] for k in ("dataset", "model")}) for df in retrain(coded, test, task, name, metric, config))
+        result.retraining_windows, result.retraining_summary = (df.withColumns({k: names[k] for k in ("dataset", "model")}) for df in retrain(coded, test, task, name, metric, config, classes))
     return result
 
 
-def retrain(coded: DataFrame, test: DataFrame, task: str, label: str, metric: str, config: Config) -> tuple[DataFrame, DataFrame]:
+def retrain(coded: DataFrame, test: DataFrame, task: str, label: str, metric: str, config: Config, classes: int = 2) -> tuple[DataFrame, DataFrame]:
     """Simulate the policies. A schedule says which model scores each window; every distinct model (history, last
     window seen, number of retrains) is fitted once and scores only the windows that need it."""
     base = ordering.settled(test.select("window_index", "quality_drop").dropDuplicates(["window_index"]))
@@ -156,7 +157,7 @@ def retrain(coded: DataFrame, test: DataFrame, task: str, label: str, metric: st
             rows = policy.history(coded, after, mode, config.rolling_windows)
             model = quality.fit_model(rows, config.model, task, config.seed + count + (after is not None), label=label)
             scored = model(coded.where((F.col("split") == "test") & F.col("window_index").isin(sorted(windows))))
-            got = quality.classification_metrics(scored, ["window_index"]) if task == "classification" else quality.regression_metrics(scored, ["window_index"])
+            got = quality.measured(scored, ["window_index"], task, classes)
             measured.append(got.select("window_index", F.col(metric).alias("quality"), F.lit(after).cast("long").alias("trained_after"), F.lit(count).cast("long").alias("n_retrains"), F.lit(mode).alias("history_mode")))
     quality_of = ordering.settled(distance.union_all(measured))
     same = plan["trained_after"].eqNullSafe(quality_of["trained_after"]) & (plan["n_retrains"] == quality_of["n_retrains"]) & (plan["window_index"] == quality_of["window_index"])
