@@ -1,6 +1,6 @@
 """Exact quantiles of groups of any size, by refined histograms.
 
-Groups of up to ``SMALL`` values are sorted whole, a group in a task. The values of a larger group are counted in ``BINS`` equal bins
+Groups of up to ``SMALL`` values are sorted whole, a group in a task. The values of a larger group are counted in equal bins
 between its least and greatest value; only bins that hold a wanted rank go on. A bin of one value gives it at once, a bin of up to
 SMALL values gives its distinct values with their counts, a fuller one is cut into bins again. Counting is by map-side aggregation,
 so no values are shuffled but those of small groups and wanted bins, and no task holds more than SMALL of them.
@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 
 from .ordering import settled
 
-BINS = 4096
 SMALL = 100_000
 
 
+def bins_for(ranks: int, rows: int, tasks: int) -> int:
+    """Bins that balance the two things shuffled: counts, of which every task sends one a bin, and values, of which a share of ranks
+    to bins is sent."""
+    return int(2 ** np.clip(np.round(np.log2(max(1.0, ranks * rows / max(1, tasks))) / 2), 8, 16))
+
+
 def wanted_ranks(at: np.ndarray, n: int) -> np.ndarray:
     """The 0-based ranks of n values that quantiles ``at`` lie between, ascending."""
     p = at * (n - 1)
@@ -33,9 +38,9 @@ def between(at: np.ndarray, n: int, ranks: np.ndarray, values: np.ndarray) -> np
     return np.where(a == b, a, (hi - p) * a + (p - lo) * b)  # equal neighbours stay exactly what they are
 
 
-def _bin(z: Column, lo: Column, hi: Column) -> Column:
+def _bin(z: Column, lo: Column, hi: Column, bins: int) -> Column:
     share = F.when(F.abs(hi - lo) < float("inf"), (z - lo) / (hi - lo)).otherwise((z / 2 - lo / 2) / (hi / 2 - lo / 2))
-    return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+    return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float], name: str = "q", weight: str | None = None, small: int = SMALL) -> DataFrame:
@@ -48,7 +53,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float
     stats = settled(own.groupBy(*by).agg(F.sum("__w").alias("__n"), F.count(F.lit(1)).alias("__rows"), F.min("__z").alias("__lo"), F.max("__z").alias("__hi")))
     large = (F.col("__rows") > small) & (F.col("__lo") < F.col("__hi"))
     point = (F.col("__rows") > small) & (F.col("__lo") == F.col("__hi"))
-    kinds = {r[0] for r in stats.select(F.when(large, "large").when(point, "point").otherwise("small")).distinct().collect()}
+    kinds = {r[0]: r[1] for r in stats.groupBy(F.when(large, "large").when(point, "point").otherwise("small")).agg(F.max("__rows")).collect()}
     schema = ", ".join([*(f"`{c}` {own.schema[c].dataType.simpleString()}" for c in by), f"`{name}` array<double>"])
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -63,7 +68,8 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float
         few = own if len(kinds) == 1 else own.join(stats.where(F.col("__rows") <= small).select(*by), by, "left_semi")
         out.append(few.groupBy(*by).applyInPandas(whole, schema))
     if "large" in kinds:
-        out.append(_refined(own, stats.where(large), by, points, name, small, schema))
+        bins = bins_for(2 * len(at), kinds["large"], rows.sparkSession.sparkContext.defaultParallelism)
+        out.append(_refined(own, stats.where(large), by, points, name, small, schema, bins))
     if not out:
         return stats.select(*by, F.lit(None).cast("array<double>").alias(name)).select(*keys, name)
     every = out[0]
@@ -86,7 +92,7 @@ def _chosen(path: list[str]):
     return choose
 
 
-def _refined(own: DataFrame, stats: DataFrame, by: list[str], at: np.ndarray, name: str, small: int, schema: str) -> DataFrame:
+def _refined(own: DataFrame, stats: DataFrame, by: list[str], at: np.ndarray, name: str, small: int, schema: str, bins_each: int) -> DataFrame:
     """Quantiles of the groups in ``stats``, by one histogram a level."""
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
 
@@ -98,7 +104,7 @@ def _refined(own: DataFrame, stats: DataFrame, by: list[str], at: np.ndarray, na
     rows, path, found = own, list(by), []
     while True:
         at_bin = f"__b{len(path)}"
-        rows = rows.join(level.select(*path, "__lo", "__hi"), path).withColumn(at_bin, _bin(F.col("__z"), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+        rows = rows.join(level.select(*path, "__lo", "__hi"), path).withColumn(at_bin, _bin(F.col("__z"), F.col("__lo"), F.col("__hi"), bins_each)).drop("__lo", "__hi")
         counts = rows.groupBy(*path, at_bin).agg(F.sum("__w").alias("__k"), F.count(F.lit(1)).alias("__rows"), F.min("__z").alias("__lo"), F.max("__z").alias("__hi"))
         old, path = path, [*path, at_bin]
 
