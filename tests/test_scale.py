@@ -310,6 +310,28 @@ def test_experiment_with_classes_of_texts(spark):
     assert r["accuracy"] == 0.75 and abs(r["logloss"] + np.mean(np.log([0.5, 0.1, 0.8, 0.9]))) < 1e-12
 
 
+def test_kendall_equals_all_pairs(spark):
+    from tidegauge.functions import rankstats
+
+    rng = np.random.default_rng(13)
+    for n in (3, 50, 300):
+        x, y = rng.integers(0, n // 2 + 1, n).astype(float), rng.integers(0, n // 3 + 2, n).astype(float)
+        x[:2] = y[:2] = 0, 1  # neither is constant
+        dx, dy = (np.sign(v[:, None] - v[None, :])[np.triu_indices(n, 1)] for v in (x, y))
+        assert abs(rankstats.kendall_tau(x, y) - (dx * dy).sum() / np.sqrt(np.abs(dx).sum() * np.abs(dy).sum())) < 1e-12
+    assert rankstats.kendall_tau(np.ones(5), np.arange(5.0)) is None and rankstats.kendall_tau(np.arange(2.0), np.arange(2.0)) is None
+    df = spark.createDataFrame([("a", i, float(i), float(-i)) for i in range(4)] + [("b", 0, 1.0, 2.0), ("a", 9, None, 1.0)], "k string, w int, x double, y double")
+    assert {r["k"]: r["kendall_tau"] for r in rankstats.kendall(df, ["k"], "w", "x", "y").collect()} == {"a": -1.0, "b": None}
+
+
+def test_stream_with_a_sketch_for_state(spark):
+    from tidegauge.streaming import calendar
+
+    exact, sketch = ({r["start"]: r for r in calendar.replay(spark, "/root/testdata/sf0.001", "events.parquet", "ts", "value", accuracy=a).collect()} for a in (None, 10_000))
+    assert exact and set(exact) == set(sketch)
+    assert all(exact[k]["n_rows"] == sketch[k]["n_rows"] and (exact[k]["n_rows"] < 30 or abs(exact[k]["score"] - sketch[k]["score"]) < 0.5 * exact[k]["score"] + 5) for k in exact)
+
+
 # --- Dataset files -----------------------------------------------------------------------------------------------------------
 
 

@@ -39,14 +39,40 @@ def lagged_spearman(rows: DataFrame, keys: list[str], order: str, x: str, y: str
     return rows.select(*keys).distinct().join(out.drop("n_windows"), keys, "left")
 
 
+def inversions(y: np.ndarray, few: int = 64) -> int:
+    """Pairs i < j with y[i] > y[j], by merging halves."""
+    if len(y) <= few:
+        return int(np.triu(y[:, None] > y[None, :], 1).sum())
+    half = len(y) // 2
+    left, right = np.sort(y[:half]), y[half:]
+    return inversions(y[:half], few) + inversions(right, few) + int((half - np.searchsorted(left, right, "right")).sum())
+
+
+def kendall_tau(x: np.ndarray, y: np.ndarray) -> float | None:
+    """tau-b in n log n steps; None below three pairs or where a side is constant."""
+    n = len(x)
+    tied = lambda *columns: int(sum(c * (c - 1) // 2 for c in np.unique(np.column_stack(columns), axis=0, return_counts=True)[1]))
+    pairs = n * (n - 1) // 2
+    if pairs < 3:
+        return None
+    tx, ty, both = tied(x), tied(y), tied(x, y)
+    if tx == pairs or ty == pairs:
+        return None
+    order = np.lexsort((y, x))
+    return float((pairs - tx - ty + both - 2 * inversions(y[order])) / np.sqrt(float(pairs - tx) * float(pairs - ty)))
+
+
 def kendall(rows: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
-    """tau-b over all pairs of a group's rows (one row a window: small groups); unknown below three rows."""
-    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    a = rows.select(*keys, F.col(order).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = rows.select(*keys, F.col(order).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    dx, dy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    s = a.join(b, keys).where("i < j").groupBy(*keys).agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"), F.count(F.lit(1)).alias("pairs"))
-    return s.select(*keys, F.when((F.col("pairs") >= 3) & (F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall_tau"))
+    """tau-b by group, of one row a window; unknown below three rows."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        tau = kendall_tau(pdf["__x"].to_numpy(float), pdf["__y"].to_numpy(float))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "kendall_tau": [np.nan if tau is None else tau]}).astype({"kendall_tau": float})
+
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "kendall_tau double"])
+    out = rows.groupBy(*keys).applyInPandas(one, schema)
+    return out.withColumn("kendall_tau", F.when(~F.isnan("kendall_tau"), F.col("kendall_tau")))
 
 
 def bootstrap_spearman(rows: DataFrame, keys: list[str], order: str, x: str, y: str, draws: int = 500, seed: int = 42) -> DataFrame:

@@ -241,15 +241,21 @@ def sliced_subsample(reference: DataFrame, current: DataFrame, n_ref: int, n_cur
 # --- Kernel and energy distances ----------------------------------------------------------------------------------------
 
 
+#: Rows of a table made on the driver up to which it is broadcast.
+BROADCAST = 1_000_000
+
+
 def sampled(rows: DataFrame, sizes: dict, most: int, seed: int, key: str = "window_index", rn: str = "srn") -> DataFrame:
-    """At most ``most`` rows of every window, by drawn positions within the window (column __at, from 0)."""
+    """At most ``most`` rows of every window, by drawn positions within the window (column __at, from 0). Positions depend on a window's
+    size alone, so they are drawn once for all windows of a size."""
     rows = rows.withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(rn)) - 1)
-    picks = [(k, int(i)) for k, n in sizes.items() if n > most for i in drawn(n, most, seed)]
-    if not picks:
+    large = sorted({n for n in sizes.values() if n > most})
+    if not large:
         return rows
-    at = F.broadcast(rows.sparkSession.createDataFrame(picks, f"`{key}` bigint, __at int"))
-    large = F.col(key).isin([k for k, n in sizes.items() if n > most])
-    return rows.where(~large).unionByName(rows.where(large).join(at, [key, "__at"], "left_semi").select(*rows.columns))
+    make = lambda data, schema: (F.broadcast if len(data) <= BROADCAST else (lambda df: df))(rows.sparkSession.createDataFrame(data, schema))
+    held = rows.join(make([(k, n) for k, n in sizes.items()], f"`{key}` bigint, __n bigint"), key)
+    at = make([(n, int(i)) for n in large for i in drawn(n, most, seed)], "__n bigint, __at int")
+    return held.where(F.col("__n") <= most).unionByName(held.where(F.col("__n") > most).join(at, ["__n", "__at"], "left_semi").select(*held.columns)).select(*rows.columns)
 
 
 #: Rows a side that a task compares in pairs. Samples are drawn to a cap of 1000 by default.

@@ -18,6 +18,15 @@ from .ordering import settled
 SMALL = 100_000
 
 
+#: Groups or bins (some numbers each) up to which their table is broadcast to the rows.
+FEW = 300_000
+
+
+def _hinted(df: DataFrame) -> DataFrame:
+    """df, which is computed already, broadcast if it is small: rows then stay where they are, whatever share of them a group has."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def bins_for(ranks: int, rows: int, tasks: int) -> int:
     """Bins that balance the two things shuffled: counts, of which every task sends one a bin, and values, of which a share of ranks
     to bins is sent."""
@@ -65,7 +74,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float
 
     out = [stats.where(point).select(*by, F.array_repeat("__lo", len(at)).alias(name))] if "point" in kinds else []
     if "small" in kinds:
-        few = own if len(kinds) == 1 else own.join(stats.where(F.col("__rows") <= small).select(*by), by, "left_semi")
+        few = own if len(kinds) == 1 else own.join(_hinted(stats.where(F.col("__rows") <= small).select(*by)), by, "left_semi")
         out.append(few.groupBy(*by).applyInPandas(whole, schema))
     if "large" in kinds:
         bins = bins_for(2 * len(at), kinds["large"], rows.sparkSession.sparkContext.defaultParallelism)
@@ -101,10 +110,11 @@ def _refined(own: DataFrame, stats: DataFrame, by: list[str], at: np.ndarray, na
 
     typed = lambda path: ", ".join(f"`{c}` {kinds.get(c, 'int')}" for c in path)
     level = stats.mapInPandas(lambda batches: map(first, batches), f"{typed(by)}, __lo double, __hi double, __start bigint, __ranks array<bigint>")
+    level = settled(level)
     rows, path, found = own, list(by), []
     while True:
         at_bin = f"__b{len(path)}"
-        rows = rows.join(level.select(*path, "__lo", "__hi"), path).withColumn(at_bin, _bin(F.col("__z"), F.col("__lo"), F.col("__hi"), bins_each)).drop("__lo", "__hi")
+        rows = rows.join(_hinted(level.select(*path, "__lo", "__hi")), path).withColumn(at_bin, _bin(F.col("__z"), F.col("__lo"), F.col("__hi"), bins_each)).drop("__lo", "__hi")
         counts = rows.groupBy(*path, at_bin).agg(F.sum("__w").alias("__k"), F.count(F.lit(1)).alias("__rows"), F.min("__z").alias("__lo"), F.max("__z").alias("__hi"))
         old, path = path, [*path, at_bin]
 
@@ -112,7 +122,7 @@ def _refined(own: DataFrame, stats: DataFrame, by: list[str], at: np.ndarray, na
         bins = settled(bins)  # at most two bins a quantile
         found.append(bins.where("__lo = __hi").select(*by, F.explode("__ranks").alias("__rank"), F.col("__lo").alias("__z")))
         some = bins.where((F.col("__lo") < F.col("__hi")) & (F.col("__rows") <= small)).select(*path, "__start", "__ranks")
-        values = rows.join(some.select(*path), path, "left_semi").groupBy(*path, "__z").agg(F.sum("__w").alias("__k"))
+        values = rows.join(_hinted(some.select(*path)), path, "left_semi").groupBy(*path, "__z").agg(F.sum("__w").alias("__k"))
         upto = F.sum("__k").over(Window.partitionBy(*path).orderBy("__z").rowsBetween(Window.unboundedPreceding, 0))  # at most ``small`` rows
         values = values.withColumn("__upto", upto).join(some, path).withColumn("__first", F.col("__start") + F.col("__upto") - F.col("__k"))
         here = F.filter("__ranks", lambda r: (r >= F.col("__first")) & (r < F.col("__first") + F.col("__k")))
