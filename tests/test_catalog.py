@@ -16,7 +16,8 @@ SOME = ["split_events", "count_windows_dropped_tail", "calendar_windows", "one_h
 
 def rows(df):
     df = df[sorted(df.columns)]
-    one = lambda x: "null" if x is None or x is pd.NaT or isinstance(x, float) and np.isnan(x) else round(float(x), 5) + 0.0 if isinstance(x, (float, np.floating)) else str(x)
+    # whole numbers with nulls among them come as floats from one side
+    one = lambda x: "null" if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and np.isnan(x) else round(float(x), 5) + 0.0 if isinstance(x, (float, np.floating, int, np.integer)) and not isinstance(x, (bool, np.bool_)) else str(x)
     return sorted((tuple(one(x) for x in r) for r in df.itertuples(index=False)), key=str)
 
 

@@ -570,15 +570,16 @@ def inject_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.union_all(out)
 
 
-DETECT_SQL = FACTS_SQL + """, s AS (SELECT *, CASE WHEN window_index >= 12 THEN 1 ELSE 0 END AS y, score >= threshold AS t FROM f JOIN lim USING (method)),
+DETECT_SQL = FACTS_SQL + """, half AS (SELECT (max(window_index) + 1) // 2 AS h FROM f), s AS (SELECT *, CASE WHEN window_index >= h THEN 1 ELSE 0 END AS y, score >= threshold AS t FROM f JOIN lim USING (method), half),
 rk AS (SELECT method, y, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2e0 AS r FROM s), au AS (SELECT method, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2e0) / (sum(y) * (count(*) - sum(y))) AS auroc FROM rk GROUP BY 1),
 st AS (SELECT method, score, count(*) AS c, sum(y) AS tp FROM s GROUP BY 1, 2), cu AS (SELECT method, tp, sum(tp) OVER (PARTITION BY method ORDER BY score DESC) / (sum(c) OVER (PARTITION BY method ORDER BY score DESC))::DOUBLE AS pr FROM st), ap AS (SELECT method, sum(tp * pr) / sum(tp) AS auprc FROM cu GROUP BY 1)
-SELECT method, round(any_value(auroc), 6) AS auroc, round(any_value(auprc), 6) AS auprc, min(window_index - 12) FILTER (t AND window_index >= 12) AS detection_delay_windows, round(avg(CASE WHEN t THEN 1e0 ELSE 0e0 END) FILTER (window_index < 12), 6) + 0e0 AS false_alarm_rate, count(*) AS n_windows, CAST(sum(y) AS BIGINT) AS n_drift_windows FROM s JOIN au USING (method) JOIN ap USING (method) GROUP BY 1"""
+SELECT method, round(any_value(auroc), 6) AS auroc, round(any_value(auprc), 6) AS auprc, min(window_index - h) FILTER (t AND window_index >= h) AS detection_delay_windows, round(avg(CASE WHEN t THEN 1e0 ELSE 0e0 END) FILTER (window_index < h), 6) + 0e0 AS false_alarm_rate, count(*) AS n_windows, CAST(sum(y) AS BIGINT) AS n_drift_windows FROM s JOIN au USING (method) JOIN ap USING (method) GROUP BY 1"""
 
 
 @query(DETECT_SQL)
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = inject.detection_summary(facts(spark, sf_dir, True), 12, ["method"])
+    rows = facts(spark, sf_dir, True)  # the second half of the windows counts as drifted
+    out = inject.detection_summary(rows, (rows.agg(F.max("window_index")).first()[0] + 1) // 2, ["method"])
     return out.select("method", r6("auroc", "auroc"), r6("auprc", "auprc"), "detection_delay_windows", r6("false_alarm_rate", "false_alarm_rate"), "n_windows", "n_drift_windows")
 
 
@@ -587,7 +588,7 @@ def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lagged_sql(lag: int) -> str:
     y = "quality_drop" if lag == 0 else f"lead(quality_drop, {lag}) OVER (PARTITION BY method ORDER BY window_index)"
-    return f"SELECT method, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS c FROM (SELECT method, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2e0 AS x, rank() OVER (PARTITION BY method ORDER BY yy) + (count(*) OVER (PARTITION BY method, yy) - 1) / 2e0 AS y FROM (SELECT method, score, {y} AS yy FROM f) WHERE yy IS NOT NULL) GROUP BY 1"
+    return f"SELECT method, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS c FROM (SELECT method, rank() OVER (PARTITION BY method ORDER BY score) + (count(*) OVER (PARTITION BY method, score) - 1) / 2e0 AS x, rank() OVER (PARTITION BY method ORDER BY yy) + (count(*) OVER (PARTITION BY method, yy) - 1) / 2e0 AS y FROM (SELECT method, score, {y} AS yy FROM f) WHERE yy IS NOT NULL) GROUP BY 1"
 
 
 CORR_SQL = FACTS_SQL + f""", s0 AS ({lagged_sql(0)}), s1 AS ({lagged_sql(1)}), s2 AS ({lagged_sql(2)}),
