@@ -228,7 +228,7 @@ def load_csv_as(spark: SparkSession, path: str, options: dict, target: str, time
     data = data.select(*columns, PLACE) if columns else data
     types = {c: {"str": "string", "object": "string", "category": "string", "int": "bigint", "int64": "bigint", "int32": "int", "float": "double", "float64": "double", "float32": "float", "bool": "boolean"}.get(str(t), str(t)) for c, t in kinds.items()}
     types |= {c: "timestamp" for c in (dates if isinstance(dates, list) else [])}
-    data = data.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+    data = data.withColumns({c: F.col(c).cast(t) for c, t in types.items() if c in data.columns})
     return _with_roles(data.limit(most) if most else data, path, target, time, task, name, split)
 
 
