@@ -1,8 +1,11 @@
 """Queries whose cost grew faster than needed, or whose result was of a sample: their plans and results."""
 
-from pyspark.sql import functions as F
+from dataclasses import replace
 
-from tidegauge.operators import encode
+import numpy as np
+import pytest
+
+from tidegauge.operators import boosting, encode
 from tidegauge.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -21,3 +24,21 @@ def test_dense_hashing_counts_tokens(spark):
     enc = encode.Encoder.fit(rows, encode.FeatureTypes(high=["p", "q"]), 16)
     got = rows.select(enc.hashed().alias("h"), enc.hash_places().alias("at")).collect()
     assert all(r["h"] == [float(list(r["at"]).count(b)) for b in range(16)] for r in got)
+
+
+@pytest.mark.parametrize("per_part", [10_000, 20])
+def test_boosting_keeps_equal_rows_once(spark, monkeypatch, per_part):
+    """The same rows three times over give the model of the rows with three times the weights, and take no more places in memory."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (300, 2)).astype(float)
+    y = ((x[:, 0] > x[:, 1]) ^ (rng.random(300) < 0.2)).astype(int)
+    held, take = [], boosting.settled
+    monkeypatch.setattr(boosting, "settled", lambda df: held.append(take(df)) or held[-1])
+    data = [([float(v) for v in r], int(t)) for r, t in zip(x, y)]
+    s = boosting.Settings(rounds=4, rate=0.3, leaves=5, least_rows=1)
+    probe = spark.createDataFrame([(r,) for r, _ in data], "features array<double>")
+    fits = [boosting.fit(spark.createDataFrame(data * k, "features array<double>, label int"), "classification", settings, per_part=per_part) for k, settings in ((1, s), (3, replace(s, l2=3 * s.l2, least_rows=3)))]
+    one, three = (np.array([r["scores"] for r in boosting.predict(probe, m, "classification").collect()]) for m in fits)
+    assert np.allclose(one, three, atol=1e-9)
+    sizes = [sum(len(r["y"]) // 8 for r in df.select("y").collect()) for df in held if "margin" in df.columns]
+    assert set(sizes) == {len({(*r, t) for r, t in zip(map(tuple, x), y)})}

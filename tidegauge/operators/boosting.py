@@ -2,7 +2,8 @@
 
 Features are cut into at most 255 bins at exact quantiles of the training rows and kept as blocks of bytes. For every open node tasks
 sum gradients, second derivatives and rows by feature and bin; the sums of a node (or, for symmetric trees, of a feature) meet in one
-group, which finds the best split and returns that alone. Rows never move.
+group, which finds the best split and returns that alone. Rows never move. Rows of equal bins and label have equal derivatives in every
+round, so unless rounds draw rows they are kept once, with their number.
 
 Trees grow leaf by leaf (best gain first, up to ``leaves``), level by level (to ``depth``), or symmetrically (one split for all nodes of a
 level). Best-first growth asks for the splits of all nodes that it could open next at once, and is repeated with what it has learned
@@ -131,15 +132,15 @@ def softmax(margin: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, rows_of: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
-    """nodes x columns x bins x (gradient, second derivative, rows) for the places of the rows of every node."""
+def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, c: np.ndarray, rows_of: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """nodes x columns x bins x (gradient, second derivative, rows) for the places of the rows of every node, which stand for c rows each."""
     width, n = MOST_BINS + 1, len(rows_of)
     out = np.zeros((n, len(columns), width, 3))
     rows = np.concatenate(rows_of)
-    base, gr, hr = np.repeat(np.arange(n) * width, [len(r) for r in rows_of]), g[rows], h[rows]
+    base, gr, hr, cr = np.repeat(np.arange(n) * width, [len(r) for r in rows_of]), g[rows], h[rows], c[rows]
     for j, f in enumerate(columns):
         key = base + bins[rows, f]
-        for i, v in enumerate((gr, hr, None)):
+        for i, v in enumerate((gr, hr, cr)):
             out[:, j, :, i] = np.bincount(key, v, n * width).reshape(n, width)
     return out
 
@@ -226,6 +227,7 @@ class Rows:
     w: np.ndarray
     margin: np.ndarray
     ids: np.ndarray
+    c: np.ndarray  # rows that each one stands for
 
     def drawn(self, turn: int, s: Settings, seed: int) -> np.ndarray:
         """1 for rows that take part in a round, by a hash of the row and the round."""
@@ -239,7 +241,7 @@ class Rows:
     def begin(self, turn: int, task: str, s: Settings, seed: int, classes: int) -> None:
         """Derivatives of a round, and all of its rows at the root."""
         use = self.drawn(turn, s, seed)
-        self.g, self.h = derivatives(self.margin, self.y, self.w * use, task)
+        self.g, self.h = derivatives(self.margin, self.y, self.w * self.c * use, task)
         self.where = [{1: np.flatnonzero(use)} for _ in range(classes)]
 
     def sums(self, trees: list[Tree], nodes: list[list[int]], columns: np.ndarray) -> list[np.ndarray | None]:
@@ -253,7 +255,7 @@ class Rows:
                     rows = at[node]
                     left = self.bins[rows, f] <= cut
                     at[2 * node], at[2 * node + 1] = rows[left], rows[~left]
-            out.append(histograms(self.bins, self.g[:, k], self.h[:, k], [at[n] for n in own], columns) if own else None)
+            out.append(histograms(self.bins, self.g[:, k], self.h[:, k], self.c, [at[n] for n in own], columns) if own else None)
         return out
 
 
@@ -282,12 +284,12 @@ def columns_of(turn: int, d: int, s: Settings, seed: int) -> np.ndarray:
 
 
 def as_rows(batches: list[pa.RecordBatch] | pa.Table, d: int) -> Rows:
-    cols = {c: b"".join(v for b in batches for v in b.column(c).to_pylist()) for c in ("bins", "y", "w", "margin", "ids")}
+    cols = {c: b"".join(v for b in batches for v in b.column(c).to_pylist()) for c in ("bins", "y", "w", "margin", "ids", "c")}
     y = np.frombuffer(cols["y"])
-    return Rows(np.frombuffer(cols["bins"], np.uint8).reshape(-1, d), y, np.frombuffer(cols["w"]), np.frombuffer(cols["margin"]).reshape(len(y), -1), np.frombuffer(cols["ids"], np.int64))
+    return Rows(np.frombuffer(cols["bins"], np.uint8).reshape(-1, d), y, np.frombuffer(cols["w"]), np.frombuffer(cols["margin"]).reshape(len(y), -1), np.frombuffer(cols["ids"], np.int64), np.frombuffer(cols["c"]))
 
 
-BLOCK = "bins binary, y binary, w binary, margin binary, ids binary"
+BLOCK = "bins binary, y binary, w binary, margin binary, ids binary, c binary"
 
 
 def fit(train: DataFrame, task: str, settings: Settings = Settings(), seed: int = 42, features: str = "features", label: str = "label", per_part: int | None = None) -> Model:
@@ -311,19 +313,32 @@ def fit(train: DataFrame, task: str, settings: Settings = Settings(), seed: int
         shares = np.maximum(counts * [weights[i] for i in range(len(counts))], 1e-9)
         start = np.log(shares / shares.sum()) if classes > 2 else np.array([np.log(shares[1] / shares[0])])
     model = Model([cuts.get(j, np.zeros(0)) for j in range(d)], start)
-    parts = max(1, -(-n // (per_part or PART_BYTES // (d + 32 + 24 * len(start)))))
     sent = train.sparkSession.sparkContext.broadcast((model.edges, start, weights))
 
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value[:2])
+        for batch in batches:
+            if batch.num_rows:
+                bins = own.bins(block(batch.column("x")))
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in bins], pa.binary()), *(batch.column(c) for c in ("y", "id"))], ["bins", "y", "id"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges, start, weights = sent.value
+        _, start, weights = sent.value
         for batch in batches:
             if batch.num_rows:
-                y = batch.column("y").to_numpy(zero_copy_only=False).astype(float)
+                y, c = (batch.column(v).to_numpy(zero_copy_only=False).astype(float) for v in ("y", "c"))
                 w = np.array([weights.get(int(v), 1.0) for v in y]) if weights else np.ones(len(y))
-                whole = [Model(edges, start).bins(block(batch.column("x"))), y, w, np.repeat(start[None, :], len(y), 0), batch.column("id").to_numpy().astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in whole], [c.split(" ")[0] for c in BLOCK.split(", ")])
+                whole = [b"".join(batch.column("bins").to_pylist()), *(v.tobytes() for v in (y, w, np.repeat(start[None, :], len(y), 0), batch.column("id").to_numpy().astype(np.int64), c))]
+                yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in whole], [v.split(" ")[0] for v in BLOCK.split(", ")])
 
     rows = known.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"), F.xxhash64(F.col(features), F.col(label)).alias("id"))
+    rows = rows.mapInArrow(binned, "bins binary, y double, id bigint")
+    if s.row_share < 1:  # a round draws single rows
+        rows = rows.withColumn("c", F.lit(1))
+    else:
+        rows = settled(rows.groupBy("bins", "y").agg(F.count(F.lit(1)).alias("c")).withColumn("id", F.xxhash64("bins", "y")).select("bins", "y", "id", "c"))
+        n = rows.count()
+    parts = max(1, -(-n // (per_part or PART_BYTES // (d + 40 + 24 * len(start)))))
     blocks = settled(rows.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(pack, BLOCK))
     if parts == 1:
         model.trees = _in_one_task(blocks, model, task, s, d, seed)
@@ -367,7 +382,7 @@ def _moved(blocks: DataFrame, model: Model, done: int, d: int) -> DataFrame:
                 one = batch.slice(i, 1)
                 part = as_rows([one], d)
                 margin = part.margin + sent.value.margins(part.bins)
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("bins", "y", "w")), pa.array([margin.tobytes()], pa.binary()), one.column("ids")], one.schema.names)
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("bins", "y", "w")), pa.array([margin.tobytes()], pa.binary()), one.column("ids"), one.column("c")], one.schema.names)
 
     return blocks.mapInArrow(run, BLOCK)
 
