@@ -42,3 +42,22 @@ def test_boosting_keeps_equal_rows_once(spark, monkeypatch, per_part):
     assert np.allclose(one, three, atol=1e-9)
     sizes = [sum(len(r["y"]) // 8 for r in df.select("y").collect()) for df in held if "margin" in df.columns]
     assert set(sizes) == {len({(*r, t) for r, t in zip(map(tuple, x), y)})}
+
+
+def test_energy_of_whole_tables_beyond_a_sample(spark, tmp_path):
+    """More than 1000 rows a side: the reference was a sample of 1000 rows before."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 8)).astype("float32")
+    x[2500:] += 0.2
+    x[10] = x[11] = x[3000]
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    spark.createDataFrame(data, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["window_index"]: r["score"] for r in catalog.energy_distance(spark, str(tmp_path)).collect()}
+    x = x.astype(float)
+    mean = lambda a, b: np.mean([np.sqrt(((b - r) ** 2).sum(axis=1)).mean() for r in a])
+    ref = x[:2400]
+    for w, at in enumerate((2400, 2900, 3400)):
+        cur = x[at : at + 500] if w < 2 else x[at:]
+        want = np.sqrt(max(2 * mean(ref, cur) - mean(ref, ref) - mean(cur, cur), 0))
+        assert abs(got[w] - want) < 2e-6
+    assert len(got) == 3
