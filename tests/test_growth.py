@@ -5,7 +5,7 @@ from dataclasses import replace
 import numpy as np
 import pytest
 
-from tidegauge.operators import boosting, encode
+from tidegauge.operators import boosting, distance, encode
 from tidegauge.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -61,3 +61,14 @@ def test_energy_of_whole_tables_beyond_a_sample(spark, tmp_path):
         want = np.sqrt(max(2 * mean(ref, cur) - mean(ref, ref) - mean(cur, cur), 0))
         assert abs(got[w] - want) < 2e-6
     assert len(got) == 3
+
+
+def test_quantiles_on_directions_equal_numpy_without_a_row_a_value(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(distance, "BINS", 256)
+    monkeypatch.setattr(distance, "projected", lambda *a: 1 / 0)  # a row for every projected value
+    at = distance.quantile_grid(33)
+    for x in (np.exp(4 * rng.normal(size=(3000, 2))), rng.integers(0, 3, (300, 2)).astype(float)):
+        df = spark.createDataFrame([([float(v) for v in r],) for r in x], "features array<double>")
+        theta = np.array([[1.0, 0.6], [0.0, -0.8]])
+        assert np.allclose(distance.direction_quantiles(df, theta, at, 50), np.quantile(x @ theta, at, axis=0), rtol=1e-12, atol=1e-12)
