@@ -72,3 +72,14 @@ def test_quantiles_on_directions_equal_numpy_without_a_row_a_value(spark, monkey
         df = spark.createDataFrame([([float(v) for v in r],) for r in x], "features array<double>")
         theta = np.array([[1.0, 0.6], [0.0, -0.8]])
         assert np.allclose(distance.direction_quantiles(df, theta, at, 50), np.quantile(x @ theta, at, axis=0), rtol=1e-12, atol=1e-12)
+
+
+def test_transport_rounds_are_products(monkeypatch):
+    """The log domain only takes over where a kernel leaves the range of doubles; both give the same cost."""
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(120, 3)), rng.normal(size=(80, 3)) + 0.1
+    took, log = [], distance.log_sinkhorn_cost
+    monkeypatch.setattr(distance, "log_sinkhorn_cost", lambda *a: took.append(1) or log(*a))
+    assert abs(distance.sinkhorn_cost(x, y, 5.0, 0.05) - log(distance.squares(x, y) / 5.0, 0.05, 300)) < 1e-12 and not took
+    y[:5] += 80.0
+    assert np.isfinite(distance.sinkhorn_cost(x, y, 5.0, 0.05)) and took
