@@ -4,6 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.operators import boosting, distance, encode
 from tidegauge.plans import catalog
@@ -83,3 +84,13 @@ def test_transport_rounds_are_products(monkeypatch):
     assert abs(distance.sinkhorn_cost(x, y, 5.0, 0.05) - log(distance.squares(x, y) / 5.0, 0.05, 300)) < 1e-12 and not took
     y[:5] += 80.0
     assert np.isfinite(distance.sinkhorn_cost(x, y, 5.0, 0.05)) and took
+
+
+def test_item_values_are_counted_once(spark, monkeypatch):
+    """KS and PSI of line items take counts of values from one pass, instead of a row a cell that every branch makes anew."""
+    passes, take = [], encode.Encoder.transform
+    monkeypatch.setattr(encode.Encoder, "transform", lambda self, *a, **b: passes.append(1) or take(self, *a, **b))
+    ref, cur = catalog.item_samples(spark, DATA)
+    assert "r" in ref.columns and "c" in cur.columns and len(passes) == 1
+    assert ref.agg(F.sum("r")).first()[0] == 4 * int(catalog.read(spark, DATA, "lineitem").count() * 0.6)
+    assert "transform" not in ref._jdf.queryExecution().optimizedPlan().toString() and "explode" not in cur._jdf.queryExecution().optimizedPlan().toString()
