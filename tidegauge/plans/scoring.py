@@ -103,8 +103,8 @@ def score_windows(reference: DataFrame | Prepared, windows: DataFrame, methods:
     out: list[DataFrame] = []
     ref = reference if isinstance(reference, Prepared) else prepare(reference, methods, config)
     known = families(methods)
-    # sparse features as counts, so that zeros take no rows
-    long = encode.value_counts(windows, ["window_index"], "c") if encode.is_sparse(windows) else encode.long_form(windows, ["window_index"])
+    # values are counted once for both families
+    long = ordering.settled(encode.value_counts(windows, ["window_index"], "c")) if {"ks", "psi"} & set(known) else None
     drawn = lambda df, most: ordering.sample_features(df, ref.dim, most, config.seed)
 
     def timed(make: Callable[[], DataFrame], n_methods: int = 1) -> DataFrame:
