@@ -311,6 +311,28 @@ def test_one_line_of_a_large_group_stays(spark):
     assert sum(second) <= 0.1 * len(second)
 
 
+def test_all_close_lines_of_a_group_are_compared(spark, monkeypatch):
+    """However many lines share a single block, every similar pair within the radius is linked."""
+    monkeypatch.setattr(line_dedup, "PART", 50, raising=False)
+    monkeypatch.setattr(line_dedup, "_keyed", lambda prints: prints.where("kind = 0").select(F.lit(2).cast("long").alias("key"), "id", "sim"))
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices(LETTERS, k=6)) for _ in range(4000)]
+    rows = []
+    for _ in range(120):
+        a = rng.sample(vocabulary, 14)
+        b = list(a)
+        for j in rng.sample(range(14), 3):
+            b[j] = rng.choice(vocabulary)
+        rows += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").withColumn("rid", F.xxhash64("doc_id", "text"))
+    prints = line_dedup.fingerprints(docs).persist()
+    of = {r["place"]["doc_id"]: (r["id"], r["sim"]) for r in prints.where("kind = 0").collect()}
+    where = {r["id"]: r["component"] for r in line_dedup._candidates_linked(prints, docs, 0.75).collect()}
+    near = [i for i in range(0, len(rows), 2) if ((of[i][1] ^ of[i + 1][1]) & (1 << 64) - 1).bit_count() <= 19 and edit_distance(rows[i], rows[i + 1]) <= 0.25 * len(rows[i])]
+    assert len(near) > 60
+    assert [i for i in near if of[i][0] not in where or where[of[i][0]] != where.get(of[i + 1][0])] == []
+
+
 def test_lines_of_all_lengths(spark, monkeypatch):
     """Long lines are compared by words, very long ones by pairs of words; clashing columns; a digit counts."""
     monkeypatch.setattr(line_dedup, "BY_CHARACTER", 200)
