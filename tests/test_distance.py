@@ -87,6 +87,19 @@ def test_sliced_subsamples_score_every_window(spark):
         assert abs(got[w] - np.mean(s)) < 1e-9
 
 
+def test_subsamples_project_drawn_rows_alone(spark):
+    rng = np.random.default_rng(8)
+    x, y, theta = rng.normal(size=(90, 3)), rng.normal(1, 1, size=(70, 3)), encode.directions(3, 4)
+    ref = rows(spark, x).select(F.col("srn").alias("rn"), "features")
+    cur = rows(spark, y).select(F.lit(0).cast("long").alias("window_index"), F.col("srn").alias("rn"), "features")
+    got = distance.sliced_subsamples(ref, cur, 90, {0: 70}, size=50, theta=theta).first()["score"]
+    draw, s = np.random.default_rng(42), []
+    for _ in range(5):
+        a, b = x[draw.choice(90, size=50, replace=False)] @ theta, y[draw.choice(70, size=50, replace=False)] @ theta
+        s.append(np.sqrt(((np.sort(a, axis=0) - np.sort(b, axis=0)) ** 2).mean()))
+    assert abs(got - np.mean(s)) < 1e-9
+
+
 def test_shift_scores_higher_and_classifier_tells(spark):
     rng = np.random.default_rng(7)
     ref, near, far = rng.normal(size=(200, 3)), rng.normal(size=(200, 3)), rng.normal(1.25, 1, size=(200, 3))
