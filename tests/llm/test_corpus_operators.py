@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,34 @@ def test_jaccard_join_edges(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in out if r["doc_id"]) == [(3, 3), (7, 3), (7, 3)] and len(out) == 4
 
 
+def test_a_bucket_is_sorted_in_ranges_of_signatures():
+    rng = np.random.default_rng(5)
+    docs, each = 150_000, 6
+    sig = rng.integers(0, 1 << 32, docs * each, dtype=np.uint64).astype(np.uint32)
+    shared = rng.random(docs * each) < 0.02
+    sig[shared] = rng.choice(sig, 4000)[rng.integers(0, 4000, shared.sum())]
+    ids, score = np.arange(docs, dtype=np.int64), rng.integers(0, 50, docs).astype(np.int32)
+    owner = np.repeat(ids, each)
+    want: dict[int, list[int]] = {}
+    for i in np.flatnonzero(np.isin(sig, np.unique(sig, return_index=False)[np.unique(sig, return_counts=True)[1] > 1])):
+        want.setdefault(int(sig[i]), []).append(int(owner[i]))
+    want = {tuple(sorted(v, key=lambda x: (score[x], x))) for v in want.values()}
+    cut = docs // 3 * each
+    parts = [(ids[a // each : b // each].tobytes(), score[a // each : b // each].tobytes(), np.full((b - a) // each, each, np.int32).tobytes(), sig[a:b].tobytes()) for a, b in ((0, cut), (cut, len(sig)))]
+    batches = [pd.DataFrame([p], columns=["ids", "scores", "counts", "sigs"]) for p in parts]
+    tracemalloc.start()
+    got, peak = set(), 0
+    for out in jaccard_join._meet(iter(batches)):
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+        got |= {tuple(m.tolist()) for m in out["members"]}
+        del out
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert got == want
+    assert peak < 45 * len(sig)  # 74 bytes a signature where a bucket is sorted at once, 21 in ranges
+    assert list(jaccard_join._meet(iter([pd.DataFrame(columns=["ids", "scores", "counts", "sigs"])])))[0].empty
+
+
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(0)
     for t in range(200):

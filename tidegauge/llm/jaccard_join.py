@@ -46,6 +46,8 @@ SMALL = 8
 FEW = 4
 #: Members of a part of a group, besides the first.
 PART = 1000
+#: Signatures of a bucket that are sorted at once.
+AT_ONCE = 1 << 17
 #: Rounds of stars in large groups before all pairs that are still apart are compared.
 STARS = 3
 #: Bits of a parity bitmap.
@@ -212,23 +214,39 @@ def _packed(docs: DataFrame, doc_id: str, text: str, hot, buckets: int) -> DataF
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text")).where("doc_id is not null").mapInArrow(run, "bucket int, ids binary, scores binary, counts binary, sigs binary")
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The groups of one bucket: sets that share a signature, most central first, in parts that all start with the first,
-    each with the members n of its whole group. Signatures with the same members make one group, named by its members."""
-    cat = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    counts = cat("counts", np.int32)
-    ids, sig = np.repeat(cat("ids", np.int64), counts), cat("sigs", np.uint32)
-    order = np.lexsort((ids, np.repeat(cat("scores", np.int32), counts), sig))
+    each with the members n of its whole group. Signatures with the same members make one group, named by its members.
+
+    Ranges of signatures are sorted one after another: what a task holds beside a bucket's packed bytes is a range's."""
+    packed: dict[str, list[bytes]] = {c: [] for c in ("ids", "scores", "counts", "sigs")}
+    for pdf in batches:
+        for c, parts in packed.items():
+            parts.extend(pdf[c])
+    cat = lambda c, t: np.frombuffer(b"".join(packed.pop(c)), t)
+    ids, scores, counts, sig = cat("ids", np.int64), cat("scores", np.int32), cat("counts", np.int32), cat("sigs", np.uint32)
+    owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+    ranges = max(1, -(-len(sig) // AT_ONCE))
+    span = -(-(1 << 32) // ranges)
+    for k in range(ranges):
+        own = np.flatnonzero((sig >= k * span) & (sig < (k + 1) * span)) if ranges > 1 else np.arange(len(sig))
+        yield _groups(ids[owner[own]], scores[owner[own]], sig[own])
+
+
+def _groups(ids: np.ndarray, scores: np.ndarray, sig: np.ndarray) -> pd.DataFrame:
+    """The groups of a range of signatures."""
+    order = np.lexsort((ids, scores, sig))
     ids, sig = ids[order], sig[order]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    length = np.diff(np.append(start, len(sig)))
-    name = np.add.reduceat(mix64(ids.view(np.uint64)), start).view(np.int64)
-    start, length, name = start[length > 1], length[length > 1], name[length > 1]
-    _, one = np.unique(name, return_index=True)
     rows = []
-    for s, n, g in zip(start[one].tolist(), length[one].tolist(), name[one].tolist()):
-        for part in range(0, n - 1, PART):
-            rows.append((g, part, n, np.concatenate([ids[s : s + 1], ids[s + 1 + part : min(s + 1 + part + PART, s + n)]])))
+    if len(sig):
+        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        length = np.diff(np.append(start, len(sig)))
+        name = np.add.reduceat(mix64(ids.view(np.uint64)), start).view(np.int64)
+        start, length, name = start[length > 1], length[length > 1], name[length > 1]
+        _, one = np.unique(name, return_index=True)
+        for s, n, g in zip(start[one].tolist(), length[one].tolist(), name[one].tolist()):
+            for part in range(0, n - 1, PART):
+                rows.append((g, part, n, np.concatenate([ids[s : s + 1], ids[s + 1 + part : min(s + 1 + part + PART, s + n)]])))
     return pd.DataFrame(rows, columns=["g", "part", "n", "members"])
 
 
