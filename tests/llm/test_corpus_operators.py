@@ -193,6 +193,29 @@ def test_repeats_equal_brute_force(spark, hot):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def brute_repeated_words(texts, words):
+    split = [(t or "").lower().split() for t in texts]
+    starts = Counter(tuple(w[i : i + words]) for w in split for i in range(len(w) - words + 1))
+    return [len({i + k for i in range(len(w) - words + 1) if starts[tuple(w[i : i + words])] > 1 for k in range(words)}) for w in split]
+
+
+def test_repeated_passages_of_words(spark):
+    rng = random.Random(8)
+    short = " ".join(rng.choices(["a", "of", "the", "is", "und", "le"], k=52))  # far below 400 bytes
+    passage = rng.choices(WORDS, k=70)
+    texts = [None, "", "few words", short + " end", "Begin " + short.upper().replace(" ", "\n"), " ".join(passage[:50])]
+    for n in range(12):
+        own = lambda: " ".join(f"{rng.choice(WORDS)}{n}{rng.random()}" for _ in range(30))
+        texts.append(f"{own()} {' '.join(passage[n % 4 : n % 4 + 40 + 2 * n])}  {own()}")
+    texts += texts[6:9]
+    want = brute_repeated_words(texts, 51)
+    assert want[3] > 0 and want[4] > 0 and 0 in want[6:]
+    for hot in (64_000_000, 100):
+        got = repeats.remove_repeats(frame(spark, list(enumerate(texts))), words=51, shard_bytes=3000, hot_bytes=hot).orderBy("doc_id").collect()
+        assert [r["n_repeated_words"] for r in got] == want
+    assert repeats.remove_repeats(frame(spark, []), words=51).count() == 0
+
+
 def test_sharding(spark):
     rng = random.Random(4)
     texts = ["x" * rng.randint(0, 300) + str(rng.randrange(500)) for _ in range(1500)] + ["hot" * 200] * 60 + [None, None, ""]

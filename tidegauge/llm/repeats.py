@@ -17,6 +17,8 @@ before anything is compared:
 4. *Hot keys.* A key with more bytes of different runs than ``hot_bytes`` would make one shard too large; its windows
    are compared by 128-bit fingerprints in an aggregation instead. No window is left out.
 
+Passages of a number of words, of any length in bytes, are found the same way among codes of words (``repeated_words``).
+
 Documents with equal texts are one class, and repeats as a whole if they have a window. Keys are recognised by 64-bit
 hashes, equal texts by two, runs by key and content (128 bits). Null texts count as empty. A text shorter than
 ``length`` keeps all its bytes. Repeated rows come out as often as they go in.
@@ -30,14 +32,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mix64, powers, prefix_hashes, slice_hashes
 from .suffix_array import permuted_lcp, suffix_array
+from .words import text_blocks, word_hashes
 
 GRAM = 32
 PLACE_BITS = np.uint64(28)
+#: Bytes of a word's code.
+CODE = 4
 #: Windows of a slice.
 SLICE = 50
 #: Bytes of text handled at once; longer texts go in overlapping pieces.
@@ -112,14 +117,14 @@ def _all_runs(classes: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             cls = batch.column("cls").to_numpy()
             _, first = np.unique(cls, return_index=True)  # equal texts of a batch once
-            raw = [batch.column("__text")[int(i)].as_py().encode("utf-8", "surrogatepass") for i in first]
+            raw = [batch.column("__text")[int(i)].as_py() for i in first]
             own = cls[first]
             for who, off, parts in _pieces(raw, length):
                 piece, at, n, far, key, content = runs(parts, length)
                 who_, off_ = np.array(who)[piece], np.array(off)[piece]
                 yield pa.RecordBatch.from_arrays([pa.array(own[who_]), pa.array(at + off_), pa.array(n.astype(np.int32)), pa.array(far.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["cls", "at", "n", "far", "key", "content"])
 
-    return classes.select("cls", "__text").where(F.octet_length("__text") >= length).mapInArrow(run, "cls bigint, at bigint, n int, far int, key bigint, content bigint")
+    return classes.select("cls", F.col("__text").cast("binary").alias("__text")).where(F.octet_length("__text") >= length).mapInArrow(run, "cls bigint, at bigint, n int, far int, key bigint, content bigint")
 
 
 def _with_bytes(wanted: DataFrame, classes: DataFrame, length: int) -> DataFrame:
@@ -127,7 +132,7 @@ def _with_bytes(wanted: DataFrame, classes: DataFrame, length: int) -> DataFrame
     ids = checkpointed(wanted.select("cls").distinct())
     ids = F.broadcast(ids) if ids.count() <= 300_000 else ids
     texts = classes.join(ids, "cls", "left_semi").groupBy("cls").agg(F.first("__text").alias("__text"))
-    byte = F.encode(F.col("__text"), "UTF-8")
+    byte = F.col("__text").cast("binary")
     return wanted.join(texts, "cls").withColumn("bytes", F.substring(byte, F.col("at").cast("int") + 1, F.col("n") + length - 1)).drop("__text")
 
 
@@ -224,7 +229,7 @@ def _windows_of_hot(hot: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_runs(classes: DataFrame, length: int = 400, shard_bytes: int = 2_000_000, hot_bytes: int = 64_000_000) -> DataFrame:
-    """(cls, at, n): runs of windows of distinct texts (cls, __text) whose strings start elsewhere too."""
+    """(cls, at, n): runs of windows of distinct texts (cls, __text: string or binary) whose strings start elsewhere too."""
     rows = checkpointed(_all_runs(classes, length))
     place = F.struct("cls", "at")
     # a table of its own, so that the join has a shuffle on either side and the rows of a hot key can be split over tasks
@@ -247,16 +252,53 @@ def repeated_runs(classes: DataFrame, length: int = 400, shard_bytes: int = 2_00
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, **limits: int) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row, and kept (binary) on request."""
+def repeated_words(docs: DataFrame, words: int = 51, text: str = "text", **limits: int) -> DataFrame:
+    """cls, n_repeated_words for every distinct text with such words (cls is its xxhash64): how many of its words lie in passages of
+    ``words`` and more words that also start anywhere else, whatever the bytes of the passage and the white space and case in it.
+
+    Words become codes of four bytes each, so that passages of words are byte strings for ``repeated_runs``. Two words share
+    a code by chance once in 2**32. Texts that occur more than once are repeats as a whole.
+    """
+    size = CODE * words
+    source = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).withColumn("cls", F.xxhash64("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, len(batch), 256):
+                some = batch.slice(part, 256)
+                texts = some.column("__text").to_pylist()
+                for low, high in text_blocks(texts):
+                    hashes, bounds = word_hashes(texts[low:high])
+                    codes = mix64(hashes).astype("<u4")
+                    long = np.flatnonzero(np.diff(bounds) >= words)
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("cls").take(pa.array(long + low)), pa.array([codes[bounds[i] : bounds[i + 1]].tobytes() for i in long], pa.binary())], ["text_cls", "__text"]
+                    )
+
+    coded = checkpointed(source.mapInArrow(run, "text_cls bigint, __text binary").withColumn("cls", F.xxhash64("__text")))
+    texts = coded.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.first(F.octet_length("__text")).alias("bytes"))
+    runs_of = repeated_runs(coded.select("cls", "__text"), size, **limits).select("cls", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + size).alias("b"))
+    # the union of the runs' bytes: what each run adds beyond the furthest end before it
+    order = Window.partitionBy("cls").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    covered = runs_of.withColumn("done", F.coalesce(F.max("b").over(order), F.lit(0))).groupBy("cls").agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "done"))).alias("covered"))
+    counted = texts.join(covered, "cls", "left").select("cls", F.when(F.col("copies") > 1, F.col("bytes")).otherwise(F.coalesce("covered", F.lit(0))).alias("covered"))
+    per_text = coded.select("cls", "text_cls").distinct().join(counted, "cls").where("covered > 0")
+    return per_text.groupBy(F.col("text_cls").alias("cls")).agg(F.max(F.expr(f"covered div {CODE}")).alias("n_repeated_words"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, words: int = 0, **limits: int) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row, and on request kept (binary) and n_repeated_words: see ``repeated_words``."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     source = source.withColumn("cls", F.xxhash64("__text")).withColumn("check", F.xxhash64(F.lit(1), "__text"))
     found = repeated_runs(source.select("cls", "__text"), length, **limits)
     copies = source.groupBy("cls", "check").count().where("count > 1").select("cls", F.col("check").alias("copied")).dropDuplicates(["cls"])
     per_class = found.groupBy("cls").agg(F.collect_list(F.struct("at", "n")).alias("runs")).join(copies, "cls", "full")
     per_class = checkpointed(per_class)  # as above: the rows of a hot text can be split
-    joined = source.join(per_class, "cls", "left").select("doc_id", "__text", "runs", F.coalesce(F.col("copied") == F.col("check"), F.lit(False)).alias("copied"))
-    fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text
+    joined = source.join(per_class, "cls", "left").select("doc_id", "__text", "runs", F.coalesce(F.col("copied") == F.col("check"), F.lit(False)).alias("copied"), *(["cls"] if words else []))
+    if words:
+        repeated = checkpointed(repeated_words(source, words, "__text", **limits))
+        joined = joined.join(repeated, "cls", "left").withColumn("n_repeated_words", F.coalesce("n_repeated_words", F.lit(0).cast("long")))
+    fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_text + ", n_repeated_words bigint" * bool(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,6 +322,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, doc_id: str = "doc_id", t
                 left = b"".join(kept)
                 rows.append((len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text])
+            more = ["n_repeated_words"] if words else []
+            columns = [batch.column("doc_id"), *(pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)), *(batch.column(c) for c in more)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_text] + more)
 
     return joined.mapInArrow(run, fields)
