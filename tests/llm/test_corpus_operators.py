@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import jaccard_join, line_dedup, neighbours, repeats, sharding
+from tidegauge.llm.common import checkpointed
 from tidegauge.llm.components import components
 from tidegauge.llm.suffix_array import permuted_lcp, suffix_array
 from tidegauge.llm.words import shingle_sets
@@ -109,6 +112,20 @@ def test_jaccard_join_keeps_links_of_the_last_part(spark, monkeypatch):
     assert sorted((r["doc_id"], r["component_id"]) for r in out) == want
 
 
+def test_checkpoints_leave_no_shuffle_files(spark):
+    local = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {p for p in local.rglob("shuffle_*")}
+    before = files()
+    out = checkpointed(spark.range(20_000).withColumn("h", F.xxhash64("id")).repartition(3, "h"))
+    for _ in range(50):  # they are removed in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert out.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_components(frame(spark, [])).count() == 0
     out = jaccard_join.jaccard_components(frame(spark, [(7, "a b c"), (7, "a b c"), (3, "a b c"), (None, "a b c")])).collect()
