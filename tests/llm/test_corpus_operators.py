@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.llm import jaccard_join, line_dedup, neighbours, repeats, sharding
-from tidegauge.llm.common import checkpointed
+from tidegauge.llm.common import checkpointed, shared_folder
 from tidegauge.llm.components import components
 from tidegauge.llm.suffix_array import permuted_lcp, suffix_array
 from tidegauge.llm.words import shingle_sets
@@ -403,6 +403,29 @@ def test_all_close_lines_of_a_group_are_compared(spark, monkeypatch):
     assert [i for i in near if of[i][0] not in where or where[of[i][0]] != where.get(of[i + 1][0])] == []
 
 
+def test_short_lines_of_a_group_are_verified_where_they_meet(spark, monkeypatch):
+    """Unlike short lines with close fingerprints make no pairs for the second verification, and no table stays in the shared folder."""
+    monkeypatch.setattr(line_dedup, "_keyed", lambda prints: prints.where("kind = 0").select(F.lit(2).cast("long").alias("key"), "id", "sim"))
+    verified, counts = line_dedup._verified, []
+
+    def counted(pairs, *rest):
+        pairs = pairs.persist()
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices(LETTERS, k=6)) for _ in range(3000)]
+    rows = [" ".join(vocabulary[:4] + rng.sample(vocabulary[4:], 4)) for _ in range(120)]
+    rows.append(rows[7][:-1] + ("a" if rows[7][-1] != "a" else "b"))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    kept = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    assert kept == {i: int(i < 120) for i in range(121)}
+    assert counts[0] > 100 and counts[1] == 0
+    assert set(folder.glob("table-*")) == before
+
+
 def test_lines_of_all_lengths(spark, monkeypatch):
     """Long lines are compared by words, very long ones by pairs of words; clashing columns; a digit counts."""
     monkeypatch.setattr(line_dedup, "BY_CHARACTER", 200)
