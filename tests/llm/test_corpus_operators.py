@@ -440,3 +440,24 @@ def test_lines_of_all_lengths(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 1, "a", 2) for i, t in enumerate(rows)], "doc_id bigint, text string, rid int, at string, stay int")
     out = line_dedup.dedup_lines(df).orderBy("doc_id").collect()
     assert [r["n_kept"] for r in out] == [1, 0, 1] * 4 + [1, 1, 1, 1, 0] and all((r["rid"], r["at"], r["stay"]) == (1, "a", 2) for r in out)
+
+
+def test_lines_of_any_length_are_verified_by_edit_distance(spark, monkeypatch):
+    """Beyond a number of words only the share of common word pairs counted, beyond a number of characters no typos did."""
+    monkeypatch.setattr(line_dedup, "BY_CHARACTER", 200)
+    monkeypatch.setattr(line_dedup, "BY_WORD", 300)
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices(LETTERS, k=6)) for _ in range(4000)]
+    rows, pairs = [], []
+    for n, step, typo in ((60, 6, False), (60, 3, True), (60, 3, False), (400, 6, False), (400, 3, True), (400, 3, False)):
+        a = rng.sample(vocabulary, n)
+        b = [w if i % step else w[:-1] + ("a" if w[-1] != "a" else "b") if typo else rng.choice(vocabulary) for i, w in enumerate(a)]
+        pairs.append((len(rows), edit_distance(" ".join(a), " ".join(b)) <= 0.25 * 7 * n))
+        rows += [" ".join(a), " ".join(b)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").withColumn("rid", F.xxhash64("doc_id", "text"))
+    prints = line_dedup.fingerprints(docs).persist()
+    of = {r["place"]["doc_id"]: r["id"] for r in prints.where("kind = 0").collect()}
+    at = {(min(of[i], of[i + 1]), max(of[i], of[i + 1])): similar for i, similar in pairs}
+    got = {(r["a"], r["b"]) for r in line_dedup._verified(spark.createDataFrame(list(at), "a bigint, b bigint"), prints, docs, 0.75).collect()}
+    assert [similar for _, similar in pairs] == [True, True, False] * 2
+    assert got == {p for p, similar in at.items() if similar}
