@@ -64,6 +64,23 @@ def test_energy_of_whole_tables_beyond_a_sample(spark, tmp_path):
     assert len(got) == 3
 
 
+def test_pairs_of_blocks_are_never_shuffled(spark, monkeypatch):
+    """Every pair of blocks of the energy distance went through an exchange, with both blocks: disk grew with the square of the rows."""
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(distance, "SIDE", 20)
+    x, y = rng.normal(size=(110, 3)), rng.normal(size=(70, 3)) + 0.3
+    held, take = [], distance.settled
+    monkeypatch.setattr(distance, "settled", lambda df: held.append(df) or take(df))
+    rows = lambda z, at: [(i // 40 + at, i, [float(v) for v in r]) for i, r in enumerate(z)]
+    ref, cur = (spark.createDataFrame(rows(z, 7), "window_index bigint, srn bigint, features array<double>") for z in (x, y))
+    got = {r["window_index"]: r["score"] for r in distance.energy_whole(ref.drop("window_index"), cur).collect()}
+    mean = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).mean()
+    want = {7: y[:40], 8: y[40:]}
+    assert got.keys() == want.keys() and all(abs(got[w] - np.sqrt(2 * mean(x, c) - mean(x, x) - mean(c, c))) < 1e-9 for w, c in want.items())
+    pairs = [df._jdf.queryExecution().optimizedPlan().toString() for df in held if "kind" in df.columns]
+    assert pairs and not any("Repartition" in p for p in pairs)
+
+
 def test_quantiles_on_directions_equal_numpy_without_a_row_a_value(spark, monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(distance, "BINS", 256)
