@@ -81,6 +81,34 @@ def test_pairs_of_blocks_are_never_shuffled(spark, monkeypatch):
     assert pairs and not any("Repartition" in p for p in pairs)
 
 
+def test_windows_in_pairs_are_spread_over_tasks(spark):
+    """Small windows all came to one task, since their bytes are few, and pairs of reference rows were compared anew for every window."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 2)), rng.normal(size=(16, 30, 2))
+    x[5] = x[6]
+    ref = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "srn bigint, features array<double>")
+    cur = spark.createDataFrame([(w, i, [float(v) for v in r]) for w, rows in enumerate(y) for i, r in enumerate(rows)], "window_index bigint, srn bigint, features array<double>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def known(z):
+        calls.add(1)
+        return z
+
+    got = distance.by_window(ref, cur, lambda a, b: float(a.sum() + b.sum()), known).withColumn("task", F.spark_partition_id()).collect()
+    assert {r["window_index"] for r in got} == set(range(16)) and len({r["task"] for r in got}) > 3
+    assert calls.value == len({r["task"] for r in got}) < 16
+    d = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    mean = lambda a, b: np.sqrt(d(a, b)).mean()
+    energy, mmd = ({r["window_index"]: r["score"] for r in f(ref, cur).collect()} for f in (distance.energy, distance.mmd))
+    for w, z in enumerate(y):
+        both = np.concatenate([x, z])
+        pairs = d(both, both)[np.triu_indices(len(both), 1)]
+        g = 1 / (2 * np.median(pairs[pairs > 0]))
+        k = lambda a, b: np.exp(-g * d(a, b)).mean()  # noqa: B023, E731
+        assert abs(energy[w] - np.sqrt(2 * mean(x, z) - mean(x, x) - mean(z, z))) < 1e-9
+        assert abs(mmd[w] - np.sqrt(max(k(x, x) + k(z, z) - 2 * k(x, z), 0))) < 1e-9
+
+
 def test_quantiles_on_directions_equal_numpy_without_a_row_a_value(spark, monkeypatch):
     rng = np.random.default_rng(1)
     monkeypatch.setattr(distance, "BINS", 256)
