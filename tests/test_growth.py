@@ -120,6 +120,18 @@ def test_quantiles_on_directions_equal_numpy_without_a_row_a_value(spark, monkey
         assert np.allclose(distance.direction_quantiles(df, theta, at, 50), np.quantile(x @ theta, at, axis=0), rtol=1e-12, atol=1e-12)
 
 
+def test_places_of_values_equal_a_search():
+    """Counting projected values took a binary search of all edges for every value."""
+    rng = np.random.default_rng(2)
+    for edges in (np.linspace(-3, 4, 1025), np.sort(rng.normal(size=300)), np.array([1.0]), np.array([0.0, 1e-320]), np.unique(np.r_[np.linspace(0, 1, 9), 0.5 + np.arange(64) * 2.0**-52, 1e9])):
+        z = np.concatenate([rng.normal(size=4000), edges, np.nextafter(edges, np.inf), np.nextafter(edges, -np.inf), rng.choice([-1e300, 1e300, 0.5], 9)])
+        for cells in (4, 64, 2048):
+            assert (distance.Places(edges, cells)(z) == np.searchsorted(edges, z, "left")).all()
+    places = distance.Places(np.linspace(0, 1, 4097), 8192)
+    places.edges = places.edges.view(type("Unsearched", (np.ndarray,), {"searchsorted": lambda *a: 1 / 0}))
+    assert (places(np.linspace(0.0001, 0.9, 50)) == np.ceil(np.linspace(0.0001, 0.9, 50) * 4096)).all()
+
+
 def test_transport_rounds_are_products(monkeypatch):
     """The log domain only takes over where a kernel leaves the range of doubles; both give the same cost."""
     rng = np.random.default_rng(0)
