@@ -403,6 +403,28 @@ def test_all_close_lines_of_a_group_are_compared(spark, monkeypatch):
     assert [i for i in near if of[i][0] not in where or where[of[i][0]] != where.get(of[i + 1][0])] == []
 
 
+def test_parts_of_a_large_group_meet_from_one_end(spark, monkeypatch):
+    """All pairs of a group are made, and two parts meet as one end each: both came as both ends, which made four times the comparisons."""
+    monkeypatch.setattr(line_dedup, "PART", 9)
+    monkeypatch.setattr(line_dedup, "_close", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= 64)
+    monkeypatch.setattr(line_dedup, "_possible", lambda kind, least: F.col("id").isNotNull())
+    monkeypatch.setattr(line_dedup, "_within", lambda x, y, least: F.col(x).isNotNull())
+    plans, keep = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    rng = random.Random(9)
+    rows = [" ".join("".join(rng.choices(LETTERS, k=6)) for _ in range(n)) for n in [9] * 20 + [20] * 20]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").withColumn("rid", F.xxhash64("doc_id", "text"))
+    prints = line_dedup.fingerprints(docs).persist()
+    ids = sorted(r["id"] for r in prints.where("kind = 0").collect())
+    groups = {2: ids, 4: ids[:6]}
+    large = prints.where("kind = 0").select(F.explode(F.array(F.lit(2).cast("long"), F.lit(4).cast("long"))).alias("key"), "id", "sim").where(F.col("key").isin(2) | F.col("id").isin(groups[4]))
+    where = spark.createDataFrame([(ids[0], ids[0]), (ids[1], ids[0])], "id bigint, component bigint")
+    got = [(r["a"], r["b"]) for r in line_dedup._rest(large, where, prints, docs, 0.75).collect()]
+    assert sorted(got) == sorted((a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (a, b) != (ids[0], ids[1]))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join Inner" in line and "bit_count" in line]
+    assert joins and not any("op#" in line for line in joins)
+
+
 def test_short_lines_of_a_group_are_verified_where_they_meet(spark, monkeypatch):
     """Unlike short lines with close fingerprints make no pairs for the second verification, and no table stays in the shared folder."""
     monkeypatch.setattr(line_dedup, "_keyed", lambda prints: prints.where("kind = 0").select(F.lit(2).cast("long").alias("key"), "id", "sim"))
